@@ -37,6 +37,13 @@ def rounded_all(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     return rounded(df, **{c: n for c in columns})
 
 
+def staged(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An intermediate table of one query run, written once where several steps read it."""
+    if name not in t.staged:
+        t.staged[name] = sinks.stage_table(build(), name)
+    return t.staged[name]
+
+
 # Shared intermediate inputs.
 
 
@@ -61,6 +68,10 @@ def _nearest(t: Tables, species: DataFrame) -> DataFrame:
 
 
 def _filled(t: Tables) -> DataFrame:
+    return staged(t, "composition", lambda: _filled_plan(t))
+
+
+def _filled_plan(t: Tables) -> DataFrame:
     return nutrient_attachment.filled_composition(
         s.catch(t, gaps=True),
         s.assays(t),
@@ -100,19 +111,12 @@ def _values(t: Tables) -> DataFrame:
 
 def _nutrient_pairs(t: Tables) -> DataFrame:
     rows = s.catch(t, gaps=True).filter(F.col("year") == s.SUPPLY_YEAR)
-    return flows.zone_fleet_nutrients(rows, _values(t), _iso(t), s.zone_aliases(t), s.ZONE_PATTERNS)
+    pairs = flows.zone_fleet_nutrients(rows, _values(t), _iso(t), s.zone_aliases(t), s.ZONE_PATTERNS)
+    return staged(t, "zone-fleet-nutrients", lambda: pairs)
 
 
 def _net(t: Tables) -> DataFrame:
-    return foreign_flow.net_supply(
-        s.catch(t, gaps=True),
-        _values(t),
-        _iso(t),
-        s.zone_aliases(t),
-        _population(t),
-        s.SUPPLY_YEAR,
-        s.ZONE_PATTERNS,
-    )
+    return foreign_flow.net_supply(_nutrient_pairs(t), _population(t))
 
 
 def _balance(t: Tables) -> DataFrame:
@@ -140,7 +144,7 @@ def _shares(t: Tables, population: DataFrame) -> DataFrame:
 
 
 def _scenarios(t: Tables) -> DataFrame:
-    return intake.fish_scenarios(_balance(t), _net(t), s.SUPPLY_YEAR)
+    return staged(t, "scenarios", lambda: intake.fish_scenarios(_balance(t), _net(t), s.SUPPLY_YEAR))
 
 
 def _scalars(t: Tables) -> DataFrame:
@@ -154,7 +158,9 @@ def _intakes(t: Tables) -> DataFrame:
 
 
 def _coded(t: Tables, best: str | None) -> DataFrame:
-    return exposure.coded_distributions(_intakes(t), s.distributions(t, best))
+    return staged(
+        t, f"intake-{best}", lambda: exposure.coded_distributions(_intakes(t), s.distributions(t, best))
+    )
 
 
 def _omega(t: Tables) -> DataFrame:
@@ -183,7 +189,7 @@ def _meat_intake(t: Tables, best: str) -> DataFrame:
 
 def _deltas(t: Tables, best: str | None = "log-normal") -> DataFrame:
     return exposure.exposure_deltas(
-        _coded(t, best), s.requirements(t), s.sdi(t), s.omega_matrix(t), s.OMEGA_ENDS, gamma=best != "log-normal"
+        _coded(t, best), s.requirements(t), s.sdi(t), s.omega_matrix(t), s.OMEGA_ENDS
     )
 
 
@@ -693,7 +699,7 @@ BOUND_KEYS = ["scenario", "iso3", "nutrient", "sex_id", "age_id"]
 
 @query
 def q_intake_bounds(t: Tables) -> DataFrame:
-    df = risk.intake_bounds(_coded(t, "log-normal"), gamma=False).select(*BOUND_KEYS, "val_lo", "val_hi")
+    df = risk.intake_bounds(_coded(t, "log-normal")).select(*BOUND_KEYS, "val_lo", "val_hi")
     return rounded(df, val_lo=5, val_hi=5)
 
 
@@ -709,7 +715,7 @@ def _sev(df: DataFrame) -> DataFrame:
 
 @query
 def q_sev_micronutrient(t: Tables) -> DataFrame:
-    return _sev(risk.sev_micronutrient(_coded(t, "log-normal"), s.requirements(t), s.sdi(t), gamma=False))
+    return _sev(risk.sev_micronutrient(_coded(t, "log-normal"), s.requirements(t), s.sdi(t)))
 
 
 @query
@@ -719,7 +725,7 @@ def q_sev_micronutrient_gamma(t: Tables) -> DataFrame:
 
 @query
 def q_sev_omega3(t: Tables) -> DataFrame:
-    return _sev(risk.sev_omega3(_coded(t, "log-normal"), _omega(t), gamma=False))
+    return _sev(risk.sev_omega3(_coded(t, "log-normal"), _omega(t)))
 
 
 @query
@@ -732,7 +738,7 @@ MEAT_KEYS = ["iso3", "sex_id"]
 
 @query
 def q_sev_red_meat(t: Tables) -> DataFrame:
-    df = risk.sev_red_meat(_meat_intake(t, "log-normal"), _meat(t), gamma=False)
+    df = risk.sev_red_meat(_meat_intake(t, "log-normal"), _meat(t))
     return rounded(df.select("scenario", *MEAT_KEYS, "age_id", "cause_id", "sev"), sev=4)
 
 
@@ -742,12 +748,12 @@ def _paf(df: DataFrame) -> DataFrame:
 
 @query
 def q_paf_red_meat(t: Tables) -> DataFrame:
-    return _paf(risk.paf_red_meat(_meat_intake(t, "log-normal"), _meat(t), MEAT_KEYS, relative=False, gamma=False))
+    return _paf(risk.paf_red_meat(_meat_intake(t, "log-normal"), _meat(t), MEAT_KEYS, relative=False))
 
 
 @query
 def q_paf_red_meat_relative(t: Tables) -> DataFrame:
-    return _paf(risk.paf_red_meat(_meat_intake(t, "log-normal"), _meat(t), MEAT_KEYS, relative=True, gamma=False))
+    return _paf(risk.paf_red_meat(_meat_intake(t, "log-normal"), _meat(t), MEAT_KEYS, relative=True))
 
 
 def _omega_rows(t: Tables) -> DataFrame:
@@ -756,12 +762,12 @@ def _omega_rows(t: Tables) -> DataFrame:
 
 @query
 def q_paf_omega3(t: Tables) -> DataFrame:
-    return _paf(risk.paf_omega3(_omega_rows(t), _omega(t), MEAT_KEYS, relative=False, gamma=False))
+    return _paf(risk.paf_omega3(_omega_rows(t), _omega(t), MEAT_KEYS, relative=False))
 
 
 @query
 def q_paf_omega3_relative(t: Tables) -> DataFrame:
-    return _paf(risk.paf_omega3(_omega_rows(t), _omega(t), MEAT_KEYS, relative=True, gamma=False))
+    return _paf(risk.paf_omega3(_omega_rows(t), _omega(t), MEAT_KEYS, relative=True))
 
 
 SEV_COLUMNS = ["sev_base", "sev_high", "sev_reduction", "sev_delta"]

@@ -1,4 +1,4 @@
-"""Numerical column expressions: normal distribution, quadrature nodes, Hermite curves."""
+"""Numerical column expressions: normal tail and Hermite curves."""
 
 from __future__ import annotations
 
@@ -8,14 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seaplate.functions.nulls import ColumnLike, as_col
-from seaplate.vocab import TAIL_Z
 
 # Abramowitz & Stegun 7.1.26.
 ERF_P = 0.3275911
 ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
 
-QUADRATURE_NODES = 201
-
 
 def _erf_tail(t: Column, u: Column) -> Column:
     """1 - erf(|u|) given t = 1 / (1 + p |u|)."""
@@ -32,42 +29,22 @@ def upper_normal(z: ColumnLike) -> Column:
     return F.when(u >= 0, tail).otherwise(1 - tail)
 
 
-def lognormal_nodes(nodes: int = QUADRATURE_NODES, limit: float = TAIL_Z) -> Column:
-    """Constant array of (z, w): composite Simpson nodes and weights in z times the normal density."""
-    step = 2 * limit / (nodes - 1)
-    entries = []
-    for i in range(nodes):
-        z = -limit + i * step
-        simpson = 1 if i in (0, nodes - 1) else (4 if i % 2 else 2)
-        weight = simpson * step / 3 * math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-        entries.append(f"named_struct('z', {z!r}D, 'w', {weight!r}D)")
-    return F.expr(f"array({', '.join(entries)})")
-
-
-def sum_over(values: ColumnLike) -> Column:
-    """Sum of an array of doubles; NULL for a NULL array."""
-    return F.aggregate(as_col(values), F.lit(0.0), lambda total, v: total + v)
-
-
-def curve_value(x: ColumnLike, pieces: ColumnLike) -> Column:
-    """Value at ``x`` of a piecewise cubic given as an ordered array of
-    (x0, x1, y0, y1, m0, m1); straight lines beyond both ends."""
-    x, pieces = as_col(x), as_col(pieces)
-
-    def inside(p: Column, v: Column) -> Column:
-        h = p["x1"] - p["x0"]
-        t = (v - p["x0"]) / h
-        s = 1 - t
-        return (
-            p["y0"] * (1 + 2 * t) * s * s
-            + p["y1"] * t * t * (3 - 2 * t)
-            + h * t * s * (p["m0"] * s - p["m1"] * t)
-        )
-
-    first, last = F.get(pieces, F.lit(0)), F.get(pieces, F.size(pieces) - 1)
-    covering = F.filter(pieces, lambda p: (p["x0"] <= x) & (x < p["x1"]))
-    return (
-        F.when(x < first["x0"], first["y0"] + first["m0"] * (x - first["x0"]))
-        .when(x >= last["x1"], last["y1"] + last["m1"] * (x - last["x1"]))
-        .otherwise(F.get(F.transform(covering, lambda p: inside(p, x)), F.lit(0)))
-    )
+def piece_index(x: ColumnLike, xs: ColumnLike) -> Column:
+    """0-based index of the curve piece that holds ``x``; the end pieces hold everything beyond."""
+    x, xs = as_col(x), as_col(xs)
+    below = F.size(F.filter(xs, lambda k: k <= x))
+    return F.greatest(F.least(below, F.size(xs) - 1) - 1, F.lit(0))
+
+
+def curve_value(x: ColumnLike, piece: ColumnLike, xs: ColumnLike, ys: ColumnLike, ms: ColumnLike) -> Column:
+    """Cubic Hermite value at ``x`` on the given piece of a curve with knots ``xs``, values ``ys``
+    and slopes ``ms``; straight lines beyond both ends."""
+    x, i = as_col(x), as_col(piece)
+    x0, x1 = F.get(as_col(xs), i), F.get(as_col(xs), i + 1)
+    y0, y1 = F.get(as_col(ys), i), F.get(as_col(ys), i + 1)
+    m0, m1 = F.get(as_col(ms), i), F.get(as_col(ms), i + 1)
+    h = x1 - x0
+    t = (x - x0) / h
+    s = 1 - t
+    inside = y0 * (1 + 2 * t) * s * s + y1 * t * t * (3 - 2 * t) + h * t * s * (m0 * s - m1 * t)
+    return F.when(x < x0, y0 + m0 * (x - x0)).when(x > x1, y1 + m1 * (x - x1)).otherwise(inside)

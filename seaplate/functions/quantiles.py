@@ -11,39 +11,49 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seaplate.vocab import HIGH_TAIL, LOW_TAIL
 
 
-def student_cdf(t: float, df: float) -> float:
+TAILS = StructType([StructField("low", DoubleType()), StructField("high", DoubleType())])
+
+
+LEGENDRE_NODES, LEGENDRE_WEIGHTS = np.polynomial.legendre.leggauss(64)
+
+
+def student_cdf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(T <= t) for t >= 0, by Gauss-Legendre quadrature in the angle t = sqrt(df) tan(a)."""
-    nodes, weights = np.polynomial.legendre.leggauss(200)
-    angle = math.atan2(t, math.sqrt(df))
-    a = angle * (nodes + 1) / 2
-    log_norm = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - math.log(math.pi) / 2
-    with np.errstate(divide="ignore"):
-        density = np.exp(log_norm + (df - 1) * np.log(np.cos(a)))
-    return 0.5 + float((density * weights).sum()) * angle / 2
+    angle = np.arctan2(t, np.sqrt(df))
+    a = angle[:, None] * (LEGENDRE_NODES + 1) / 2
+    log_norm = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in df]) - math.log(math.pi) / 2
+    density = np.exp(log_norm[:, None] + (df[:, None] - 1) * np.log(np.cos(a)))
+    return 0.5 + (density * LEGENDRE_WEIGHTS).sum(axis=1) * angle / 2
 
 
-def student_quantile(p: float, df: float) -> float:
+def student_quantile(p: float, df: np.ndarray) -> np.ndarray:
     """Quantile of Student's t for p > 0.5, by bisection."""
-    low, high = 0.0, 1.0
-    while student_cdf(high, df) < p:
-        high *= 2
-    for _ in range(80):
+    low, high = np.zeros_like(df), np.ones_like(df)
+    while np.any(student_cdf(high, df) < p):
+        high = np.where(student_cdf(high, df) < p, 2 * high, high)
+    for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if student_cdf(mid, df) < p else (low, mid)
+        below = student_cdf(mid, df) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
     return (low + high) / 2
 
 
 def t_quantile(p: float):
     """Column function: t quantile at ``p`` for a column of degrees of freedom (< 1 gives NULL)."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def quantile(df: pd.Series) -> pd.Series:
-        solved = {d: student_quantile(p, d) for d in df.dropna().unique() if d >= 1}
-        return df.map(solved).astype("float64")
+        result = np.full(len(df), np.nan)
+        valid = usable(df)
+        distinct, where = np.unique(df[valid].to_numpy(dtype="float64"), return_inverse=True)
+        if len(distinct):
+            result[valid] = student_quantile(p, distinct)[where]
+        return pd.Series(result)
 
     return quantile
 
@@ -73,27 +83,18 @@ def gamma_mass(shape: np.ndarray, log_x: np.ndarray) -> np.ndarray:
     return np.exp(shape * log_x - x - log_gamma + np.log(total))
 
 
-def gamma_nodes(nodes: int):
-    """Column function: Simpson nodes and weights of a unit-rate gamma between its tail
-    quantiles, taken on the log scale and scaled to the mass between them."""
+@F.pandas_udf(TAILS)
+def gamma_tails(shape: pd.Series) -> pd.DataFrame:
+    """Unit-rate gamma quantiles at the two tails; NULL for an unusable shape."""
+    tails = np.full((len(shape), 2), np.nan)
+    valid = usable(shape)
+    distinct, where = np.unique(shape[valid].to_numpy(dtype="float64"), return_inverse=True)
+    if len(distinct):
+        solved = np.exp(np.stack([gamma_log_quantile(p, distinct) for p in (LOW_TAIL, HIGH_TAIL)], axis=1))
+        tails[valid] = solved[where]
+    return pd.DataFrame(tails, columns=["low", "high"])
 
-    @F.pandas_udf("x array<double>, w array<double>")
-    def build(shape: pd.Series) -> pd.DataFrame:
-        valid = (shape > 0) & np.isfinite(shape)
-        distinct = np.unique(shape[valid].to_numpy(dtype="float64"))
-        solved = {}
-        if len(distinct):
-            low = gamma_log_quantile(LOW_TAIL, distinct)
-            high = gamma_log_quantile(HIGH_TAIL, distinct)
-            grid = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, nodes)[None, :]
-            simpson = np.where(np.arange(nodes) % 2 == 1, 4.0, 2.0)
-            simpson[0] = simpson[-1] = 1.0
-            exponent = distinct[:, None] * grid - np.exp(grid)
-            weight = simpson * np.exp(exponent - exponent.max(axis=1, keepdims=True))
-            weight *= (HIGH_TAIL - LOW_TAIL) / weight.sum(axis=1, keepdims=True)
-            solved = {s: (np.exp(g), w) for s, g, w in zip(distinct, grid, weight)}
-        empty = (None, None)
-        pairs = [solved.get(s, empty) if ok else empty for s, ok in zip(shape, valid)]
-        return pd.DataFrame({"x": [p[0] for p in pairs], "w": [p[1] for p in pairs]})
-
-    return build
+
+def usable(parameter: pd.Series) -> np.ndarray:
+    value = parameter.to_numpy(dtype="float64")
+    return np.isfinite(value) & (np.nan_to_num(value) > 0)

@@ -1,8 +1,7 @@
 """Relative-risk curves, requirements, exposure values, attributable fractions and affected people.
 
-A curve is one row: an ordered array of cubic pieces. Intake distributions
-become an array of quadrature nodes on their own row, so an exposure value is a
-sum inside the row and adds no shuffle.
+A curve is one row: ordered arrays of knots, values and slopes. An exposure value
+is an integral inside its own row and adds no shuffle.
 """
 
 from __future__ import annotations
@@ -10,15 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seaplate.functions.nulls import ColumnLike, as_col, floor_at_zero, ratio
-from seaplate.functions.numeric import (
-    QUADRATURE_NODES,
-    curve_value,
-    lognormal_nodes,
-    sum_over,
-    upper_normal,
-)
-from seaplate.functions.quantiles import gamma_nodes
+from seaplate.functions.nulls import ColumnLike, floor_at_zero, ratio
+from seaplate.functions.numeric import curve_value, piece_index, upper_normal
+from seaplate.functions.quadrature import curve_integral, fit_struct, shortfall_integral
+from seaplate.functions.quantiles import gamma_tails
 from seaplate.functions.text import lookup, recode
 from seaplate.operators.intake import demographic_labels
 from seaplate.operators.shape import wide_sum
@@ -37,7 +31,7 @@ from seaplate.vocab import (
 )
 
 MAX_KNOTS = 1000
-CURVE_PIECE = "struct<x0:double,x1:double,y0:double,y1:double,m0:double,m1:double>"
+CURVE_COLUMNS = ["xs", "ys", "ms", "last_risk"]
 
 
 def age_points(wide: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +58,7 @@ def _secants(k: Column) -> Column:
 
 
 def curves(points: DataFrame, end_knots: tuple, keys: list[str]) -> DataFrame:
-    """One row per curve: its monotone cubic pieces and the risk at its last knot.
+    """One row per curve: knots ``xs``, values ``ys``, monotone slopes ``ms``, and the last risk.
 
     Points at the same x are averaged. A knot is added below (risk 1) and above
     (the last risk). Start slopes are the end secants at the ends and the mean of
@@ -77,7 +71,7 @@ def curves(points: DataFrame, end_knots: tuple, keys: list[str]) -> DataFrame:
     known = F.col("age_id").isin(list(AGE_CODES.values()))
     if "cause_id" in keys:
         known = known & F.col("cause_id").isin(list(MEAT_OUTCOMES.values()))
-    mean_points = points.filter(known).groupBy(*keys, "x").agg(F.avg("y").alias("y"))
+    mean_points = points.filter(known & F.col("y").isNotNull()).groupBy(*keys, "x").agg(F.avg("y").alias("y"))
     knots = mean_points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("k"))
     too_long = F.raise_error(F.lit(f"a risk curve has more than {MAX_KNOTS} points"))
     knots = knots.withColumn("k", F.when(F.size("k") > MAX_KNOTS, too_long).otherwise(F.col("k")))
@@ -88,36 +82,34 @@ def curves(points: DataFrame, end_knots: tuple, keys: list[str]) -> DataFrame:
 
     knots = knots.withColumn("k", F.concat(knot(low_x, F.lit(float(low_y))), "k", knot(high_x, F.col("last_risk"))))
     knots = knots.withColumn("s", _secants(F.col("k")))
-    no_pieces = F.array().cast(f"array<{CURVE_PIECE}>")
-    knots = knots.withColumn("start", F.struct(F.get("s", F.lit(0)).alias("m"), no_pieces.alias("out")))
+    return knots.select(
+        *keys, F.col("k.x").alias("xs"), F.col("k.y").alias("ys"), _limited_slopes(F.col("s")).alias("ms"), "last_risk"
+    )
+
+
+def _limited_slopes(secants: Column) -> Column:
+    """Slope per knot from the secants, limited piece by piece from the left.
+
+    The right slope of a piece, once limited, is the left slope of the next.
+    """
 
     def step(state: Column, i: Column) -> Column:
-        """Limit the slopes of piece i; the right slope is the start of the next piece."""
-        k, s = F.col("k"), F.col("s")
-        secant = F.get(s, i)
-        m0 = state["m"]
-        following = F.get(s, i + 1)
-        m1 = F.when(following.isNull(), secant).otherwise((secant + following) / 2)
-        a, b = F.try_divide(m0, secant), F.try_divide(m1, secant)
-        # Monotone where 2a+b <= 3, a+2b <= 3 or inside the ellipse phi >= 0.
+        secant, following, left = F.get(secants, i), F.get(secants, i + 1), state["slope"]
+        right = F.when(following.isNull(), secant).otherwise((secant + following) / 2)
+        a, b = F.try_divide(left, secant), F.try_divide(right, secant)
+        # Monotone where 2a+b <= 3, a+2b <= 3 or phi >= 0; otherwise back to the circle of radius 3.
         phi = a - F.try_divide((2 * a + b - 3) * (2 * a + b - 3), 3 * (a + b - 2))
         outside = (2 * a + b > 3) & (a + 2 * b > 3) & (phi < 0)
-        shrink = F.when(outside, 3 / F.sqrt(a * a + b * b)).otherwise(F.lit(1.0))
-        left = F.when(secant == 0, F.lit(0.0)).otherwise(m0 * shrink)
-        right = F.when(secant == 0, F.lit(0.0)).otherwise(m1 * shrink)
-        piece = F.struct(
-            F.get(k, i)["x"].alias("x0"),
-            F.get(k, i + 1)["x"].alias("x1"),
-            F.get(k, i)["y"].alias("y0"),
-            F.get(k, i + 1)["y"].alias("y1"),
-            left.alias("m0"),
-            right.alias("m1"),
+        shrink = F.when(outside, F.try_divide(F.lit(3.0), F.sqrt(a * a + b * b))).otherwise(F.lit(1.0))
+        flat = secant == 0
+        return F.struct(
+            F.when(flat, F.lit(0.0)).otherwise(right * shrink).alias("slope"),
+            F.concat(state["done"], F.array(F.when(flat, F.lit(0.0)).otherwise(left * shrink))).alias("done"),
         )
-        return F.struct(right.alias("m"), F.concat(state["out"], F.array(piece)).alias("out"))
 
-    indexes = F.sequence(F.lit(0), F.size("s") - 1)
-    pieces = F.aggregate(indexes, F.col("start"), step, lambda state: state["out"])
-    return knots.select(*keys, pieces.alias("pieces"), "last_risk")
+    start = F.struct(F.get(secants, F.lit(0)).alias("slope"), F.array().cast("array<double>").alias("done"))
+    pieces = F.sequence(F.lit(0), F.size(secants) - 1)
+    return F.aggregate(pieces, start, step, lambda state: F.concat(state["done"], F.array(state["slope"])))
 
 
 def omega_curves(points: DataFrame, end_knots: tuple = OMEGA_END_KNOTS) -> DataFrame:
@@ -130,8 +122,14 @@ def meat_curves(points: DataFrame, end_knots: tuple = MEAT_END_KNOTS) -> DataFra
 
 def curve_table(curve_rows: DataFrame) -> DataFrame:
     """One row per piece of every curve."""
-    keys = [c for c in curve_rows.columns if c != "pieces"]
-    return curve_rows.select(*keys, F.posexplode("pieces").alias("piece", "p")).select(*keys, "piece", "p.*")
+    keys = [c for c in curve_rows.columns if c not in ("xs", "ys", "ms")]
+    pieces = curve_rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.size("xs") - 2)))
+    ends = [
+        F.get(column, F.col("piece") + step).alias(f"{name}{step}")
+        for name, column in (("x", "xs"), ("y", "ys"), ("m", "ms"))
+        for step in (0, 1)
+    ]
+    return pieces.select(*keys, "piece", *ends)
 
 
 def _adult(value: Column) -> Column:
@@ -141,8 +139,9 @@ def _adult(value: Column) -> Column:
 
 def curve_risk(intakes: DataFrame, curve_rows: DataFrame, keys: list[str], x: str = "x", name: str = "risk") -> DataFrame:
     """Relative risk at ``x`` on the curve of the row's keys."""
-    joined = intakes.join(F.broadcast(curve_rows.select(*keys, "pieces")), keys, "left")
-    return joined.withColumn(name, _adult(curve_value(x, "pieces"))).drop("pieces")
+    joined = intakes.join(F.broadcast(curve_rows), keys, "left").withColumn("_piece", piece_index(x, "xs"))
+    risk = _adult(curve_value(x, "_piece", "xs", "ys", "ms"))
+    return joined.withColumn(name, risk).drop("_piece", *CURVE_COLUMNS)
 
 
 def omega_risk(intakes: DataFrame, omega: DataFrame) -> DataFrame:
@@ -194,93 +193,60 @@ def micronutrient_risk(df: DataFrame, x: str = "x", name: str = "risk") -> DataF
     return df.withColumn(name, upper_normal(F.try_divide(F.col(x) - F.col("ear"), requirement_cv() * F.col("ear"))))
 
 
-def intake_nodes(df: DataFrame, gamma: bool = True) -> DataFrame:
-    """Add ``nodes``: quadrature points and weights of the row's intake distribution.
-
-    NULL for an unknown distribution or unusable parameters. ``gamma=False``
-    leaves the Python step out for data known to hold log-normal fits only.
-    """
-    is_lognormal = (F.col("best_dist") == "log-normal") & (F.col("ln_sdlog") > 0)
-    lognormal = F.transform(
-        lognormal_nodes(),
-        lambda n: F.struct(
-            (F.exp(F.col("ln_meanlog") + F.col("ln_sdlog") * n["z"]) + F.col("ln_mean_diff")).alias("x"), n["w"].alias("w")
-        ),
-    )
-    nodes = F.when(is_lognormal, lognormal)
-    if gamma:
-        is_gamma = (F.col("best_dist") == "gamma") & (F.col("g_shape") > 0) & (F.col("g_rate") > 0)
-        df = df.withColumn("_unit", gamma_nodes(QUADRATURE_NODES)(F.when(is_gamma, F.col("g_shape"))))
-        scaled = F.zip_with(
-            "_unit.x",
-            "_unit.w",
-            lambda x, w: F.struct((x / F.col("g_rate") + F.col("g_mean_diff")).alias("x"), w.alias("w")),
-        )
-        nodes = nodes.when(is_gamma, scaled)
-    return df.withColumn("nodes", nodes).drop("_unit")
-
-
-def intake_bounds(df: DataFrame, gamma: bool = True) -> DataFrame:
-    """Add the intake at the two tail quantiles."""
+def intake_bounds(df: DataFrame) -> DataFrame:
+    """Add the intake at the two tail quantiles; NULL for an unknown distribution."""
     is_lognormal = (F.col("best_dist") == "log-normal") & (F.col("ln_sdlog") > 0)
+    is_gamma = (F.col("best_dist") == "gamma") & (F.col("g_shape") > 0) & (F.col("g_rate") > 0)
+    df = df.withColumn("_unit", gamma_tails(F.when(is_gamma, F.col("g_shape"))))
 
-    def lognormal_at(z: float) -> Column:
-        return F.exp(F.col("ln_meanlog") + F.lit(z) * F.col("ln_sdlog")) + F.col("ln_mean_diff")
+    def bound(z: float, unit: str) -> Column:
+        lognormal = F.exp(F.col("ln_meanlog") + F.lit(z) * F.col("ln_sdlog")) + F.col("ln_mean_diff")
+        gamma = F.col(f"_unit.{unit}") / F.col("g_rate") + F.col("g_mean_diff")
+        return F.when(is_lognormal, lognormal).when(is_gamma, gamma)
 
-    low, high = F.when(is_lognormal, lognormal_at(-TAIL_Z)), F.when(is_lognormal, lognormal_at(TAIL_Z))
-    if gamma:
-        is_gamma = (F.col("best_dist") == "gamma") & (F.col("g_shape") > 0) & (F.col("g_rate") > 0)
-        df = df.withColumn("_unit", gamma_nodes(3)(F.when(is_gamma, F.col("g_shape"))))
-        shift = F.col("g_mean_diff")
-        low = low.when(is_gamma, F.get("_unit.x", F.lit(0)) / F.col("g_rate") + shift)
-        high = high.when(is_gamma, F.get("_unit.x", F.lit(2)) / F.col("g_rate") + shift)
-    return df.withColumn("val_lo", low).withColumn("val_hi", high).drop("_unit")
+    return df.withColumn("val_lo", bound(-TAIL_Z, "low")).withColumn("val_hi", bound(TAIL_Z, "high")).drop("_unit")
 
 
-def _curve_integral(nodes: ColumnLike, pieces: ColumnLike) -> Column:
-    pieces = as_col(pieces)
-    return sum_over(F.transform(as_col(nodes), lambda n: n["w"] * curve_value(n["x"], pieces)))
+def _with_integral(df: DataFrame, curve_rows: DataFrame) -> DataFrame:
+    """Add ``integral``, the mean risk of each row's intake on the curve of its age (one row per outcome)."""
+    causes = [c for c in ("cause_id",) if c in curve_rows.columns]
+    rows = df.join(F.broadcast(curve_rows), "age_id", "left")
+    number = F.col("age_id") + (F.col("cause_id") * 100 if causes else F.lit(0))
+    integral = curve_integral(fit_struct(), F.when(F.col("xs").isNotNull(), number), "xs", "ys", "ms")
+    return rows.withColumn("integral", integral).drop("xs", "ys", "ms")
 
 
-def sev_micronutrient(df: DataFrame, requirements: DataFrame, sdi: DataFrame, gamma: bool = True) -> DataFrame:
+def sev_micronutrient(df: DataFrame, requirements: DataFrame, sdi: DataFrame) -> DataFrame:
     """Exposure value: percentage of the intake distribution at risk of being below the requirement."""
     rows = df.filter(F.col("nutrient").isin(SEV_NUTRIENTS) & (F.col("age_id") >= 5))
-    rows = intake_nodes(ear_lookup(rows, requirements, sdi), gamma)
-    spread = requirement_cv() * F.col("ear")
-    at_risk = sum_over(
-        F.transform("nodes", lambda n: n["w"] * upper_normal(F.try_divide(n["x"] - F.col("ear"), spread)))
-    )
-    return rows.withColumn("sev", 100 * at_risk).drop("nodes")
+    rows = ear_lookup(rows, requirements, sdi)
+    return rows.withColumn("sev", 100 * shortfall_integral(fit_struct(), "ear", requirement_cv()))
 
 
-def sev_omega3(df: DataFrame, omega: DataFrame, gamma: bool = True, min_age: int = 10) -> DataFrame:
+def sev_omega3(df: DataFrame, omega: DataFrame, min_age: int = 10) -> DataFrame:
     """Exposure value for low omega-3: 0 at the lowest risk of the curve, 100 at risk 1."""
-    rows = df.filter((F.col("nutrient") == OMEGA3) & (F.col("age_id") >= min_age))
-    rows = intake_nodes(rows.join(F.broadcast(omega), "age_id", "left"), gamma)
-    excess = ratio(_curve_integral("nodes", "pieces") - F.col("last_risk"), 1 - F.col("last_risk")) * 100
-    return rows.withColumn("sev", floor_at_zero(_adult(excess))).drop("nodes", "pieces", "last_risk")
+    rows = _with_integral(df.filter((F.col("nutrient") == OMEGA3) & (F.col("age_id") >= min_age)), omega)
+    excess = ratio(F.col("integral") - F.col("last_risk"), 1 - F.col("last_risk")) * 100
+    return rows.withColumn("sev", floor_at_zero(_adult(excess))).drop("integral", "last_risk")
 
 
-def sev_red_meat(df: DataFrame, meat: DataFrame, gamma: bool = True) -> DataFrame:
+def sev_red_meat(df: DataFrame, meat: DataFrame) -> DataFrame:
     """Exposure value for high red-meat intake, one row per outcome: 0 at risk 1, 100 at the highest risk."""
-    rows = intake_nodes(df.join(F.broadcast(meat), "age_id", "left"), gamma)
-    excess = ratio(_curve_integral("nodes", "pieces") - 1, F.col("last_risk") - 1) * 100
-    return rows.withColumn("sev", floor_at_zero(_adult(excess))).drop("nodes", "pieces", "last_risk")
+    rows = _with_integral(df, meat)
+    excess = ratio(F.col("integral") - 1, F.col("last_risk") - 1) * 100
+    return rows.withColumn("sev", floor_at_zero(_adult(excess))).drop("integral", "last_risk")
 
 
-def _scenario_integrals(df: DataFrame, curve_rows: DataFrame, keys: list[str], gamma: bool) -> DataFrame:
+def _scenario_integrals(df: DataFrame, curve_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Risk integrals of both scenarios side by side: ``base`` and ``high`` per key."""
-    rows = intake_nodes(df.join(F.broadcast(curve_rows), "age_id", "left"), gamma)
-    rows = rows.withColumn("integral", _curve_integral("nodes", "pieces"))
-    causes = [c for c in ("cause_id",) if c in curve_rows.columns]
-    return wide_sum(
-        rows, [*keys, *causes, "age_id", "last_risk"], "scenario", {"Base": "base", "High road": "high"}, "integral", True
-    )
+    groups = [*keys, *(c for c in ("cause_id",) if c in curve_rows.columns), "age_id", "last_risk"]
+    columns = {"Base": "base", "High road": "high"}
+    return wide_sum(_with_integral(df, curve_rows), groups, "scenario", columns, "integral", strict=True)
 
 
-def paf_red_meat(df: DataFrame, meat: DataFrame, keys: list[str], relative: bool, gamma: bool = True) -> DataFrame:
+def paf_red_meat(df: DataFrame, meat: DataFrame, keys: list[str], relative: bool) -> DataFrame:
     """Attributable fraction per outcome: relative change between scenarios, or the share above risk 1."""
-    rows = _scenario_integrals(df, meat, keys, gamma)
+    rows = _scenario_integrals(df, meat, keys)
     if relative:
         paf = ratio(F.col("high") - F.col("base"), "base")
     else:
@@ -288,9 +254,9 @@ def paf_red_meat(df: DataFrame, meat: DataFrame, keys: list[str], relative: bool
     return rows.withColumn("paf", _adult(paf)).drop("last_risk")
 
 
-def paf_omega3(df: DataFrame, omega: DataFrame, keys: list[str], relative: bool, gamma: bool = True) -> DataFrame:
+def paf_omega3(df: DataFrame, omega: DataFrame, keys: list[str], relative: bool) -> DataFrame:
     """Attributable fraction: relative change between scenarios, or the share above the lowest risk."""
-    rows = _scenario_integrals(df, omega, keys, gamma)
+    rows = _scenario_integrals(df, omega, keys)
     lowest = F.col("base") if relative else F.col("last_risk")
     gain = (F.col("high") if relative else F.col("base")) - lowest
     return rows.withColumn("paf", _adult(ratio(gain, "base"))).drop("last_risk")

@@ -30,9 +30,9 @@ def coded_distributions(intakes: DataFrame, distributions: DataFrame) -> DataFra
 
 
 def exposure_deltas(
-    coded: DataFrame, requirements: DataFrame, sdi: DataFrame, omega_matrix: DataFrame, end_knots, gamma: bool = True
+    coded: DataFrame, requirements: DataFrame, sdi: DataFrame, omega_matrix: DataFrame, end_knots
 ) -> DataFrame:
     """Base and high exposure per country, nutrient, sex and age, micronutrients and omega-3 together."""
     omega = risk.omega_curves(risk.age_points(omega_matrix, []), end_knots)
-    micro = risk.sev_micronutrient(coded, requirements, sdi, gamma)
-    return risk.sev_scenario_delta(micro, risk.sev_omega3(coded, omega, gamma))
+    micro = risk.sev_micronutrient(coded, requirements, sdi)
+    return risk.sev_scenario_delta(micro, risk.sev_omega3(coded, omega))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from seaplate.operators import flows
 
@@ -16,19 +15,8 @@ def catch_flows(
     return flows.zone_flow(pairs, flows.deficiency_mean(deficiency)), flows.fleet_flow(pairs)
 
 
-def net_supply(
-    catch: DataFrame,
-    values: DataFrame,
-    countries_iso: DataFrame,
-    aliases: DataFrame,
-    population: DataFrame,
-    year: int,
-    patterns=(),
-) -> DataFrame:
-    """Net nutrient flow per person and day in one catch year."""
-    pairs = flows.zone_fleet_nutrients(
-        catch.filter(F.col("year") == year), values, countries_iso, aliases, patterns
-    )
+def net_supply(pairs: DataFrame, population: DataFrame) -> DataFrame:
+    """Net nutrient flow per person and day from zone-by-fleet supplies, which both sides read."""
     return flows.net_nutrient_flow(
         flows.nutrient_zone_flow(pairs, population), flows.nutrient_fleet_flow(pairs, population)
     )
