@@ -148,7 +148,7 @@ view(
     "v_taxa",
     "SELECT * FROM (VALUES "
     + values([[text(g), *map(text, lineage)] for g, lineage in s.LINEAGES.items()])
-    + ') AS t(genus, family, "order", class) WHERE genus IN (SELECT split_part(p_name, \' \', 1) FROM part)',
+    + ') AS t(genus, family, "order", class)',
 )
 view(
     "v_assays",
@@ -440,21 +440,21 @@ view("v_reporting", f"SELECT {_cells(_FLEET, 'reporting_status', ['Reported', 'U
 _DHC, _FM = '"Direct human consumption"', 'coalesce("Fishmeal and fish oil", 0)'
 oracle(
     "supply_enduse_fmfo",
-    f"""SELECT {_FLEET}, {rs(_END_USES[:2], 1)}, {r(_FM, 1, 'Fishmeal and fish oil')},
+    f"""SELECT {_FLEET}, {rs(_END_USES[:2], 3)}, {r(_FM, 3, 'Fishmeal and fish oil')},
       {r(ratio(_DHC, _FM), 7, 'fmfo_dhc_ratio')}, {r(ratio(_FM, _DHC), 7, 'dhc_fmfo_ratio')} FROM v_fmfo""",
 )
 oracle(
     "supply_discard_ratio",
-    f"SELECT {_FLEET}, {rs(_END_USES, 1)}, {r(ratio('Discards', _DHC), 7, 'discard_ratio')} FROM v_discards",
+    f"SELECT {_FLEET}, {rs(_END_USES, 3)}, {r(ratio('Discards', _DHC), 7, 'discard_ratio')} FROM v_discards",
 )
 oracle(
     "supply_reporting_ratio",
-    f"""SELECT {_FLEET}, {rs(['Reported', 'Unreported'], 1)}, {r(ratio('Unreported', 'Reported'), 7, 'reporting_ratio')}
+    f"""SELECT {_FLEET}, {rs(['Reported', 'Unreported'], 3)}, {r(ratio('Unreported', 'Reported'), 7, 'reporting_ratio')}
     FROM v_reporting""",
 )
 oracle(
     "supply_species_matrix",
-    f"""SELECT scientific_name, {rs(SUPPLY_NUTRIENTS, 0)} FROM (
+    f"""SELECT scientific_name, {rs(SUPPLY_NUTRIENTS, 3)} FROM (
     SELECT {_cells('scientific_name', 'nutrient', SUPPLY_NUTRIENTS)} FROM v_full_supply GROUP BY scientific_name)""",
 )
 

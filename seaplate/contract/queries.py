@@ -389,26 +389,26 @@ def q_species_composition_distinct(t: Tables) -> DataFrame:
 @query
 def q_supply_enduse_fmfo(t: Tables) -> DataFrame:
     df = ratios.supply_enduse_fmfo(_biomass(t), _filled(t))
-    return rounded(rounded_all(df, ratios.END_USES, 1), fmfo_dhc_ratio=7, dhc_fmfo_ratio=7)
+    return rounded(rounded_all(df, ratios.END_USES, 3), fmfo_dhc_ratio=7, dhc_fmfo_ratio=7)
 
 
 @query
 def q_supply_discard_ratio(t: Tables) -> DataFrame:
     df = ratios.supply_discard_ratio(_biomass(t), _filled(t))
-    return rounded(rounded_all(df, ratios.END_USES, 1), discard_ratio=7)
+    return rounded(rounded_all(df, ratios.END_USES, 3), discard_ratio=7)
 
 
 @query
 def q_supply_reporting_ratio(t: Tables) -> DataFrame:
     df = ratios.supply_reporting_ratio(_biomass(t), _filled(t))
-    return rounded(df, Reported=1, Unreported=1, reporting_ratio=7)
+    return rounded(df, Reported=3, Unreported=3, reporting_ratio=7)
 
 
 @query
 def q_supply_species_matrix(t: Tables) -> DataFrame:
     biomass = catch.mean_biomass_by_key(s.catch(t))
     df = ratios.supply_species_matrix(biomass, _filled(t))
-    return rounded_all(df, ratios.SUPPLY_NUTRIENTS, 0)
+    return rounded_all(df, ratios.SUPPLY_NUTRIENTS, 3)
 
 
 def _cap_report(t: Tables, metric: str) -> DataFrame:

@@ -102,8 +102,8 @@ def lineage_resolve(species: DataFrame, taxonomy: DataFrame, tiebreak: str) -> D
 def taxon_fallback(lineage: DataFrame, stats: DataFrame, nutrients: list[str], units: DataFrame) -> DataFrame:
     """Composition of every species and nutrient from the first rank that has a value.
 
-    Each species is spread over its ranks and joined once to the statistics, so
-    a nutrient multiplies only matched rows; pairs without a match are kept.
+    Each pair is spread over its ranks, joined once to the statistics and folded
+    back by the lowest rank with a value; pairs without any stay, with NULLs.
     """
     ranks = F.array(
         *[
@@ -116,38 +116,34 @@ def taxon_fallback(lineage: DataFrame, stats: DataFrame, nutrients: list[str], u
             for rank, (label, level, column) in enumerate(RANKS)
         ]
     )
+    pair = ["species", "genus", "spp", "family", "order", "class", "nutrient"]
     asked = (
-        lineage.select("species", F.explode(ranks).alias("r"))
-        .select("species", "r.rank", "r.taxa_match", "r.level", "r.taxon")
-        .filter(F.col("taxon").isNotNull())
+        lineage.withColumn("r", F.explode(ranks))
+        .withColumn("nutrient", F.explode(F.array(*[F.lit(n) for n in nutrients])))
+        .select(*pair, "r.rank", "r.taxa_match", "r.level", "r.taxon")
     )
-    known = stats.filter(F.col("value").isNotNull() & F.col("nutrient").isin(nutrients))
+    known = stats.filter(F.col("value").isNotNull()).select("level", "taxon", "nutrient", *STATS)
+    usable_rank = F.when(F.col("value").isNotNull(), F.col("rank"))
     best = (
-        asked.join(known, ["level", "taxon"])
-        .groupBy("species", "nutrient")
-        .agg(F.min_by(F.struct("taxa_match", *STATS), "rank").alias("best"))
-        .select("species", "nutrient", "best.*")
+        asked.join(known, ["level", "taxon", "nutrient"], "left")
+        .groupBy(*pair)
+        .agg(F.min_by(F.struct("taxa_match", *STATS), usable_rank).alias("best"))
+        .select(*pair, "best.*")
     )
-    pairs = lineage.withColumn("nutrient", F.explode(F.array(*[F.lit(n) for n in nutrients])))
-    filled = pairs.join(best, ["species", "nutrient"], "left").join(units, "nutrient", "left")
-    lineage_columns = ["species", "genus", "spp", "family", "order", "class"]
-    return t_interval(filled.select(*lineage_columns, "nutrient", "nutrient_units", *STATS, "taxa_match"))
+    filled = best.join(units, "nutrient", "left")
+    return t_interval(filled.select(*pair, "nutrient_units", *STATS, "taxa_match"))
 
 
-def group_means(composition: DataFrame, species_rows: DataFrame, groups: DataFrame) -> DataFrame:
+def group_means(rows: DataFrame) -> DataFrame:
     """Statistics per functional group and nutrient over the catch rows that have a value.
 
-    ``species_rows`` holds the number of catch rows per species, so the weighted
-    moments are taken over species instead of over the catch.
+    ``rows`` holds one value per species and nutrient with the number of its catch
+    rows, so the weighted moments are taken over species instead of over the catch.
     """
-    rows = (
-        composition.filter(F.col("value").isNotNull())
-        .join(species_rows, "species")
-        .join(groups, "genus_word")
-        .filter(F.col("functional_group").isNotNull())
-        .select("functional_group", "nutrient", "value", "n_rows")
-    )
     keys = ["functional_group", "nutrient"]
+    rows = rows.filter(F.col("value").isNotNull() & F.col("functional_group").isNotNull()).select(
+        *keys, "value", "n_rows"
+    )
     means = rows.groupBy(*keys).agg(
         (F.sum(F.col("value") * F.col("n_rows")) / F.sum("n_rows")).alias("mean"), F.sum("n_rows").alias("count")
     )
@@ -165,27 +161,34 @@ def group_means(composition: DataFrame, species_rows: DataFrame, groups: DataFra
     )
 
 
+def catch_rows(biomass: DataFrame) -> DataFrame:
+    """Number of biomass rows per species."""
+    return biomass.groupBy(F.lower("scientific_name").alias("species")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def functional_group_fill(
-    composition: DataFrame, biomass: DataFrame, species_groups: DataFrame, tiebreak: str
+    composition: DataFrame, species_rows: DataFrame, species_groups: DataFrame, tiebreak: str
 ) -> DataFrame:
     """Fill species without a value from the mean of their functional group.
 
-    The group of a species is that of the first listed species with the same first word.
+    The group of a species is that of the first listed species with the same first
+    word; ``species_rows`` weighs each species by its number of biomass rows.
     """
-    words = composition.withColumn("genus_word", word("species", 0))
-    groups = dim_first(
-        species_groups.select(F.lower(word("scientific_name", 0)).alias("genus_word"), "functional_group", tiebreak),
-        "genus_word",
-        tiebreak,
-    ).drop(tiebreak)
-    species_rows = biomass.groupBy(F.lower("scientific_name").alias("species")).agg(F.count(F.lit(1)).alias("n_rows"))
-    fill = group_means(words, species_rows, groups).select(
+    first_words = species_groups.select(
+        F.lower(word("scientific_name", 0)).alias("genus_word"), "functional_group", tiebreak
+    )
+    groups = dim_first(first_words, "genus_word", tiebreak).drop(tiebreak)
+    grouped = (
+        composition.withColumn("genus_word", word("species", 0))
+        .join(groups, "genus_word", "left")
+        .join(species_rows, "species")
+    )
+    fill = group_means(grouped).select(
         "functional_group", "nutrient", *[F.col(c).alias(f"fill_{c}") for c in STATS]
     )
     missing = F.col("value").isNull()
-    filled = words.join(groups, "genus_word", "left").join(fill, ["functional_group", "nutrient"], "left")
     return t_interval(
-        filled.select(
+        grouped.join(fill, ["functional_group", "nutrient"], "left").select(
             "species",
             "nutrient",
             "nutrient_units",

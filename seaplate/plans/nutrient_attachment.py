@@ -39,8 +39,13 @@ def filled_composition(
     **selection,
 ) -> DataFrame:
     """Composition of the caught species, gaps filled from functional groups."""
-    biomass = mean_biomass_by_key(catch)
+    species_rows = comp.catch_rows(mean_biomass_by_key(catch))
     nearest = species_composition(
-        biomass, assays, taxonomy, assay_order=assay_order, taxonomy_order=taxonomy_order, **selection
+        species_rows.withColumnRenamed("species", "scientific_name"),
+        assays,
+        taxonomy,
+        assay_order=assay_order,
+        taxonomy_order=taxonomy_order,
+        **selection,
     )
-    return comp.functional_group_fill(nearest, biomass, species_groups, group_order)
+    return comp.functional_group_fill(nearest, species_rows, species_groups, group_order)

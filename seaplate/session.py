@@ -16,6 +16,8 @@ JOB_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_local_folders: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
@@ -44,9 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="seaplate-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="seaplate-")
+    return _local_folders[app]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -16,14 +16,13 @@ def stage_table(df: DataFrame, name: str, path: str | None = None, partition_by:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def stage_by_year(catch: DataFrame, path: str | None = None, salts: int = 64) -> DataFrame:
+def stage_by_year(catch: DataFrame, path: str | None = None) -> DataFrame:
     """The catch as one folder per year, so that a year is read without the others.
 
-    A hash of the row salts the year, so that one large year is written by many tasks.
+    Rows are gathered by year, and Spark splits a large year over as many tasks
+    as its size asks for.
     """
-    salt = F.pmod(F.xxhash64(*catch.columns), F.lit(salts))
-    by_year = catch.repartition(F.col("year"), salt)
-    return stage_table(by_year, "catch", path, ["year"])
+    return stage_table(catch.hint("rebalance", "year"), "catch", path, ["year"])
 
 
 def year_slice(staged: DataFrame, year: int) -> DataFrame:
