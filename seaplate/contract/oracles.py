@@ -515,11 +515,11 @@ _LONG = "countries, products, iso3c, nutrient, year"
 oracle(
     "balance_parse",
     f"""SELECT countries, products, iso3c, nutrient, code || ' supply ' AS nutrient_long, units, 'base' AS scenario,
-      {r('value', 8, 'A1997')} FROM v_long WHERE year = 1997""",
+      {r('value', 11, 'A1997')} FROM v_long WHERE year = 1997""",
 )
-oracle("balance_unpivot", f"SELECT {_LONG}, {r('value', 8)} FROM v_long")
-oracle("balance_scope", f"SELECT {_LONG}, {r('value', 8)} FROM v_scoped")
-oracle("bloc_expand", f"SELECT {_LONG}, {r('value', 8)} FROM v_expanded")
+oracle("balance_unpivot", f"SELECT {_LONG}, {r('value', 11)} FROM v_long")
+oracle("balance_scope", f"SELECT {_LONG}, {r('value', 11)} FROM v_scoped")
+oracle("bloc_expand", f"SELECT {_LONG}, {r('value', 11)} FROM v_expanded")
 _SECTOR = case("products", PRODUCT_SECTORS)
 oracle("production_sector", f"SELECT products, {_SECTOR} AS production_sector, count(*) AS n_rows FROM v_scoped GROUP BY 1, 2")
 view(
@@ -529,7 +529,7 @@ view(
       coalesce(sum(value), 0) AS nut_supply
     FROM v_expanded WHERE products <> 'Total food' AND year = {s.SUPPLY_YEAR} GROUP BY 1, 2, 3""",
 )
-oracle("sector_supply", f"SELECT iso3c, production_sector, nutrient, {r('nut_supply', 7)} FROM v_sectors")
+oracle("sector_supply", f"SELECT iso3c, production_sector, nutrient, {r('nut_supply', 9)} FROM v_sectors")
 for _name, _pop in (("", "v_pop"), ("_coastal", "v_coastal")):
     view(
         f"v_per_capita{_name}",
@@ -565,7 +565,7 @@ for _name, _pop in (("", "v_pop"), ("_coastal", "v_coastal")):
     oracle(
         f"supply_share_table{_name}",
         "SELECT iso3c, nutrient, "
-        + rs([*_SECTORS, "total", "perc_fish", "perc_ASF", "perc_tot"], 6)
+        + rs([*_SECTORS, "total", "perc_fish", "perc_ASF", "perc_tot"], 9)
         + f" FROM v_shares{_name}",
     )
 
@@ -805,11 +805,11 @@ view(
       ON i.iso3 = f.iso3 AND i.nutrient = f.nutrient AND i.sex = f.sex AND i.age_group = f.age_group""",
 )
 view("v_coded", "SELECT * FROM v_fitted WHERE mean_group IS NOT NULL")
-oracle("other_food_supply", f"SELECT iso3c, nutrient, {r('supply', 7)} FROM v_other")
-oracle("fish_scenarios", f"SELECT iso3c, nutrient, units, scenario, {r('total_supply', 6)} FROM v_scenarios")
+oracle("other_food_supply", f"SELECT iso3c, nutrient, {r('supply', 9)} FROM v_other")
+oracle("fish_scenarios", f"SELECT iso3c, nutrient, units, scenario, {r('total_supply', 9)} FROM v_scenarios")
 oracle(
     "scenario_bloc_expand",
-    f"SELECT iso3, country, nutrient, nutrient_units, scenario, {r('intake', 6)} FROM v_intakes",
+    f"SELECT iso3, country, nutrient, nutrient_units, scenario, {r('intake', 9)} FROM v_intakes",
 )
 oracle("sex_expand", f"SELECT {_KEYS}, sex, age_range, {r('value_med', 6)} FROM v_sexes")
 oracle("group_scalar", f"SELECT iso3, nutrient, sex, age_group, {r('scalar', 8)} FROM v_scalars")
@@ -821,7 +821,7 @@ oracle(
 oracle(
     "intake_by_group",
     f"""SELECT scenario, iso3, country, nutrient, nutrient_units, sex, age_group, nutrient_genus, iso3_genus,
-      {rs(['scalar_genus', 'scalar_spade', 'scalar'], 8)}, {r('mean_cntry', 6)},
+      {rs(['scalar_genus', 'scalar_spade', 'scalar'], 11)}, {r('mean_cntry', 9)},
       {r('mean_cntry * scalar', 6, 'mean_group')} FROM v_group_intake""",
 )
 oracle(

@@ -433,24 +433,24 @@ def q_ratio_cap_report_reporting(t: Tables) -> DataFrame:
 @query
 def q_balance_parse(t: Tables) -> DataFrame:
     df = balance.balance_parse(s.balance_wide(t))
-    return rounded(df, A1997=8).select("countries", "products", "iso3c", "nutrient", "nutrient_long", "units", "scenario", "A1997")
+    return rounded(df, A1997=11).select("countries", "products", "iso3c", "nutrient", "nutrient_long", "units", "scenario", "A1997")
 
 
 @query
 def q_balance_unpivot(t: Tables) -> DataFrame:
     df = balance.balance_unpivot(balance.balance_parse(s.balance_wide(t)))
-    return rounded(df.select("countries", "products", "iso3c", "nutrient", "year", "value"), value=8)
+    return rounded(df.select("countries", "products", "iso3c", "nutrient", "year", "value"), value=11)
 
 
 @query
 def q_balance_scope(t: Tables) -> DataFrame:
-    return rounded(_balance(t).select("countries", "products", "iso3c", "nutrient", "year", "value"), value=8)
+    return rounded(_balance(t).select("countries", "products", "iso3c", "nutrient", "year", "value"), value=11)
 
 
 @query
 def q_bloc_expand(t: Tables) -> DataFrame:
     df = _expanded_balance(t).select("countries", "products", "iso3c", "nutrient", "year", "value")
-    return rounded(df, value=8)
+    return rounded(df, value=11)
 
 
 @query
@@ -461,7 +461,7 @@ def q_production_sector(t: Tables) -> DataFrame:
 
 @query
 def q_sector_supply(t: Tables) -> DataFrame:
-    return rounded(balance.sector_supply(_expanded_balance(t), s.SUPPLY_YEAR), nut_supply=7)
+    return rounded(balance.sector_supply(_expanded_balance(t), s.SUPPLY_YEAR), nut_supply=9)
 
 
 @query
@@ -479,12 +479,12 @@ SHARES = ["ASF", "Fish", "Other", "bottom_trawl", "total", "perc_fish", "perc_AS
 
 @query
 def q_supply_share_table(t: Tables) -> DataFrame:
-    return rounded_all(_shares(t, _population(t)), SHARES, 6)
+    return rounded_all(_shares(t, _population(t)), SHARES, 9)
 
 
 @query
 def q_supply_share_table_coastal(t: Tables) -> DataFrame:
-    return rounded_all(_shares(t, _coastal(t)), SHARES, 6)
+    return rounded_all(_shares(t, _coastal(t)), SHARES, 9)
 
 
 # Foreign-fleet flows.
@@ -581,17 +581,17 @@ def q_net_nutrient_flow(t: Tables) -> DataFrame:
 
 @query
 def q_other_food_supply(t: Tables) -> DataFrame:
-    return rounded(intake.other_food_supply(_balance(t), s.SUPPLY_YEAR), supply=7)
+    return rounded(intake.other_food_supply(_balance(t), s.SUPPLY_YEAR), supply=9)
 
 
 @query
 def q_fish_scenarios(t: Tables) -> DataFrame:
-    return rounded(_scenarios(t), total_supply=6)
+    return rounded(_scenarios(t), total_supply=9)
 
 
 @query
 def q_scenario_bloc_expand(t: Tables) -> DataFrame:
-    return rounded(intake.scenario_bloc_expand(_scenarios(t), s.country_names(t), _members(t)), intake=6)
+    return rounded(intake.scenario_bloc_expand(_scenarios(t), s.country_names(t), _members(t)), intake=9)
 
 
 @query
@@ -617,7 +617,7 @@ def q_demographic_grid(t: Tables) -> DataFrame:
 
 @query
 def q_intake_by_group(t: Tables) -> DataFrame:
-    return rounded(_intakes(t), scalar_genus=8, scalar_spade=8, scalar=8, mean_cntry=6, mean_group=6)
+    return rounded(_intakes(t), scalar_genus=11, scalar_spade=11, scalar=11, mean_cntry=9, mean_group=6)
 
 
 @query
