@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from seaplate.operators import composition as comp
 from seaplate.operators.catch import mean_biomass_by_key
+from seaplate.sources.sinks import stage_table
 from seaplate.vocab import ASSAY_NUTRIENTS, ASSAY_PARTS, ASSAY_PREPARATIONS
 
 
@@ -38,8 +39,12 @@ def filled_composition(
     group_order: str,
     **selection,
 ) -> DataFrame:
-    """Composition of the caught species, gaps filled from functional groups."""
-    species_rows = comp.catch_rows(mean_biomass_by_key(catch))
+    """Composition of the caught species, gaps filled from functional groups.
+
+    The catch is passed over once: its species and their row counts are staged,
+    since the lookup and the group means both start from them.
+    """
+    species_rows = stage_table(comp.catch_rows(mean_biomass_by_key(catch)), "species-rows")
     nearest = species_composition(
         species_rows.withColumnRenamed("species", "scientific_name"),
         assays,
