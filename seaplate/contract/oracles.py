@@ -7,8 +7,10 @@ and gets the views it mentions, in order, as a WITH clause.
 from __future__ import annotations
 
 import re
+import zlib
 
 from seaplate.contract import standin as s
+from seaplate.functions.numeric import NORMAL_BOTTOM, NORMAL_SPLIT, NORMAL_TOP
 from seaplate.vocab import (
     AGE_CODES,
     AGES_OVER_80,
@@ -123,7 +125,8 @@ view(
       CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_quantity END AS tonnes
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-    JOIN v_nations z ON c_nationkey = z.n_nationkey JOIN nation f ON s_nationkey = f.n_nationkey""",
+    JOIN v_nations z ON c_nationkey = z.n_nationkey
+    JOIN nation f ON f.n_nationkey = CASE WHEN l_linenumber <= c_nationkey % 4 AND l_orderkey % 2 = 0 THEN c_nationkey ELSE s_nationkey END""",
 )
 view("v_sel", "SELECT * FROM v_catch WHERE gear = 'bottom trawl' AND sector = 'Industrial'")
 view(
@@ -515,7 +518,8 @@ _LONG = "countries, products, iso3c, nutrient, year"
 oracle(
     "balance_parse",
     f"""SELECT countries, products, iso3c, nutrient, code || ' supply ' AS nutrient_long, units, 'base' AS scenario,
-      {r('value', 11, 'A1997')} FROM v_long WHERE year = 1997""",
+      {', '.join(r(f'max(value) FILTER (WHERE year = {y})', 11, f'A{y}') for y in s.BALANCE_YEARS)}
+    FROM v_long GROUP BY countries, products, iso3c, nutrient, code, units""",
 )
 oracle("balance_unpivot", f"SELECT {_LONG}, {r('value', 11)} FROM v_long")
 oracle("balance_scope", f"SELECT {_LONG}, {r('value', 11)} FROM v_scoped")
@@ -783,17 +787,24 @@ view(
     LEFT JOIN v_scalars80 g ON i.iso3_genus = g.iso3 AND i.nutrient_genus = g.nutrient AND i.sex = g.sex AND i.age_group = g.age_group
     LEFT JOIN v_survey v ON i.iso3 = v.iso3 AND i.nutrient = v.nutrient AND i.sex = v.sex AND i.age_group = v.age_group""",
 )
-view(
-    "v_fits",
-    f"""SELECT {code('c_nationkey')} AS iso3,
-      CASE k WHEN 3 THEN 'Vitamin A, RAE' ELSE {pick('k', s.INTAKE_NUTRIENTS)} END AS nutrient, d.sex, d.age_group,
+_SPREAD = "CASE c_nationkey % 5 WHEN 1 THEN 3.0 WHEN 2 THEN 0.125 ELSE 1.0 END"
+
+
+def _fits(kind: str) -> str:
+    return f"""SELECT {code('c_nationkey')} AS iso3, k, d.sex, d.age_group, d.sex_id, d.age_id,
       CASE WHEN c_nationkey % 3 = 0 THEN 'gamma' ELSE 'log-normal' END AS best_dist,
       CASE WHEN sd <> 0 THEN mean * mean / (sd * sd) END AS g_shape, CASE WHEN sd <> 0 THEN mean / (sd * sd) END AS g_rate,
       meanlog + 0.01 * d.step AS ln_meanlog, ln_sdlog
-    FROM (SELECT c_nationkey, o_orderkey % 6 AS k, avg(ln(o_totalprice / 10000)) AS meanlog,
-        stddev_samp(ln(o_totalprice / 10000)) AS ln_sdlog, avg(o_totalprice) / 10000 AS mean,
-        stddev_samp(o_totalprice) / 10000 AS sd
-      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) CROSS JOIN v_demography d""",
+    FROM (SELECT c_nationkey, {kind} AS k, avg(ln(o_totalprice / 10000)) AS meanlog,
+        stddev_samp(ln(o_totalprice / 10000)) * {_SPREAD} AS ln_sdlog, avg(o_totalprice) / 10000 AS mean,
+        stddev_samp(o_totalprice) / 10000 * {_SPREAD} AS sd
+      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) CROSS JOIN v_demography d"""
+
+
+view(
+    "v_fits",
+    f"""SELECT * EXCLUDE (k, sex_id, age_id), CASE k WHEN 3 THEN 'Vitamin A, RAE' ELSE {pick('k', s.INTAKE_NUTRIENTS)} END AS nutrient
+    FROM ({_fits('o_orderkey % 6')})""",
 )
 view(
     "v_fitted",
@@ -851,25 +862,28 @@ oracle(
 
 
 def _bands(level: str, cause: str) -> str:
-    return f"""SELECT {cause} AS cause_id, {pick('l_partkey % 15', s.CURVE_AGES)} AS age_id,
+    return f"""SELECT {cause} AS cause_id, {pick(f'l_partkey % {len(s.CURVE_AGES)}', s.CURVE_AGES)} AS age_id,
       CAST(least(floor(l_quantity / 10), 4) AS INTEGER) AS band, avg({level}) AS level FROM lineitem GROUP BY 1, 2, 3"""
 
 
+# An outcome without a code is known by minus the crc32 of its name.
+_UNLISTED = -zlib.crc32(s.UNLISTED_OUTCOME.encode())
+_CAUSE = f"CASE WHEN l_suppkey % 8 = 7 THEN {_UNLISTED} ELSE {pick('l_linenumber - 1', list(MEAT_OUTCOMES.values()))} END"
 view(
     "v_points",
-    f"""SELECT 0 AS cause_id, age_id, 7.5 * band AS x, 1 - band * level AS y FROM ({_bands('l_discount', '0')})
-    UNION ALL SELECT cause_id, age_id, 50.0 * band, 1 + band * level * 2
-      FROM ({_bands('l_tax', pick('l_linenumber - 1', list(MEAT_OUTCOMES.values())))})""",
+    f"""SELECT 0 AS cause_id, age_id, 3.0 * band AS x, 1 - band * level AS y FROM ({_bands('l_discount', '0')})
+    UNION ALL SELECT cause_id, age_id, 50.0 * band, 1 + band * level * 2 FROM ({_bands('l_tax', _CAUSE)})""",
 )
 view("v_last", "SELECT cause_id, age_id, max_by(y, x) AS last_risk FROM v_points GROUP BY 1, 2")
-_LOW = f"CASE cause_id WHEN 0 THEN {s.OMEGA_ENDS[0][0]} ELSE -200 END"
-_HIGH = f"CASE cause_id WHEN 0 THEN {s.OMEGA_ENDS[1]} ELSE 1000 END"
+_LOW = "CASE cause_id WHEN 0 THEN -0.2 ELSE -200 END"
+_HIGH = "CASE cause_id WHEN 0 THEN 6.0 ELSE 1000 END"
 view(
     "v_knots",
     f"""SELECT *, row_number() OVER (PARTITION BY cause_id, age_id ORDER BY x) - 1 AS i FROM (
-      SELECT cause_id, age_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM v_points
-      UNION ALL SELECT cause_id, age_id, CAST({_LOW} AS DOUBLE), 1.0 FROM v_last
-      UNION ALL SELECT cause_id, age_id, CAST({_HIGH} AS DOUBLE), last_risk FROM v_last)""",
+      SELECT cause_id, age_id, x, avg(y) AS y FROM (
+        SELECT cause_id, age_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM v_points
+        UNION ALL SELECT cause_id, age_id, CAST({_LOW} AS DOUBLE), 1.0 FROM v_last
+        UNION ALL SELECT cause_id, age_id, CAST({_HIGH} AS DOUBLE), last_risk FROM v_last) GROUP BY 1, 2, 3)""",
 )
 view(
     "v_secants",
@@ -910,6 +924,14 @@ view(
 )
 
 
+# Stretches without a kink: the pieces, and the lines beyond both ends.
+view(
+    "v_stretches",
+    """SELECT *, x0 AS a, x1 AS b FROM v_pieces UNION ALL SELECT *, CAST('-inf' AS DOUBLE), x0 FROM v_pieces WHERE isinf(lo)
+    UNION ALL SELECT *, x1, CAST('inf' AS DOUBLE) FROM v_pieces WHERE isinf(hi)""",
+)
+
+
 def curve_at(x: str) -> str:
     h, t = "(x1 - x0)", f"((({x}) - x0) / (x1 - x0))"
     return f"""CASE WHEN {x} < x0 THEN y0 + m0 * ({x} - x0) WHEN {x} > x1 THEN y1 + m1 * ({x} - x1)
@@ -920,12 +942,12 @@ def curve_at(x: str) -> str:
 _PIECE = f"CAST(piece AS INTEGER) AS piece, x0, x1, {rs(['y0', 'y1', 'm0', 'm1', 'last_risk'], 8)}"
 oracle(
     "curve_table",
-    f"SELECT CAST(cause_id AS INTEGER) AS cause_id, CAST(age_id AS INTEGER) AS age_id, {_PIECE} FROM v_pieces WHERE cause_id <> 0",
+    f"SELECT CAST(cause_id AS BIGINT) AS cause_id, CAST(age_id AS INTEGER) AS age_id, {_PIECE} FROM v_pieces WHERE cause_id <> 0",
 )
 oracle("curve_table_omega", f"SELECT CAST(age_id AS INTEGER) AS age_id, {_PIECE} FROM v_pieces WHERE cause_id = 0")
 view(
     "v_persons",
-    f"""SELECT o_custkey AS person, {pick('o_custkey % 16', [7, *s.CURVE_AGES])} AS age_id, avg(o_totalprice) AS price
+    f"""SELECT o_custkey AS person, {pick(f'o_custkey % {len(s.CURVE_AGES) + 1}', [7, *s.CURVE_AGES])} AS age_id, avg(o_totalprice) AS price
     FROM orders GROUP BY o_custkey""",
 )
 oracle(
@@ -982,14 +1004,16 @@ _WHO = "scenario, iso3, nutrient, CAST(sex_id AS INTEGER) AS sex_id, CAST(age_id
 oracle("ear_lookup", f"SELECT {_WHO}, sdi_group, {r('ear', 8)} FROM v_needed")
 
 
+def _powers(coefficients: list[float], x: str) -> str:
+    return " + ".join(f"{c!r} * pow({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients))
+
+
 def tail_of(z: str) -> str:
-    """P(Z > z), Abramowitz and Stegun 7.1.26."""
-    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2)))"
-    poly = (
-        f"(0.254829592 * {t} - 0.284496736 * pow({t}, 2) + 1.421413741 * pow({t}, 3)"
-        f" - 1.453152027 * pow({t}, 4) + 1.061405429 * pow({t}, 5))"
-    )
-    tail = f"({poly} * exp(-({z}) * ({z}) / 2) / 2)"
+    """P(Z > z): Hart's fraction, and the continued fraction far out."""
+    x = f"abs({z})"
+    far = f"({x} + 1 / ({x} + 2 / ({x} + 3 / ({x} + 4 / ({x} + 0.65)))))"
+    tail = f"""(CASE WHEN {x} > 38 THEN 0 WHEN {x} < {NORMAL_SPLIT} THEN exp(-({z}) * ({z}) / 2) * ({_powers(NORMAL_TOP, x)})
+      / ({_powers(NORMAL_BOTTOM, x)}) ELSE exp(-({z}) * ({z}) / 2) / ({far} * sqrt(2 * pi())) END)"""
     return f"CASE WHEN ({z}) >= 0 THEN {tail} ELSE 1 - {tail} END"
 
 
@@ -999,36 +1023,43 @@ oracle(
     FROM (SELECT *, CASE WHEN ear <> 0 THEN (mean_group - ear) / (cv * ear) END AS z FROM v_needed)""",
 )
 
-# Quadrature nodes: log-normal uniform in z; gamma uniform in log x between its tail quantiles.
-view(
-    "v_z",
-    f"""SELECT i, -{TAIL_Z} + i * 2 * {TAIL_Z} / 200 AS z, simpson,
-      simpson * (2 * {TAIL_Z} / 200) / 3 * exp(-pow(-{TAIL_Z} + i * 2 * {TAIL_Z} / 200, 2) / 2) / sqrt(2 * pi()) AS w
-    FROM (SELECT CAST(i AS DOUBLE) AS i, CASE WHEN i IN (0, 200) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END AS simpson
-          FROM generate_series(0, 200) AS g(i))""",
-)
+# Simpson's rule on 0..1, far finer than the code's nodes, which are other ones: here the risk is integrated over the
+# density, uniform in z for log-normal and in log x for gamma fits, and curves piece by piece.
+
+
+def _simpson(name: str, n: int) -> None:
+    view(
+        name,
+        f"""SELECT i / {n} AS u, CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / {3.0 * n} AS w
+        FROM (SELECT CAST(i AS DOUBLE) AS i FROM generate_series(0, {n}) AS g(i))""",
+    )
+
+
+_simpson("v_fine", 3000)
+_simpson("v_piece_nodes", 400)
+_DENSITY_Z = "exp(-z * z / 2) / sqrt(2 * pi())"
+view("v_z", f"SELECT z, w * 2 * {TAIL_Z} * {_DENSITY_Z} AS w FROM (SELECT -{TAIL_Z} + 2 * {TAIL_Z} * u AS z, w FROM v_fine)")
 view("v_shapes", "SELECT DISTINCT g_shape AS a FROM v_fits WHERE g_shape > 0")
-view("v_terms", "SELECT CAST(n AS DOUBLE) AS n FROM generate_series(0, 400) AS g(n)")
+view("v_terms", "SELECT CAST(n AS DOUBLE) AS n FROM generate_series(0, 700) AS g(n)")
 view(
     "v_g_steps",
-    """SELECT 0 AS step, a, p, CAST(-60 AS DOUBLE) AS lo, ln(a + 12 * sqrt(a) + 40) AS hi
+    """SELECT 0 AS step, a, p, (ln(p) + lgamma(a + 1)) / a - 1 AS lo, ln(a + 12 * sqrt(a) + 40) AS hi
       FROM v_shapes CROSS JOIN (VALUES (0.0001), (0.9999)) AS t(p)
     UNION ALL SELECT * FROM (
       SELECT s.step + 1, s.a, s.p, CASE WHEN m.mass < s.p THEN (s.lo + s.hi) / 2 ELSE s.lo END,
         CASE WHEN m.mass < s.p THEN s.hi ELSE (s.lo + s.hi) / 2 END
       FROM v_g_steps s JOIN LATERAL (SELECT sum(exp((s.a + n) * (s.lo + s.hi) / 2 - exp((s.lo + s.hi) / 2)
-        - lgamma(s.a + n + 1))) AS mass FROM v_terms) m ON true WHERE s.step < 55) AS bisected""",
+        - lgamma(s.a + n + 1))) AS mass FROM v_terms) m ON true WHERE s.step < 60) AS bisected""",
 )
 view(
     "v_tails",
     """SELECT a, max((lo + hi) / 2) FILTER (WHERE p < 0.5) AS t_lo, max((lo + hi) / 2) FILTER (WHERE p > 0.5) AS t_hi
-    FROM v_g_steps WHERE step = 55 GROUP BY a""",
+    FROM v_g_steps WHERE step = 60 GROUP BY a""",
 )
 view(
     "v_gamma_nodes",
-    """SELECT a, i, exp(t) AS x, 0.9998 * weight / sum(weight) OVER (PARTITION BY a) AS w
-    FROM (SELECT a, i, t, simpson * exp(a * t - exp(t) - a * ln(a) + a) AS weight
-      FROM (SELECT a, i, simpson, t_lo + (t_hi - t_lo) * i / 200 AS t FROM v_tails CROSS JOIN v_z))""",
+    """SELECT a, exp(t) AS x, w * (t_hi - t_lo) * exp(a * t - exp(t) - lgamma(a)) AS w
+    FROM (SELECT a, t_lo, t_hi, w, t_lo + (t_hi - t_lo) * u AS t FROM v_tails CROSS JOIN v_fine)""",
 )
 _BOUND = "scenario, iso3, nutrient, CAST(sex_id AS INTEGER) AS sex_id, CAST(age_id AS INTEGER) AS age_id"
 oracle(
@@ -1055,20 +1086,51 @@ def _micro(nodes: str, x: str, guard: str) -> str:
     GROUP BY {_ROW}, ear, g_shape, ln_sdlog"""
 
 
-def _omega(nodes: str, x: str, guard: str) -> str:
-    return f"""SELECT {_ROW}, CASE WHEN sev < 0 THEN 0 ELSE sev END AS sev FROM (
-      SELECT {_ROW}, CASE WHEN {guard} THEN {ratio('sum(w * risk) - last_risk', '1 - last_risk')} END * 100 AS sev
-      FROM (SELECT c.*, p.last_risk, w, {curve_at('v')} AS risk
-        FROM (SELECT c.*, n.w, {x} AS v FROM v_omega_rows c LEFT JOIN {nodes}) c
-        JOIN v_pieces p ON p.cause_id = 0 AND p.age_id = c.age_id AND ((lo <= v AND v < hi) OR (v IS NULL AND piece = 0)))
-      GROUP BY {_ROW}, last_risk, g_shape, ln_sdlog)"""
+def floored(value: str) -> str:
+    return f"CASE WHEN ({value}) < 0 THEN 0 ELSE {value} END"
+
+
+def _clipped(value: str, low: str, high: str) -> str:
+    return f"greatest({low}, least({high}, {value}))"
+
+
+def _integrals(rows: str, keys: str, pieces: str, mu: str, sd: str, shift: str) -> str:
+    """Mean risk of log-normal rows per curve: the sum over a curve's pieces."""
+    z = lambda x: f"CASE WHEN {x} <= {shift} THEN -{TAIL_Z} ELSE {_clipped(f'(ln({x} - {shift}) - {mu}) / {sd}', f'-{TAIL_Z}', TAIL_Z)} END"
+    return f"""SELECT {keys}, cause_id, last_risk, sum(w * (z_hi - z_lo) * {_DENSITY_Z} * ({curve_at('v')})) AS integral
+    FROM (SELECT *, exp({mu} + {sd} * z) + {shift} AS v
+      FROM (SELECT *, z_lo + (z_hi - z_lo) * u AS z
+        FROM (SELECT q.*, p.* EXCLUDE (age_id), CASE WHEN isinf(p.a) THEN -{TAIL_Z} ELSE {z('p.a')} END AS z_lo,
+                CASE WHEN isinf(p.b) THEN {TAIL_Z} ELSE {z('p.b')} END AS z_hi
+              FROM {rows} q JOIN v_stretches p ON {pieces} AND p.age_id = q.age_id WHERE {sd} > 0)
+        CROSS JOIN v_piece_nodes WHERE z_hi > z_lo)) GROUP BY {keys}, cause_id, last_risk"""
+
+
+def _gamma_integrals(rows: str, keys: str) -> str:
+    """The same for gamma rows of omega-3, in log x."""
+    unit = lambda x: f"(({x} - g_mean_diff) * g_rate)"
+    t = lambda x: f"CASE WHEN {unit(x)} <= exp(t_lo) THEN t_lo ELSE {_clipped(f'ln({unit(x)})', 't_lo', 't_hi')} END"
+    return f"""SELECT {keys}, last_risk, sum(w * (t_b - t_a) * exp(g_shape * t - exp(t) - lgamma(g_shape)) * ({curve_at('v')})) AS integral
+    FROM (SELECT *, exp(t) / g_rate + g_mean_diff AS v
+      FROM (SELECT *, t_a + (t_b - t_a) * u AS t
+        FROM (SELECT q.*, p.* EXCLUDE (age_id), CASE WHEN isinf(p.a) THEN t_lo ELSE {t('p.a')} END AS t_a,
+                CASE WHEN isinf(p.b) THEN t_hi ELSE {t('p.b')} END AS t_b
+              FROM {rows} q JOIN v_tails ts ON ts.a = g_shape JOIN v_stretches p ON p.cause_id = 0 AND p.age_id = q.age_id)
+        CROSS JOIN v_piece_nodes WHERE t_b > t_a)) GROUP BY {keys}, last_risk"""
+
+
+def _omega(integrals: str, guard: str) -> str:
+    own = ", ".join(f"c.{k}" for k in _ROW.split(", "))
+    return f"""SELECT {own}, {floored(f"CASE WHEN {guard} THEN {ratio('integral - last_risk', '1 - last_risk')} END * 100")} AS sev
+    FROM v_omega_rows c LEFT JOIN ({integrals}) g USING ({_ROW})"""
 
 
 _LN_NODES, _G_NODES = "v_z n ON true", "v_gamma_nodes n ON n.a = g_shape"
 view("v_sev_micro", _micro(_LN_NODES, _LN_X, "ln_sdlog > 0"))
 view("v_sev_micro_gamma", _micro(_G_NODES, _G_X, "g_shape > 0"))
-view("v_sev_omega", _omega(_LN_NODES, _LN_X, "ln_sdlog > 0"))
-view("v_sev_omega_gamma", _omega(_G_NODES, _G_X, "g_shape > 0"))
+_OMEGA_LN = _integrals("v_omega_rows", _ROW, "p.cause_id = 0", "ln_meanlog", "ln_sdlog", "ln_mean_diff")
+view("v_sev_omega", _omega(_OMEGA_LN, "ln_sdlog > 0"))
+view("v_sev_omega_gamma", _omega(_gamma_integrals("v_omega_rows", _ROW), "g_shape > 0"))
 for _name, _view in (
     ("sev_micronutrient", "v_sev_micro"),
     ("sev_micronutrient_gamma", "v_sev_micro_gamma"),
@@ -1078,27 +1140,21 @@ for _name, _view in (
     oracle(_name, f"SELECT {_BOUND}, {r('sev', 4)} FROM {_view}")
 view(
     "v_meat_rows",
-    """SELECT x.scenario, f.iso3, d.sex_id, d.age_id, f.ln_meanlog + 1.5 AS mu, f.ln_sdlog AS sd, x.shift
-    FROM v_fits f JOIN v_demography d ON f.sex = d.sex AND f.age_group = d.age_group
-    CROSS JOIN (VALUES ('Base', 0.0), ('High road', 5.0)) AS x(scenario, shift) WHERE f.nutrient = 'Omega-3 fatty acids'""",
+    f"""SELECT x.scenario, f.iso3, f.sex_id, f.age_id, f.ln_meanlog + 1.5 AS mu, f.ln_sdlog AS sd, x.shift
+    FROM ({_fits('0')}) f CROSS JOIN (VALUES ('Base', 0.0), ('High road', 5.0)) AS x(scenario, shift)""",
 )
+_MEAT_ROW = "scenario, iso3, sex_id, age_id"
 view(
     "v_meat_integrals",
-    f"""SELECT m.scenario, m.iso3, m.sex_id, m.age_id, c.cause_id, c.last_risk, CASE WHEN m.sd > 0 THEN g.integral END AS integral
+    f"""SELECT m.scenario, m.iso3, m.sex_id, m.age_id, c.cause_id, c.last_risk, g.integral
     FROM v_meat_rows m LEFT JOIN (SELECT * FROM v_last WHERE cause_id <> 0) c ON c.age_id = m.age_id
-    LEFT JOIN (SELECT scenario, iso3, sex_id, n.age_id, cause_id, sum(w * {curve_at('v')}) AS integral
-      FROM (SELECT *, exp(mu + sd * z) + shift AS v FROM v_meat_rows CROSS JOIN v_z WHERE sd > 0) n
-      JOIN v_pieces p ON p.cause_id <> 0 AND p.age_id = n.age_id AND lo <= v AND v < hi GROUP BY 1, 2, 3, 4, 5) g
+    LEFT JOIN ({_integrals('v_meat_rows', _MEAT_ROW, 'p.cause_id <> 0', 'mu', 'sd', 'shift')}) g
     ON g.scenario = m.scenario AND g.iso3 = m.iso3 AND g.sex_id = m.sex_id AND g.age_id = m.age_id AND g.cause_id = c.cause_id""",
 )
 _YOUNG = "age_id IN (5, 6, 7, 8, 9)"
 
 
-def floored(value: str) -> str:
-    return f"CASE WHEN ({value}) < 0 THEN 0 ELSE {value} END"
-
-
-_MEAT = "iso3, CAST(sex_id AS INTEGER) AS sex_id, CAST(age_id AS INTEGER) AS age_id, CAST(cause_id AS INTEGER) AS cause_id"
+_MEAT = "iso3, CAST(sex_id AS INTEGER) AS sex_id, CAST(age_id AS INTEGER) AS age_id, CAST(cause_id AS BIGINT) AS cause_id"
 oracle(
     "sev_red_meat",
     f"""SELECT scenario, {_MEAT}, {r(f'CASE WHEN {_YOUNG} THEN 0 ELSE {floored("sev")} END', 4, 'sev')}
@@ -1123,13 +1179,11 @@ oracle("paf_red_meat", _paf("v_meat_sides", _MEAT, floored(ratio("base - 1", "ba
 oracle("paf_red_meat_relative", _paf("v_meat_sides", _MEAT, ratio("high - base", "base")))
 view(
     "v_omega_integrals",
-    f"""SELECT c.scenario, c.iso3, c.sex_id, c.age_id, l.last_risk, CASE WHEN c.ln_sdlog > 0 THEN g.integral END AS integral
+    f"""SELECT c.scenario, c.iso3, c.sex_id, c.age_id, l.last_risk, g.integral
     FROM (SELECT * FROM v_coded WHERE nutrient = 'Omega-3 fatty acids') c
     LEFT JOIN v_last l ON l.cause_id = 0 AND l.age_id = c.age_id
-    LEFT JOIN (SELECT n.scenario, n.iso3, n.sex_id, n.age_id, sum(w * {curve_at('v')}) AS integral
-      FROM (SELECT c.scenario, c.iso3, c.sex_id, c.age_id, w, {_LN_X} AS v FROM v_coded c CROSS JOIN v_z
-            WHERE nutrient = 'Omega-3 fatty acids' AND ln_sdlog > 0) n
-      JOIN v_pieces p ON p.cause_id = 0 AND p.age_id = n.age_id AND lo <= v AND v < hi GROUP BY 1, 2, 3, 4) g
+    LEFT JOIN ({_integrals("(SELECT scenario, iso3, sex_id, age_id, ln_meanlog, ln_sdlog, ln_mean_diff FROM v_coded WHERE nutrient = 'Omega-3 fatty acids')",
+                           "scenario, iso3, sex_id, age_id", "p.cause_id = 0", "ln_meanlog", "ln_sdlog", "ln_mean_diff")}) g
     ON g.scenario = c.scenario AND g.iso3 = c.iso3 AND g.sex_id = c.sex_id AND g.age_id = c.age_id""",
 )
 view("v_omega_sides", _sides("v_omega_integrals", "iso3, sex_id, age_id, last_risk"))

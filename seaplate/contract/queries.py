@@ -164,7 +164,7 @@ def _coded(t: Tables, best: str | None) -> DataFrame:
 
 
 def _omega(t: Tables) -> DataFrame:
-    return risk.omega_curves(risk.age_points(s.omega_matrix(t), []), s.OMEGA_ENDS)
+    return risk.omega_curves(risk.age_points(s.omega_matrix(t), []))
 
 
 def _meat(t: Tables) -> DataFrame:
@@ -172,24 +172,21 @@ def _meat(t: Tables) -> DataFrame:
 
 
 def _meat_intake(t: Tables, best: str) -> DataFrame:
-    """Red-meat intake by nation and age, around 125 a day; the high scenario shifts it by 5."""
-    fits = s.distributions(t, best).filter(F.col("nutrient") == OMEGA3)
-    coded = intake.demographic_codes(fits.withColumn("mean_group", F.lit(0.0)))
+    """Red-meat intake by nation, sex and age; the high scenario shifts it by 5."""
+    coded = intake.demographic_codes(s.meat_distributions(t, best).withColumn("mean_group", F.lit(0.0)))
     shift = F.when(F.col("scenario") == "Base", F.lit(0.0)).otherwise(F.lit(5.0))
     return (
         coded.withColumn("scenario", F.explode(F.array(F.lit("Base"), F.lit("High road"))))
-        .withColumn("ln_meanlog", F.col("ln_meanlog") + 1.5)
-        .withColumn("g_rate", F.col("g_rate") / 4.5)
         .withColumn("ln_mean_diff", shift)
         .withColumn("g_mean_diff", shift)
         .withColumnRenamed("country_iso3", "iso3")
-        .drop("mean_group", "nutrient")
+        .drop("mean_group")
     )
 
 
 def _deltas(t: Tables, best: str | None = "log-normal") -> DataFrame:
     return exposure.exposure_deltas(
-        _coded(t, best), s.requirements(t), s.sdi(t), s.omega_matrix(t), s.OMEGA_ENDS
+        _coded(t, best), s.requirements(t), s.sdi(t), s.omega_matrix(t)
     )
 
 
@@ -433,7 +430,8 @@ def q_ratio_cap_report_reporting(t: Tables) -> DataFrame:
 @query
 def q_balance_parse(t: Tables) -> DataFrame:
     df = balance.balance_parse(s.balance_wide(t))
-    return rounded(df, A1997=11).select("countries", "products", "iso3c", "nutrient", "nutrient_long", "units", "scenario", "A1997")
+    years = [f"A{y}" for y in s.BALANCE_YEARS]
+    return rounded_all(df, years, 11).select("countries", "products", "iso3c", "nutrient", "nutrient_long", "units", "scenario", *years)
 
 
 @query
@@ -663,7 +661,7 @@ def _risk_points(t: Tables) -> DataFrame:
     ages = F.array(*[F.lit(a) for a in [7, *s.CURVE_AGES]])
     return t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("price")).select(
         F.col("o_custkey").alias("person"),
-        F.get(ages, (F.col("o_custkey") % 16).cast("int")).alias("age_id"),
+        F.get(ages, (F.col("o_custkey") % (len(s.CURVE_AGES) + 1)).cast("int")).alias("age_id"),
         F.col("price"),
     )
 

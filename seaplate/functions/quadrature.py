@@ -1,15 +1,19 @@
 """Integrals of risk over fitted intake distributions, as Arrow column functions.
 
-Each row is integrated on its own fixed nodes, so the work is one vectorised pass
-over the rows of a batch and needs no shuffle. The same sums as higher-order
-array functions took 700 microseconds per row and as exploded rows 120 plus a
-shuffle, against about 20 here.
+With R the risk and F the distribution function, the integral of R over the distribution between its tail
+quantiles is taken by parts: R F at both ends less the integral of R' F. R' is the normal density around
+a requirement, or a polynomial on each piece of a curve, and F has no peak or pole, whatever the
+shape or spread of the fit. The range is cut where R' changes (around the requirement, at the curve's
+knots) and at quantiles of the distribution, and each part gets ``NODES`` Gauss-Legendre nodes.
+
+A row is worked out by itself, so there is no shuffle. Measured per row: 45 microseconds for log-normal fits,
+0.2 to 0.8 milliseconds for gamma fits of distinct shapes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,12 +21,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from seaplate.functions.numeric import ERF_A, ERF_P
-from seaplate.functions.quantiles import gamma_log_quantile, usable
+from seaplate.functions.numeric import upper_normal_array
+from seaplate.functions.quantiles import gamma_log_quantile, gamma_mass, usable
 from seaplate.vocab import HIGH_TAIL, LOW_TAIL, TAIL_Z
 
-NODES = 201
-CHUNK = 1024
+NODES = 12
+CHUNK = 512
+GAUSS_X, GAUSS_W = np.polynomial.legendre.leggauss(NODES)
+QUANTILE_Z = np.linspace(-TAIL_Z, TAIL_Z, 17)
+BELOW_HIGH = np.geomspace(1e-7, 0.5, 15)
+REQUIREMENT_Z = np.array([-9.0, -6.5, -5.0, -4.0, -3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.5, 9.0])
 FIT_COLUMNS = ["best_dist", "g_shape", "g_rate", "g_mean_diff", "ln_meanlog", "ln_sdlog", "ln_mean_diff"]
 
 
@@ -31,75 +39,101 @@ def fit_struct() -> Column:
     return F.struct(*FIT_COLUMNS)
 
 
-def simpson_weights(nodes: int = NODES) -> np.ndarray:
-    weights = np.where(np.arange(nodes) % 2 == 1, 4.0, 2.0)
-    weights[[0, -1]] = 1.0
-    return weights
+class Lognormal:
+    """Shifted log-normal distributions, one per row."""
 
+    def __init__(self, fit: pd.DataFrame):
+        self.mu, self.sd, self.shift = (fit[c].to_numpy(dtype="float64")[:, None] for c in ("ln_meanlog", "ln_sdlog", "ln_mean_diff"))
+        self.cuts = np.exp(self.mu + self.sd * QUANTILE_Z) + self.shift
+        self.low, self.high = self.cuts[:, :1], self.cuts[:, -1:]
 
-def lognormal_grid(fit: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Intake and weight per node: composite Simpson in z times the normal density."""
-    z = np.linspace(-TAIL_Z, TAIL_Z, NODES)
-    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    weights = simpson_weights() * (z[1] - z[0]) / 3 * density
-    mu, sd, shift = (fit[c].to_numpy(dtype="float64")[:, None] for c in ("ln_meanlog", "ln_sdlog", "ln_mean_diff"))
-    return np.exp(mu + sd * z) + shift, np.broadcast_to(weights, (len(fit), NODES))
+    def below(self, x: np.ndarray) -> np.ndarray:
+        """P(X <= x), rows by nodes."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = (np.log(np.maximum(x - self.shift, 0.0)) - self.mu) / self.sd
+        return upper_normal_array(-z)
+
+
+class Gamma:
+    """Shifted gamma distributions, one per row; tails are solved once per distinct shape."""
 
+    def __init__(self, fit: pd.DataFrame):
+        self.shape, self.rate, self.shift = (fit[c].to_numpy(dtype="float64")[:, None] for c in ("g_shape", "g_rate", "g_mean_diff"))
+        distinct, where = np.unique(self.shape[:, 0], return_inverse=True)
+        low, high = (np.exp(gamma_log_quantile(p, distinct))[where][:, None] for p in (LOW_TAIL, HIGH_TAIL))
+        # Wilson and Hilferty's quantiles for large shapes, and steps by a factor for small ones; only places to cut.
+        near = 1 - 1 / (9 * self.shape) + QUANTILE_Z / (3 * np.sqrt(self.shape))
+        cuts = np.concatenate([self.shape * np.maximum(near, 0) ** 3, high * BELOW_HIGH], axis=1)
+        self.cuts = np.clip(cuts, low, high) / self.rate + self.shift
+        self.low, self.high = low / self.rate + self.shift, high / self.rate + self.shift
 
-def gamma_grid(fit: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The same on the log scale between the tail quantiles, scaled to the mass between them."""
-    shapes, where = np.unique(fit["g_shape"].to_numpy(dtype="float64"), return_inverse=True)
-    low, high = gamma_log_quantile(LOW_TAIL, shapes), gamma_log_quantile(HIGH_TAIL, shapes)
-    grid = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, NODES)
-    exponent = shapes[:, None] * grid - np.exp(grid)
-    weights = simpson_weights() * np.exp(exponent - exponent.max(axis=1, keepdims=True))
-    weights *= (HIGH_TAIL - LOW_TAIL) / weights.sum(axis=1, keepdims=True)
-    rate, shift = (fit[c].to_numpy(dtype="float64")[:, None] for c in ("g_rate", "g_mean_diff"))
-    return np.exp(grid)[where] / rate + shift, weights[where]
+    def below(self, x: np.ndarray) -> np.ndarray:
+        unit = np.maximum((x - self.shift) * self.rate, 0.0)
+        with np.errstate(divide="ignore"):
+            log_x = np.log(unit)
+        out = np.zeros(x.shape)
+        some = unit > 0
+        out[some] = gamma_mass(np.broadcast_to(self.shape, x.shape)[some], log_x[some])
+        return out
 
 
-def intake_grids(fit: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row positions, intakes, weights) for the rows with a known distribution, in bounded chunks."""
+Fits = Lognormal | Gamma
+
+
+def fits_of(fit: pd.DataFrame) -> Iterator[tuple[np.ndarray, Fits]]:
+    """(row positions, distributions) of the rows with a known distribution, in bounded chunks."""
     kinds = [
-        (lognormal_grid, (fit["best_dist"] == "log-normal").to_numpy(dtype=bool) & usable(fit["ln_sdlog"])),
-        (gamma_grid, (fit["best_dist"] == "gamma").to_numpy(dtype=bool) & usable(fit["g_shape"]) & usable(fit["g_rate"])),
+        (Lognormal, (fit["best_dist"] == "log-normal").to_numpy(dtype=bool) & usable(fit["ln_sdlog"])),
+        (Gamma, (fit["best_dist"] == "gamma").to_numpy(dtype=bool) & usable(fit["g_shape"]) & usable(fit["g_rate"])),
     ]
-    for grid, mask in kinds:
+    for kind, mask in kinds:
         rows = np.flatnonzero(mask)
         for start in range(0, len(rows), CHUNK):
             part = rows[start : start + CHUNK]
-            yield part, *grid(fit.iloc[part])
+            yield part, kind(fit.iloc[part])
 
 
-def upper_normal_array(z: np.ndarray) -> np.ndarray:
-    """P(Z > z), the same approximation as the column expression."""
-    u = z / math.sqrt(2.0)
-    t = 1.0 / (1.0 + ERF_P * np.abs(u))
-    poly = np.zeros_like(u)
-    for a in reversed(ERF_A):
-        poly = (poly + a) * t
-    tail = poly * np.exp(-u * u) / 2
-    return np.where(u >= 0, tail, 1 - tail)
+def by_parts(fits: Fits, cuts: np.ndarray, risk: Callable, slope: Callable) -> np.ndarray:
+    """The integral of ``risk`` over each row's distribution between its tail quantiles; ``cuts`` are where its slope changes."""
+    places = np.sort(np.clip(np.concatenate([fits.low, fits.high, fits.cuts, cuts], axis=1), fits.low, fits.high), axis=1)
+    half = np.diff(places, axis=1) / 2
+    middle = (places[:, 1:] + places[:, :-1]) / 2
+    x = (middle[:, :, None] + half[:, :, None] * GAUSS_X).reshape(len(places), -1)
+    weights = (half[:, :, None] * GAUSS_W).reshape(len(places), -1)
+    inner = (weights * slope(x) * fits.below(x)).sum(axis=1)
+    return (risk(fits.high) * HIGH_TAIL - risk(fits.low) * LOW_TAIL)[:, 0] - inner
 
 
 @F.pandas_udf(DoubleType())
 def shortfall_integral(fit: pd.DataFrame, ear: pd.Series, cv: pd.Series) -> pd.Series:
     """Probability that intake is below a requirement that is normal around ``ear``."""
     need, spread = ear.to_numpy(dtype="float64"), (ear * cv).to_numpy(dtype="float64")
+    spread = np.where(spread == 0, np.nan, spread)
     result = np.full(len(fit), np.nan)
-    for rows, x, w in intake_grids(fit):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            risk = upper_normal_array((x - need[rows, None]) / spread[rows, None])
-        result[rows] = (w * risk).sum(axis=1)
+    for rows, fits in fits_of(fit):
+        m, s = need[rows, None], spread[rows, None]
+        known = ~np.isnan(m + s)[:, 0]
+        cuts = np.where(known[:, None], m + s * REQUIREMENT_Z, 0.0)
+        with np.errstate(invalid="ignore"):
+            integral = by_parts(
+                fits,
+                cuts,
+                lambda x, m=m, s=s: upper_normal_array((x - m) / s),
+                lambda x, m=m, s=s: -np.exp(-(((x - m) / s) ** 2) / 2) / (s * math.sqrt(2 * math.pi)),
+            )
+        result[rows] = np.where(known, integral, np.nan)
     return pd.Series(result)
 
 
-def hermite_array(x: np.ndarray, xs: np.ndarray, ys: np.ndarray, ms: np.ndarray) -> np.ndarray:
-    """Values of one curve at any array of intakes."""
+def hermite_array(x: np.ndarray, xs: np.ndarray, ys: np.ndarray, ms: np.ndarray, slope: bool = False) -> np.ndarray:
+    """Values, or slopes, of one curve at any array of intakes; straight lines beyond its ends."""
     i = np.clip(np.searchsorted(xs, x, side="right") - 1, 0, len(xs) - 2)
     h = (xs[1:] - xs[:-1])[i]
     t = (x - xs[i]) / h
     s = 1 - t
+    if slope:
+        inside = 6 * t * s * (ys[i + 1] - ys[i]) / h + ms[i] * s * (1 - 3 * t) + ms[i + 1] * t * (3 * t - 2)
+        return np.where(x < xs[0], ms[0], np.where(x > xs[-1], ms[-1], inside))
     inside = ys[i] * (1 + 2 * t) * s * s + ys[i + 1] * t * t * (3 - 2 * t) + h * t * s * (ms[i] * s - ms[i + 1] * t)
     below = ys[0] + ms[0] * (x - xs[0])
     above = ys[-1] + ms[-1] * (x - xs[-1])
@@ -108,13 +142,13 @@ def hermite_array(x: np.ndarray, xs: np.ndarray, ys: np.ndarray, ms: np.ndarray)
 
 @F.pandas_udf(DoubleType())
 def curve_integral(fit: pd.DataFrame, curve: pd.Series, xs: pd.Series, ys: pd.Series, ms: pd.Series) -> pd.Series:
-    """Mean relative risk of the intake distribution on the row's curve; ``curve`` numbers the curves."""
-    number = curve.to_numpy(dtype="float64", na_value=np.nan)
+    """Mean relative risk of the intake distribution on the row's curve; ``curve`` tells curves apart."""
     result = np.full(len(fit), np.nan)
-    for rows, x, w in intake_grids(fit):
-        for one in np.unique(number[rows][~np.isnan(number[rows])]):
-            on = np.flatnonzero(number[rows] == one)
-            first = rows[on[0]]
-            knots = (np.asarray(a.iloc[first], dtype="float64") for a in (xs, ys, ms))
-            result[rows[on]] = (w[on] * hermite_array(x[on], *knots)).sum(axis=1)
+    for _, positions in curve.groupby(curve, dropna=True).indices.items():
+        knots = [np.asarray(a.iloc[positions[0]], dtype="float64") for a in (xs, ys, ms)]
+        for rows, fits in fits_of(fit.iloc[positions]):
+            cuts = np.broadcast_to(knots[0], (len(rows), len(knots[0])))
+            result[positions[rows]] = by_parts(
+                fits, cuts, lambda x, k=knots: hermite_array(x, *k), lambda x, k=knots: hermite_array(x, *k, slope=True)
+            )
     return pd.Series(result)

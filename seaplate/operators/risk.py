@@ -1,11 +1,14 @@
 """Relative-risk curves, requirements, exposure values, attributable fractions and affected people.
 
 A curve is one row: ordered arrays of knots, values and slopes. An exposure value
-is an integral inside its own row and adds no shuffle.
+is an integral inside its own row and adds no shuffle. Curves join on their codes like any
+table; whether they are small enough to broadcast is Spark's size-checked choice.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,6 @@ from seaplate.functions.text import lookup, recode
 from seaplate.operators.intake import demographic_labels
 from seaplate.operators.shape import wide_sum
 from seaplate.vocab import (
-    AGE_CODES,
     DEFAULT_CV,
     MEAT_END_KNOTS,
     MEAT_OUTCOMES,
@@ -30,21 +32,24 @@ from seaplate.vocab import (
     TAIL_Z,
 )
 
-MAX_KNOTS = 1000
 CURVE_COLUMNS = ["xs", "ys", "ms", "last_risk"]
 
 
 def age_points(wide: DataFrame, keys: list[str]) -> DataFrame:
     """Long (keys, x, age_id, y) points from a matrix with one ``age<code>`` column per age."""
-    ages = [c for c in wide.columns if c.startswith("age")]
+    ages = [c for c in wide.columns if re.fullmatch(r"age\d+", c)]
     long = wide.select(*keys, "x", *ages).unpivot([F.col(c) for c in [*keys, "x"]], [F.col(a) for a in ages], "age", "y")
     return long.withColumn("age_id", F.substring("age", 4, 9).cast("int")).drop("age")
 
 
-def meat_points(wide: DataFrame) -> DataFrame:
-    """Red-meat points by outcome code; ``x`` is the intake of the row."""
-    named = wide.withColumn("cause_id", lookup("`Diet.high.in.red.meat`", MEAT_OUTCOMES))
-    return age_points(named, ["cause_id"])
+def meat_points(wide: DataFrame, outcomes: dict[str, int] = MEAT_OUTCOMES) -> DataFrame:
+    """Red-meat points by outcome code; ``x`` is the intake of the row.
+
+    An outcome that is not listed keeps its curve, under minus the crc32 of its name.
+    """
+    name = F.col("`Diet.high.in.red.meat`")
+    code = F.coalesce(lookup(name, outcomes).cast("long"), -F.crc32(name))
+    return age_points(wide.withColumn("cause_id", code), ["cause_id"])
 
 
 def _secants(k: Column) -> Column:
@@ -60,28 +65,24 @@ def _secants(k: Column) -> Column:
 def curves(points: DataFrame, end_knots: tuple, keys: list[str]) -> DataFrame:
     """One row per curve: knots ``xs``, values ``ys``, monotone slopes ``ms``, and the last risk.
 
-    Points at the same x are averaged. A knot is added below (risk 1) and above
-    (the last risk). Start slopes are the end secants at the ends and the mean of
-    both secants inside; they are limited as in Fritsch and Carlson (1980).
-
-    The result is small by construction: known age and outcome codes only, and
-    an error beyond ``MAX_KNOTS`` per curve. That is what allows its broadcast.
+    A knot is added at each end, with risk 1 at the low one and the last measured risk at the
+    high one, wherever the measured points lie; values at the same x, the added
+    ones too, are averaged, and knots sorted. Start slopes are the end secants at the ends and the
+    mean of both secants inside; they are limited as in Fritsch and Carlson (1980). Points
+    without x or value are left out. A curve's points meet in one task, since
+    each slope depends on the one before.
     """
     (low_x, low_y), high_x = end_knots
-    known = F.col("age_id").isin(list(AGE_CODES.values()))
-    if "cause_id" in keys:
-        known = known & F.col("cause_id").isin(list(MEAT_OUTCOMES.values()))
-    mean_points = points.filter(known & F.col("y").isNotNull()).groupBy(*keys, "x").agg(F.avg("y").alias("y"))
-    knots = mean_points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("k"))
-    too_long = F.raise_error(F.lit(f"a risk curve has more than {MAX_KNOTS} points"))
-    knots = knots.withColumn("k", F.when(F.size("k") > MAX_KNOTS, too_long).otherwise(F.col("k")))
-    knots = knots.withColumn("last_risk", F.element_at("k", -1)["y"])
-
-    def knot(x: float, y: Column) -> Column:
-        return F.array(F.struct(F.lit(float(x)).alias("x"), y.alias("y")))
-
-    knots = knots.withColumn("k", F.concat(knot(low_x, F.lit(float(low_y))), "k", knot(high_x, F.col("last_risk"))))
-    knots = knots.withColumn("s", _secants(F.col("k")))
+    known = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col("x").cast("double"), "y")
+    last = known.groupBy(*keys, "x").agg(F.avg("y").alias("y")).groupBy(*keys).agg(F.max_by("y", "x").alias("last_risk"))
+    added = F.array(
+        F.struct(F.lit(float(low_x)).alias("x"), F.lit(float(low_y)).alias("y")),
+        F.struct(F.lit(float(high_x)).alias("x"), F.col("last_risk").alias("y")),
+    )
+    ends = last.select(*keys, F.inline(added))
+    merged = known.unionByName(ends).groupBy(*keys, "x").agg(F.avg("y").alias("y"))
+    knots = merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("k"))
+    knots = knots.join(last, keys).withColumn("s", _secants(F.col("k")))
     return knots.select(
         *keys, F.col("k.x").alias("xs"), F.col("k.y").alias("ys"), _limited_slopes(F.col("s")).alias("ms"), "last_risk"
     )
@@ -139,7 +140,7 @@ def _adult(value: Column) -> Column:
 
 def curve_risk(intakes: DataFrame, curve_rows: DataFrame, keys: list[str], x: str = "x", name: str = "risk") -> DataFrame:
     """Relative risk at ``x`` on the curve of the row's keys."""
-    joined = intakes.join(F.broadcast(curve_rows), keys, "left").withColumn("_piece", piece_index(x, "xs"))
+    joined = intakes.join(curve_rows, keys, "left").withColumn("_piece", piece_index(x, "xs"))
     risk = _adult(curve_value(x, "_piece", "xs", "ys", "ms"))
     return joined.withColumn(name, risk).drop("_piece", *CURVE_COLUMNS)
 
@@ -210,9 +211,9 @@ def intake_bounds(df: DataFrame) -> DataFrame:
 def _with_integral(df: DataFrame, curve_rows: DataFrame) -> DataFrame:
     """Add ``integral``, the mean risk of each row's intake on the curve of its age (one row per outcome)."""
     causes = [c for c in ("cause_id",) if c in curve_rows.columns]
-    rows = df.join(F.broadcast(curve_rows), "age_id", "left")
-    number = F.col("age_id") + (F.col("cause_id") * 100 if causes else F.lit(0))
-    integral = curve_integral(fit_struct(), F.when(F.col("xs").isNotNull(), number), "xs", "ys", "ms")
+    rows = df.join(curve_rows, "age_id", "left")
+    label = F.concat_ws(" ", "age_id", *causes)
+    integral = curve_integral(fit_struct(), F.when(F.col("xs").isNotNull(), label), "xs", "ys", "ms")
     return rows.withColumn("integral", integral).drop("xs", "ys", "ms")
 
 

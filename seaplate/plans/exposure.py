@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from seaplate.operators import balance, intake, risk
+from seaplate.vocab import OMEGA_END_KNOTS
 
 
 def scoped_balance(wide: DataFrame, exclusions: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def coded_distributions(intakes: DataFrame, distributions: DataFrame) -> DataFra
 
 
 def exposure_deltas(
-    coded: DataFrame, requirements: DataFrame, sdi: DataFrame, omega_matrix: DataFrame, end_knots
+    coded: DataFrame, requirements: DataFrame, sdi: DataFrame, omega_matrix: DataFrame, end_knots=OMEGA_END_KNOTS
 ) -> DataFrame:
     """Base and high exposure per country, nutrient, sex and age, micronutrients and omega-3 together."""
     omega = risk.omega_curves(risk.age_points(omega_matrix, []), end_knots)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seaplate.functions.quantiles import student_quantile
+from seaplate.functions.quantiles import student_cdf_angle, student_quantile
 from seaplate.operators import composition as comp
 
 ASSAYS = "sciname string, genus string, family string, `order` string, class string, nutrient string, nutrient_units string, value double, line int"
@@ -87,6 +87,15 @@ def test_student_quantiles_match_the_published_table():
     assert np.allclose(got, [12.706, 4.303, 2.571, 2.228, 2.042, 1.980], atol=5e-4)
 
 
+def test_student_quantiles_for_any_degrees_of_freedom():
+    df = np.array([1.0, 3.0, 399.0, 401.0, 1e4, 1e9, 1e10, 1e12, 1e15])
+    got = student_quantile(0.975, df)
+    assert np.all(np.diff(got) < 1e-12) and got[-1] == pytest.approx(1.959963984540054, rel=1e-12)
+    assert np.allclose(student_cdf_angle(np.arctan(got[:5] / np.sqrt(df[:5])), df[:5]), 0.975, atol=1e-10)
+    near = student_quantile(0.975, np.array([399.999999, 400.0]))
+    assert near[0] == pytest.approx(near[1], rel=1e-8)
+
+
 def test_interval_is_null_for_one_observation(frame):
     df = comp.t_interval(frame([(5.0, None, 1), (5.0, 1.0, 3)], "value double, se double, count long"))
     rows = df.orderBy("count").collect()
