@@ -148,7 +148,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     _, sources, count = prepare(docs)
     used = stage(schedule(sources), "slots").groupBy("sid").agg(F.count("*").alias("used"))
-    rows = placed(sized(docs), sources.join(used, "sid", "left").fillna(0, ["used"]), count)
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__doc"))  # out of the way of other names
+    rows = placed(sized(packed), sources.join(used, "sid", "left").fillna(0, ["used"]), count)
     epochs = F.when(F.col("blocks") > 0, F.expr("used div blocks")).otherwise(0)
     rest = F.when(F.col("blocks") > 0, F.expr("(used % blocks) * length")).otherwise(0)
     part = F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("before")))
@@ -156,4 +157,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = rows.filter("__size > 0").withColumn("__words", F.explode(copies))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_AFTER_SPACE), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
     text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).select(*docs.columns)
+    return rows.select(*(text.alias(c) if c == "text" else F.col("__doc")[c].alias(c) for c in docs.columns))

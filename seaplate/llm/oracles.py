@@ -1,5 +1,113 @@
-"""SQL counterparts of the operators' queries, where SQL can express them on whole tables."""
+"""SQL counterparts of the operators' queries, where SQL can express them on whole tables.
+
+Without one: language ID and quality (trained here), token planes (a tokenizer), the mix (its order comes from a
+hash that the SQL engine lacks), repeated strings (too slow over whole tables) and the pipeline.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+REACH = """
+reach AS (
+    SELECT id, id AS other FROM nodes
+    UNION
+    SELECT reach.id, links.y FROM reach JOIN links ON reach.other = links.x
+),
+parts AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+"""
+
+OP4 = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
+),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+{REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE x = id) AS n_links, component_id, id = component_id AS kept FROM parts
+"""
+
+OP7 = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+places AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM places),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)
+),
+nodes AS (SELECT doc_id AS id FROM documents),
+{REACH}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept
+FROM parts LEFT JOIN n ON n.doc_id = id
+"""
+
+OP8 = """
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+places AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t),
+x AS (
+    SELECT doc_id, i, ls[i] AS line,
+           translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM places
+),
+f AS (SELECT k, max(doc_id) AS last FROM x WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT x.doc_id, i, line, coalesce(x.doc_id <> f.last, false) AS gone FROM x LEFT JOIN f ON x.k = f.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+OP9 = rf"""
+WITH item_words AS (
+    SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+),
+windows AS (
+    SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[i:i + 12], ' ') AS g
+    FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM item_words WHERE len(ws) > 0)
+),
+w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes WHERE len(ws) >= n),
+grams AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM places),
+found AS (SELECT doc_id, i, grams.n, item_id FROM grams JOIN windows ON grams.g = windows.g AND grams.n = windows.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hit ON hit.doc_id = w.doc_id LEFT JOIN items ON items.doc_id = w.doc_id
+"""
+
+OP10 = """
+WITH r AS (
+    SELECT page_id,
+           replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS address,
+           coalesce(html, '') AS body, chr(13) || chr(10) AS e
+    FROM pages
+),
+t AS (
+    SELECT page_id,
+           'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || e
+           || 'WARC-Target-URI: ' || address || e || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'Content-Type: text/html' || e
+           || 'Content-Length: ' || strlen(body)::VARCHAR || e || e || body AS record
+    FROM r
+)
+SELECT page_id, strlen(record) AS n_bytes, sha256(record) AS record_sha256, coalesce(page_id % 97 = 5, false) AS damaged FROM t
+"""
+ORACLES: dict[str, str] = {
+    "op4_embedding_neardup": OP4,
+    "op7_minhash": OP7,
+    "op8_line_dedup": OP8,
+    "op9_decontaminate": OP9,
+    "op10_warc_audit": OP10,
+}
