@@ -9,9 +9,11 @@ that agree on a band.
 1. Documents with equal sets become one class, whose smallest doc_id represents it.
 2. Each bucket links its smallest representative to the others: a star, not all pairs.
    The links are confirmed on the full sets, and components formed.
-3. Where a bucket still spans several components, its members meet in bounded blocks. Pairs
-   of different components whose signatures agree in at least ``AGREE`` bins (half, when 96 are
-   expected at the limit) are confirmed too, so a star's centre hides no link.
+3. Where a bucket still spans several components, its members meet in bounded blocks, so that a star's
+   centre hides no link. There sets of up to ``SAMPLE`` shingles are compared whole and each pair of components gives
+   its most similar pair, if any reaches the limit; larger sets are compared by the shingles with the smallest
+   hashes, a fixed share of each set, and give every pair that comes within ``MARGIN`` of it (5 to 8 standard
+   errors). What is given is confirmed on the full sets.
 
 At similarity 0.75 a pair shares none of the 32 bands with probability 5e-6.
 
@@ -38,8 +40,10 @@ WIDTH = 5
 PERCENT = 75
 BINS = 128
 ROWS = 4
-AGREE = 64
+SAMPLE = 512
+MARGIN = 0.15
 BLOCK = 512
+COLUMNS = 4096
 _TRIES = 64
 NOT_WHITE = ~k.WHITE
 
@@ -80,25 +84,25 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _describe(pdf: pd.DataFrame, width: int) -> Iterator[tuple]:
     for doc, own in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), width), strict=True):
         if not len(own):
-            yield doc, 0, None, None, None
+            yield doc, 0, None, None
             continue
         sign = signature(own)
         bands = np.zeros(BINS // ROWS, np.uint64)
         for i in range(ROWS):
             bands = bands * np.uint64(k.STEP) + sign[i::ROWS]
         bands = k.mix(bands + np.arange(len(bands), dtype=np.uint64)).view(np.int64)
-        yield doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), bands, k.mix(sign).astype(np.uint16).tobytes()
+        yield doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), bands
 
 
 def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set, band keys, and 16 bits per bin of the signature."""
+    """doc_id, n_shingles, a digest of the set, and band keys."""
 
     def task(batches):
         for pdf in batches:
             rows = list(_describe(pdf, width))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "bands", "sign"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "bands"]).astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, sign binary"
+    schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(task, schema)
 
 
@@ -127,13 +131,8 @@ def _linked(percent: int):
     return linked
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    pairs = stage(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stage(sets_of(docs, ids, width), "shingles")
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(first, "a").join(second, "b")
@@ -145,49 +144,107 @@ def _close(low: str, high: str, percent: int):
     return F.least(low, high) * 100 >= F.greatest(low, high) * percent
 
 
-def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the smallest representative of a bucket with each other one, sizes allowing."""
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(band, rep, n_shingles) of the buckets that hold more than one representative."""
     rows = classes.select(F.explode("bands").alias("band"), "rep", "n_shingles")
-    centre = rows.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.count("*").alias("members"))
-    joined = rows.join(centre.filter("members > 1"), "band").filter(F.col("rep") != F.col("c.rep"))
+    several = rows.groupBy("band").count().filter("count > 1").select("band")
+    return rows.join(several, "band", "left_semi")
+
+
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the smallest representative of a bucket with each other one, sizes allowing."""
+    centre = rows.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("c"))
+    joined = rows.join(centre, "band").filter(F.col("rep") != F.col("c.rep"))
     return joined.filter(_close("n_shingles", "c.n_shingles", percent)).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def rest_pairs(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of buckets that lie in different components and whose signatures agree well enough."""
-    labelled = classes.join(parts, classes["rep"] == parts["node"], "left").select(
-        "rep", "n_shingles", "sign", "bands", F.coalesce("component_id", "rep").alias("part")
-    )
-    rows = labelled.select(F.explode("bands").alias("band"), "rep", "n_shingles", "part", "sign")
-    mixed = rows.groupBy("band").agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select("band")
-    blocks = pair_blocks(rows.join(mixed, "band", "left_semi"), "band", "rep", BLOCK)
+def _samples(sets: DataFrame) -> DataFrame:
+    """(rep, level, sample): the shingles whose 32-bit hash is below 2**(32 - level); level 0 is the whole set."""
+
+    def task(batches):
+        for pdf in batches:
+            levels, samples = [], []
+            for blob in pdf["shingles"]:
+                own = (k.mix(np.frombuffer(blob, np.uint64) + k.U64(7)) >> k.U64(32)).astype(np.uint32)
+                level = max(0, int(np.ceil(np.log2(len(own) / SAMPLE))))
+                levels.append(level)
+                samples.append(np.sort(own[own < (1 << (32 - level))]).tobytes())
+            yield pd.DataFrame({"rep": pdf["doc_id"], "level": levels, "sample": samples})
+
+    return sets.mapInPandas(task, "rep long, level int, sample binary")
+
+
+def _similar(samples: list[np.ndarray]) -> np.ndarray:
+    """Similarities of all pairs of sets, through the values that at least two of them hold."""
+    owner = np.repeat(np.arange(len(samples)), [len(x) for x in samples])
+    _, value, counts = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
+    common = counts > 1
+    place = np.cumsum(common) - 1
+    held = common[value]
+    owner, place = owner[held], place[value[held]]
+    both = np.zeros((len(samples), len(samples)), np.float32)
+    for at in range(0, int(common.sum()), COLUMNS):
+        inside = (place >= at) & (place < at + COLUMNS)
+        table = np.zeros((len(samples), COLUMNS), np.float32)
+        table[owner[inside], place[inside] - at] = 1
+        both += table @ table.T
+    sizes = np.array([len(x) for x in samples], np.float32)
+    return both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
+
+
+def _meet(block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Pairs of one block, or of two blocks of one bucket, that lie in different components and may be linked."""
+    rep, part, n, own, level = (block[c].to_numpy() for c in ("rep", "part", "n_shingles", "own", "level"))
+    samples = [np.frombuffer(x, np.uint32) for x in block["sample"]]
+    cross = block["bi"].iloc[0] != block["bj"].iloc[0]
+    out = []
+    for top in np.unique(level).tolist():
+        rows = np.flatnonzero(level <= top)
+        similar = _similar([samples[i][: np.searchsorted(samples[i], 1 << (32 - top))] for i in rows])
+        a, b = np.nonzero(np.triu(similar >= percent / 100 - (MARGIN if top else 0.01), 1))
+        score, a, b = similar[a, b], rows[a], rows[b]
+        keep = (np.maximum(level[a], level[b]) == top) & (part[a] != part[b])
+        keep &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        keep &= (own[a] != own[b]) | (not cross)
+        score, a, b = score[keep], a[keep], b[keep]
+        if top == 0 and len(a):  # compared whole, so each pair of components needs its best pair only
+            low, high = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
+            order = np.lexsort((-score, high, low))
+            low, high = low[order], high[order]
+            first = order[(np.diff(low, prepend=low[0] - 1) != 0) | (np.diff(high, prepend=high[0] - 1) != 0)]
+            a, b = a[first], b[first]
+        out += zip(np.minimum(rep[a], rep[b]).tolist(), np.maximum(rep[a], rep[b]).tolist(), strict=True)
+    return out
+
+
+def rest_pairs(rows: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of buckets that span several components, to be confirmed; see step 3 of the module."""
+    labelled = rows.join(parts, rows["rep"] == parts["node"], "left").withColumn("part", F.coalesce("component_id", "rep"))
+    labelled = stage(labelled.select("band", "rep", "n_shingles", "part"), "bucket-parts")
+    mixed = labelled.groupBy("band").agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select("band")
+    members = stage(labelled.join(mixed, "band", "left_semi"), "mixed-buckets")
+    samples = _samples(sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    blocks = pair_blocks(members, "band", "rep", BLOCK).join(samples, "rep")
+    tasks = members.count() // (4 * BLOCK) + 1
 
     def meet(pdf):
-        sign = np.frombuffer(b"".join(pdf["sign"]), np.uint16).reshape(-1, BINS)
-        rep, part, n, own = (pdf[c].to_numpy() for c in ("rep", "part", "n_shingles", "own"))
-        cross = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
-        out = []
-        for i in range(len(rep)):
-            j = np.arange(i + 1, len(rep))
-            j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            j = j[own[j] != own[i]] if cross else j
-            j = j[(sign[j] == sign[i]).sum(1) >= AGREE]
-            out += [(min(rep[i], rep[x]), max(rep[i], rep[x])) for x in j]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        out = [pair for _, block in pdf.groupby(["band", "bi", "bj"], sort=False) for pair in _meet(block, percent)]
+        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"], dtype="int64")
 
-    return blocks.groupBy("band", "bi", "bj").applyInPandas(meet, "a long, b long").distinct()
+    dealt = blocks.withColumn("task", F.pmod(F.xxhash64("band", "bi", "bj"), F.lit(tasks)).cast("int"))
+    return dealt.groupBy("task").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept."""
     described = stage(describe(docs, width), "signatures")
     whole = described.filter("doc_id is not null and digest is not null")
-    classes = stage(
-        whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sign"))), "classes"
-    )
-    links = confirm(docs, star_pairs(classes, percent), width, percent)
-    parts = components(links)
-    rest = confirm(docs, rest_pairs(classes, parts, percent), width, percent)
+    classes = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = stage(classes, "classes")
+    rows = stage(shared_buckets(classes), "buckets")
+    sets = stage(sets_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), width), "shingles")
+    links = confirm(star_pairs(rows, percent), sets, percent)
+    rest = confirm(rest_pairs(rows, components(links), sets, percent), sets, percent)
     parts = components(links.union(rest))
     groups = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     rows = described.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
