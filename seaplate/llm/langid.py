@@ -27,20 +27,22 @@ maximal runs of letters in lower case, whatever their length.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seaplate.llm.kernels import slices
+
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 SAMPLE = 4000
 ENTRIES = 50_000
 LANGUAGES = 200
 BACKOFF = -0.5
-CACHE = 200_000
+CACHE = 4_000_000
+LONG = 50_000
 UNKNOWN = "und"
 
 
@@ -49,8 +51,21 @@ def held_out(key, parts: int, part: int):
     return F.coalesce(F.crc32(key.cast("string")) % parts == part, F.lit(True))
 
 
+class Slots(dict):
+    """Numbers words in the order they are first asked for, and lists the new ones."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class LanguageModel:
-    """Log frequencies per language of words and n-grams."""
+    """Log frequencies per language of words and n-grams.
+
+    A word's row of scores is worked out once and kept; the rows of unseen words go when there are more than
+    ``CACHE`` values.
+    """
 
     def __init__(self, languages: list[str], entries: pd.DataFrame):
         """entries: order (0 for words), gram, lang, share."""
@@ -65,7 +80,12 @@ class LanguageModel:
             table = np.full((len(slots), len(column)), least)
             table[rows, [column[x] for x in own["lang"]]] = np.log(own["share"])
             self.tables.append((slots, table))
-        self.unseen: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        known, table = self.tables[0]
+        self.slots, self.scores = Slots(known), table
+        self.slots.new = []
 
     def _back_off(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
@@ -76,31 +96,38 @@ class LanguageModel:
                 return table[rows].mean(0) + BACKOFF * step
         return np.zeros(len(self.languages))
 
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.languages:
+            return out
+        if self.scores.size > CACHE + self.tables[0][1].size:
+            self._forget()
+        slots, weights, counts = [], [], []
+        for text in texts:
+            words = WORD.findall((text or "").lower())
+            own = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+            own, times = np.unique(own, return_counts=True) if len(own) > LONG else (own, np.ones(len(own), np.int64))
+            slots.append(own)
+            weights.append(times)
+            counts.append(len(words))
+        if self.slots.new:
+            self.scores = np.concatenate([self.scores, [self._back_off(w) for w in self.slots.new]])
+            self.slots.new = []
+        counts = np.array(counts)
+        some = np.flatnonzero(counts)
+        if len(some):
+            sizes = np.array([len(x) for x in slots])
+            values = self.scores[np.concatenate(slots)] * np.concatenate(weights)[:, None]
+            totals = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+            best = totals.argmax(1)
+            gaps = (totals - totals[np.arange(len(some)), best][:, None]) / np.sqrt(counts[some])[:, None]
+            scores = 1 / np.exp(gaps).sum(1)
+            for i, at, score in zip(some.tolist(), best.tolist(), scores.tolist(), strict=True):
+                out[i] = (self.languages[at], score)
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORD.findall((text or "").lower()))
-        if not counts or not self.languages:
-            return UNKNOWN, 0.0
-        slots, table = self.tables[0]
-        total, known, times = np.zeros(len(self.languages)), [], []
-        for word, n in counts.items():
-            row = slots.get(word)
-            if row is not None:
-                known.append(row)
-                times.append(n)
-                continue
-            own = self.unseen.get(word)
-            if own is None:
-                own = self._back_off(word)
-                if len(self.unseen) >= CACHE:
-                    self.unseen.clear()
-                if len(word) <= 64:
-                    self.unseen[word] = own
-            total += n * own
-        if known:
-            total += np.asarray(times) @ table[known]
-        best = int(total.argmax())
-        spread = np.exp((total - total[best]) / np.sqrt(sum(counts.values())))
-        return self.languages[best], float(1 / spread.sum())
+        return self.predict_all([text])[0]
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -136,10 +163,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per document: doc_id, lang_pred and score, from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    limit = (1 << 22) // max(4, len(model.languages))
 
     def task(batches):
         for pdf in batches:
-            found = [shared.value.predict(t) for t in pdf["text"]]
+            texts = pdf["text"].tolist()
+            found = [x for cut in slices(texts, limit) for x in shared.value.predict_all(texts[cut])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(task, "doc_id long, lang_pred string, score double")
