@@ -4,10 +4,9 @@ Words are runs of letters, digits, or other marks; letters are lower-cased, and
 capitals counts as a second word ``<caps>`` as well. Every word has a fixed sparse
 random index vector, drawn from a hash of the word. A word's vector is the sum of the
 index vectors of its neighbours within ``WINDOW`` places and its own, over the training texts,
-each weighed down by how common it is, at unit length. Words without a vector of their own use their
-index vector. A document's features are the mean of its words' vectors and of their
-outer shape: shares of letters, capitals, digits, marks and white space, the mean
-word length and the share of distinct words. A network with one hidden layer of
+each weighed down by how common it is, at unit length. A document's features are the mean of its words' vectors (words
+without one add nothing) and its outer shape: shares of letters, digits and marks among its characters, shares of capitals, marks,
+known, distinct and repeated words, and the mean word length. A network with one hidden layer of
 rectified units is trained in numpy by full-batch Adam; a temperature fitted on a fifth of the
 training rows that the network does not see scales its output.
 
@@ -30,7 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seaplate.llm.langid import held_out
+from seaplate.llm.kernels import slices
+from seaplate.llm.langid import Slots, held_out
 
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SIZE = 64
@@ -41,7 +41,9 @@ SAMPLE = 6000
 VOCABULARY = 30_000
 STEPS = 400
 THRESHOLD = 0.3
+SUMS = 6
 SHAPES = 9
+CACHE = 150_000
 CAPS = "<caps>"
 
 
@@ -54,13 +56,11 @@ def index_vector(word: str) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    out = []
-    for w in WORD.findall(text or ""):
-        low = w.lower()
-        out.append(low)
-        if low != w and len(w) > 1 and w.isupper():
-            out.append(CAPS)
-    return out
+    return WORD.findall(text or "")
+
+
+def is_caps(word: str) -> bool:
+    return len(word) > 1 and word.isupper()
 
 
 class QualityModel:
@@ -72,7 +72,7 @@ class QualityModel:
         if not self.trained:
             return
         self._learn_vectors(texts)
-        x, y = np.stack([self.features(t) for t in texts]), np.asarray(labels, float)
+        x, y = self.features(texts), np.asarray(labels, float)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         order = np.random.default_rng(seed).permutation(len(y))
         aside = order[: max(1, len(y) // 5)] if len(y) >= 10 else order
@@ -81,49 +81,81 @@ class QualityModel:
         self._calibrate(self._logits((x[aside] - self.mean) / self.scale), y[aside])
 
     def _learn_vectors(self, texts) -> None:
-        lists = [words_of(t) for t in texts]
-        counts = Counter(w for own in lists for w in own)
+        lists = lambda: ([x for w in words_of(t) for x in ((w.lower(), CAPS) if is_caps(w) else (w.lower(),))] for t in texts)
+        counts = Counter()
+        for own in lists():
+            counts.update(own)
         common = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:VOCABULARY]
-        self.slots = {w: i for i, (w, n) in enumerate(common) if n > 1}
-        index = np.stack([index_vector(w) for w in self.slots] or [np.zeros(SIZE, np.float32)])
+        self.known = {w: i for i, (w, n) in enumerate(common) if n > 1}
+        index = np.stack([index_vector(w) for w in self.known] or [np.zeros(SIZE, np.float32)])
         total = sum(counts.values())
-        weight = np.array([1 / (1 + 1000 * counts[w] / total) for w in self.slots] or [0.0], np.float32)
+        weight = np.array([1 / (1 + 1000 * counts[w] / total) for w in self.known] or [0.0], np.float32)
         pushed = index * weight[:, None]
         vectors = index.copy()
-        for own in lists:
-            rows = np.array([self.slots.get(w, -1) for w in own], int)
-            for step in range(1, WINDOW + 1):
-                a, b = rows[:-step], rows[step:]
-                both = (a >= 0) & (b >= 0)
-                np.add.at(vectors, a[both], pushed[b[both]])
-                np.add.at(vectors, b[both], pushed[a[both]])
+        for own in lists():
+            rows = np.array([self.known.get(w, -1) for w in own], int)
+            pairs = [(rows[:-step], rows[step:]) for step in range(1, WINDOW + 1)]
+            to = np.concatenate([x for a, b in pairs for x in (a, b)])
+            by = np.concatenate([x for a, b in pairs for x in (b, a)])
+            both = (to >= 0) & (by >= 0)
+            to, by = to[both], by[both]
+            if len(to):
+                order = np.argsort(to, kind="stable")
+                first = np.flatnonzero(np.diff(to[order], prepend=-1))
+                vectors[to[order][first]] += np.add.reduceat(pushed[by[order]], first)
         self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots, self.rows = Slots(), np.empty((0, SIZE + SUMS), np.float32)
+        self.slots.new = []
+
+    def _row(self, word: str) -> np.ndarray:
+        """What one word adds to a document's sums: its vector, then its marks."""
+        out = np.zeros(SIZE + SUMS, np.float32)
+        caps, at = is_caps(word), self.known.get(word.lower())
+        if at is not None:
+            out[:SIZE] = self.vectors[at]
+        if caps and CAPS in self.known:
+            out[:SIZE] += self.vectors[self.known[CAPS]]
+        kind = 0 if word[0].isalpha() else 1 if word[0].isdigit() else 2
+        out[SIZE + kind] = len(word)
+        out[SIZE + 3 :] = caps, kind == 2, at is not None
+        return out
 
-    def features(self, text: str | None) -> np.ndarray:
-        out = np.zeros(SIZE + SHAPES)
-        own = words_of(text)
-        if not own:
-            return out
-        counts = Counter(own)
-        known = [(self.slots[w], n) for w, n in counts.items() if w in self.slots]
-        if known:
-            rows, times = map(np.asarray, zip(*known, strict=True))
-            out[:SIZE] = times @ self.vectors[rows]
-        known_share = sum(n for _, n in known) / len(own)
-        out[:SIZE] /= len(own)
-        chars, caps, length = Counter(), counts.get(CAPS, 0), len(text)
-        for w, n in counts.items():
-            kind = "letters" if w[0].isalpha() else "digits" if w[0].isdigit() else "marks"
-            if w != CAPS:
-                chars[kind] += n * len(w)
-                chars["one"] += n * (kind == "marks")
-        plain = max(1, len(own) - caps)
-        out[SIZE:] = (
-            chars["letters"] / length, chars["digits"] / length, chars["marks"] / length, caps / plain, chars["one"] / plain,
-            len(counts) / len(own), chars["letters"] / plain / 10, known_share, max(counts.values()) / len(own),
-        )
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """One row per text."""
+        out = np.zeros((len(texts), SIZE + SHAPES))
+        for cut in slices(list(texts)):
+            self._features(texts[cut], out[cut])
         return out
 
+    def _features(self, texts: list[str | None], out: np.ndarray) -> None:
+        if len(self.slots) > CACHE:
+            self._forget()
+        slots, weights, some = [], [], []
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            if not words:
+                continue
+            own, times = np.unique(np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)), return_counts=True)
+            slots.append(own)
+            weights.append(times)
+            some.append((i, len(words), len(own), times.max(), len(text)))
+        if not some:
+            return
+        if self.slots.new:
+            self.rows = np.concatenate([self.rows, [self._row(w) for w in self.slots.new]])
+            self.slots.new = []
+        sizes = np.array([len(x) for x in slots])
+        sums = np.add.reduceat(self.rows[np.concatenate(slots)] * np.concatenate(weights)[:, None].astype(np.float32), np.cumsum(sizes) - sizes)
+        i, words, distinct, most, length = np.array(some).T
+        shapes = sums[:, SIZE:].astype(float)
+        out[i, :SIZE] = sums[:, :SIZE] / words[:, None]
+        out[i, SIZE:] = np.column_stack(
+            [shapes[:, :3] / length[:, None], shapes[:, 3:] / words[:, None], distinct / words, most / words, shapes[:, 0] / words / 10]
+        )
+
     def _fit(self, x: np.ndarray, y: np.ndarray, seen: np.ndarray, seed: int) -> None:
         draw = np.random.default_rng(seed)
         self.layers = [draw.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
@@ -153,7 +185,7 @@ class QualityModel:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.trained:
             return np.full(len(texts), self.constant)
-        x = np.stack([self.features(t) for t in texts]) if texts else np.empty((0, SIZE + SHAPES))
+        x = self.features(texts)
         return _sigmoid(self._logits((x - self.mean) / self.scale) / self.temperature)
 
 
