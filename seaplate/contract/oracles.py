@@ -443,16 +443,16 @@ view("v_reporting", f"SELECT {_cells(_FLEET, 'reporting_status', ['Reported', 'U
 _DHC, _FM = '"Direct human consumption"', 'coalesce("Fishmeal and fish oil", 0)'
 oracle(
     "supply_enduse_fmfo",
-    f"""SELECT {_FLEET}, {rs(_END_USES[:2], 3)}, {r(_FM, 3, 'Fishmeal and fish oil')},
+    f"""SELECT {_FLEET}, {rs(_END_USES[:2], 4)}, {r(_FM, 4, 'Fishmeal and fish oil')},
       {r(ratio(_DHC, _FM), 7, 'fmfo_dhc_ratio')}, {r(ratio(_FM, _DHC), 7, 'dhc_fmfo_ratio')} FROM v_fmfo""",
 )
 oracle(
     "supply_discard_ratio",
-    f"SELECT {_FLEET}, {rs(_END_USES, 3)}, {r(ratio('Discards', _DHC), 7, 'discard_ratio')} FROM v_discards",
+    f"SELECT {_FLEET}, {rs(_END_USES, 4)}, {r(ratio('Discards', _DHC), 7, 'discard_ratio')} FROM v_discards",
 )
 oracle(
     "supply_reporting_ratio",
-    f"""SELECT {_FLEET}, {rs(['Reported', 'Unreported'], 3)}, {r(ratio('Unreported', 'Reported'), 7, 'reporting_ratio')}
+    f"""SELECT {_FLEET}, {rs(['Reported', 'Unreported'], 4)}, {r(ratio('Unreported', 'Reported'), 7, 'reporting_ratio')}
     FROM v_reporting""",
 )
 oracle(
@@ -621,6 +621,12 @@ oracle(
       CASE WHEN z_key = 22 THEN NULL WHEN z_key % 4 <> 1 THEN 'Nation ' || CAST(z_key AS VARCHAR) ELSE {code('z_key')} END AS country
     FROM v_catch""",
 )
+oracle(
+    "unresolved_names",
+    f"""SELECT side, name, {r('sum(tonnes)', 6, 'tonnes')} FROM (
+      SELECT 'zone' AS side, eez_country AS name, coalesce(tonnes, 0) AS tonnes FROM v_zoned WHERE eez_iso IS NULL
+      UNION ALL SELECT 'fleet', fishing_entity, coalesce(tonnes, 0) FROM v_zoned WHERE fishing_entity_ISO IS NULL) GROUP BY 1, 2""",
+)
 oracle(
     "own_foreign_flag",
     f"""SELECT DISTINCT eez, fishing_entity, CASE WHEN {_ZONE_ISO} = i.iso3c THEN 'your_country'
@@ -766,7 +772,7 @@ view(
     f"""SELECT {code('c_nationkey')} AS iso3,
       {pick('o_custkey % 3', ['Omega-3 fatty acids', 'Vitamin B-12', 'Vitamin A, RAE'])} AS nutrient,
       CASE WHEN o_custkey % 2 = 0 THEN 'Males' ELSE 'Females' END AS sex,
-      {pick('o_orderkey % 20', list(AGE_CODES))} AS age_group, avg(o_totalprice) / 250000 AS scalar
+      {pick('o_orderkey % 20', s.SURVEY_AGES)} AS age_group, avg(o_totalprice) / 250000 AS scalar
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4""",
 )
 view(
@@ -775,6 +781,12 @@ view(
     + values([[text(a), c, i] for i, (a, c) in enumerate(AGE_CODES.items())])
     + ") AS a(age_group, age_id, step) CROSS JOIN (VALUES ('Males', 1), ('Females', 2)) AS x(sex, sex_id)",
 )
+view(
+    "v_survey_groups",
+    """SELECT a.age_group, x.sex, x.sex_id, d.age_id FROM (SELECT DISTINCT age_group FROM v_survey) a
+    CROSS JOIN (VALUES ('Males', 1), ('Females', 2)) AS x(sex, sex_id)
+    LEFT JOIN v_demography d ON d.age_group = a.age_group AND d.sex = x.sex""",
+)
 view(
     "v_group_intake",
     """SELECT i.scenario, i.iso3, i.country, i.nutrient, i.nutrient_units, i.sex, i.age_group, i.sex_id, i.age_id,
@@ -783,7 +795,7 @@ view(
       i.intake AS mean_cntry
     FROM (SELECT *, CASE nutrient WHEN 'Vitamin A, RAE' THEN 'Vitamin A' ELSE nutrient END AS nutrient_genus,
             CASE WHEN TRY_CAST(substring(iso3, 2) AS INTEGER) % 4 = 0 THEN 'G' || substring(iso3, 2) ELSE iso3 END AS iso3_genus
-          FROM v_intakes LEFT JOIN v_demography ON iso3 IS NOT NULL) i
+          FROM v_intakes LEFT JOIN v_survey_groups ON iso3 IS NOT NULL) i
     LEFT JOIN v_scalars80 g ON i.iso3_genus = g.iso3 AND i.nutrient_genus = g.nutrient AND i.sex = g.sex AND i.age_group = g.age_group
     LEFT JOIN v_survey v ON i.iso3 = v.iso3 AND i.nutrient = v.nutrient AND i.sex = v.sex AND i.age_group = v.age_group""",
 )
@@ -827,7 +839,7 @@ oracle("group_scalar", f"SELECT iso3, nutrient, sex, age_group, {r('scalar', 8)}
 oracle("age_band_expand", f"SELECT iso3, nutrient, sex, age_group, {r('scalar', 8)} FROM v_scalars80")
 oracle(
     "demographic_grid",
-    """SELECT iso3, sex, age_group FROM (SELECT DISTINCT iso3 FROM v_intakes WHERE iso3 IS NOT NULL) CROSS JOIN v_demography""",
+    """SELECT iso3, sex, age_group FROM (SELECT DISTINCT iso3 FROM v_intakes WHERE iso3 IS NOT NULL) CROSS JOIN v_survey_groups""",
 )
 oracle(
     "intake_by_group",
@@ -842,8 +854,8 @@ oracle(
 )
 oracle(
     "demographic_codes",
-    f"""SELECT scenario, iso3, nutrient, CAST(sex_id AS INTEGER) AS sex_id, CAST(age_id AS INTEGER) AS age_id, sex, age_group,
-      {r('mean_group', 6)} FROM v_coded""",
+    f"""SELECT scenario, iso3, nutrient, CAST(sex_id AS INTEGER) AS sex_id, CAST(age_id AS INTEGER) AS age_id, sex,
+      CASE WHEN age_id IS NOT NULL THEN age_group END AS age_group, {r('mean_group', 6)} FROM v_coded""",
 )
 oracle(
     "completeness_report",
@@ -852,6 +864,7 @@ oracle(
         FROM v_fitted GROUP BY {c}"""
         for c in ("nutrient", "country")
     )
+    + """ UNION ALL SELECT 'strict supply', nutrient, count(*), count(*) - count(nut_supply) FROM v_per_capita GROUP BY nutrient"""
     + "".join(
         f" UNION ALL SELECT 'column', '{c}', count(*), count(*) - count({c}) FROM v_fitted"
         for c in ("iso3", "sex", "scalar", "mean_group", "best_dist")
@@ -1023,20 +1036,20 @@ oracle(
     FROM (SELECT *, CASE WHEN ear <> 0 THEN (mean_group - ear) / (cv * ear) END AS z FROM v_needed)""",
 )
 
-# Simpson's rule on 0..1, far finer than the code's nodes, which are other ones: here the risk is integrated over the
+# Boole's rule on 0..1, far finer than the code's nodes, which are other ones: here the risk is integrated over the
 # density, uniform in z for log-normal and in log x for gamma fits, and curves piece by piece.
 
 
-def _simpson(name: str, n: int) -> None:
+def _boole(name: str, n: int) -> None:
     view(
         name,
-        f"""SELECT i / {n} AS u, CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / {3.0 * n} AS w
+        f"""SELECT i / {n} AS u, CASE WHEN i IN (0, {n}) THEN 7 WHEN i % 2 = 1 THEN 32 WHEN i % 4 = 2 THEN 12 ELSE 14 END / {22.5 * n} AS w
         FROM (SELECT CAST(i AS DOUBLE) AS i FROM generate_series(0, {n}) AS g(i))""",
     )
 
 
-_simpson("v_fine", 3000)
-_simpson("v_piece_nodes", 400)
+_boole("v_fine", 3000)
+_boole("v_piece_nodes", 400)
 _DENSITY_Z = "exp(-z * z / 2) / sqrt(2 * pi())"
 view("v_z", f"SELECT z, w * 2 * {TAIL_Z} * {_DENSITY_Z} AS w FROM (SELECT -{TAIL_Z} + 2 * {TAIL_Z} * u AS z, w FROM v_fine)")
 view("v_shapes", "SELECT DISTINCT g_shape AS a FROM v_fits WHERE g_shape > 0")

@@ -47,8 +47,13 @@ def staged(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
 # Shared intermediate inputs.
 
 
-def _biomass(t: Tables) -> DataFrame:
-    return catch.mean_biomass_by_key(s.catch(t, gaps=True))
+def _cells(t: Tables, gaps: bool = True) -> DataFrame:
+    """The catch by cell, the one pass over it that a query makes."""
+    return staged(t, f"cells-{gaps}", lambda: catch.catch_cells(s.catch(t, gaps)))
+
+
+def _biomass(t: Tables, gaps: bool = True) -> DataFrame:
+    return catch.mean_biomass(_cells(t, gaps))
 
 
 def _kept_assays(t: Tables) -> DataFrame:
@@ -67,13 +72,13 @@ def _nearest(t: Tables, species: DataFrame) -> DataFrame:
     )
 
 
-def _filled(t: Tables) -> DataFrame:
-    return staged(t, "composition", lambda: _filled_plan(t))
+def _filled(t: Tables, gaps: bool = True) -> DataFrame:
+    return staged(t, "composition", lambda: _filled_plan(t, gaps))
 
 
-def _filled_plan(t: Tables) -> DataFrame:
+def _filled_plan(t: Tables, gaps: bool) -> DataFrame:
     return nutrient_attachment.filled_composition(
-        s.catch(t, gaps=True),
+        _cells(t, gaps),
         s.assays(t),
         s.taxonomy(t),
         s.species_groups(t),
@@ -110,8 +115,8 @@ def _values(t: Tables) -> DataFrame:
 
 
 def _nutrient_pairs(t: Tables) -> DataFrame:
-    rows = s.catch(t, gaps=True).filter(F.col("year") == s.SUPPLY_YEAR)
-    pairs = flows.zone_fleet_nutrients(rows, _values(t), _iso(t), s.zone_aliases(t), s.ZONE_PATTERNS)
+    tonnes = catch.zone_species_tonnes(_cells(t).filter(F.col("year") == s.SUPPLY_YEAR))
+    pairs = flows.zone_fleet_nutrients(tonnes, _values(t), _iso(t), s.zone_aliases(t), s.ZONE_PATTERNS)
     return staged(t, "zone-fleet-nutrients", lambda: pairs)
 
 
@@ -133,7 +138,7 @@ def _expanded_balance(t: Tables) -> DataFrame:
 
 def _per_capita(t: Tables, population: DataFrame) -> DataFrame:
     return balance.per_capita_supply(
-        catch.mean_biomass_by_key(s.catch(t)), _filled(t), _iso(t), population, s.SUPPLY_YEAR
+        _biomass(t, gaps=False), _filled(t, gaps=False), _iso(t), population, s.SUPPLY_YEAR
     )
 
 
@@ -289,7 +294,7 @@ def q_species_list_for_year(t: Tables) -> DataFrame:
 
 @query
 def q_mean_biomass_by_key(t: Tables) -> DataFrame:
-    return rounded(_biomass(t), tonnes=8)
+    return rounded(catch.mean_biomass_by_key(s.catch(t, gaps=True)), tonnes=8)
 
 
 @query
@@ -386,25 +391,24 @@ def q_species_composition_distinct(t: Tables) -> DataFrame:
 @query
 def q_supply_enduse_fmfo(t: Tables) -> DataFrame:
     df = ratios.supply_enduse_fmfo(_biomass(t), _filled(t))
-    return rounded(rounded_all(df, ratios.END_USES, 3), fmfo_dhc_ratio=7, dhc_fmfo_ratio=7)
+    return rounded(rounded_all(df, ratios.END_USES, 4), fmfo_dhc_ratio=7, dhc_fmfo_ratio=7)
 
 
 @query
 def q_supply_discard_ratio(t: Tables) -> DataFrame:
     df = ratios.supply_discard_ratio(_biomass(t), _filled(t))
-    return rounded(rounded_all(df, ratios.END_USES, 3), discard_ratio=7)
+    return rounded(rounded_all(df, ratios.END_USES, 4), discard_ratio=7)
 
 
 @query
 def q_supply_reporting_ratio(t: Tables) -> DataFrame:
     df = ratios.supply_reporting_ratio(_biomass(t), _filled(t))
-    return rounded(df, Reported=3, Unreported=3, reporting_ratio=7)
+    return rounded(df, Reported=4, Unreported=4, reporting_ratio=7)
 
 
 @query
 def q_supply_species_matrix(t: Tables) -> DataFrame:
-    biomass = catch.mean_biomass_by_key(s.catch(t))
-    df = ratios.supply_species_matrix(biomass, _filled(t))
+    df = ratios.supply_species_matrix(_biomass(t, gaps=False), _filled(t, gaps=False))
     return rounded_all(df, ratios.SUPPLY_NUTRIENTS, 3)
 
 
@@ -500,6 +504,12 @@ def q_country_resolve(t: Tables) -> DataFrame:
     return flows.country_name(resolved, "iso3c", s.country_names(t)).select("eez", "iso3c", "continent", "country")
 
 
+@query
+def q_unresolved_names(t: Tables) -> DataFrame:
+    df = flows.unresolved_names(s.catch(t, gaps=True), _iso(t), s.zone_aliases(t), s.ZONE_PATTERNS)
+    return rounded(df, tonnes=6)
+
+
 @query
 def q_own_foreign_flag(t: Tables) -> DataFrame:
     pairs = flows.attach_countries(
@@ -610,7 +620,7 @@ def q_group_scalar(t: Tables) -> DataFrame:
 @query
 def q_demographic_grid(t: Tables) -> DataFrame:
     scenarios = intake.scenario_bloc_expand(_scenarios(t), s.country_names(t), _members(t))
-    return intake.demographic_grid(scenarios)
+    return intake.demographic_grid(scenarios, intake.survey_ages(s.intake_scalars(t)))
 
 
 @query
@@ -638,6 +648,9 @@ def q_completeness_report(t: Tables) -> DataFrame:
     df = intake.distribution_attach(_intakes(t), s.distributions(t))
     gaps = intake.null_counts(df.select("iso3", "sex", "scalar", "mean_group", "best_dist"))
     labelled = intake.completeness_report(df, "scalar", ["nutrient", "country"])
+    # Supplies that one unknown amount made missing, which the share table counts as zero.
+    strict = _per_capita(t, _population(t)).select(F.col("nutrient").alias("strict supply"), "nut_supply")
+    labelled = labelled.unionByName(intake.completeness_report(strict, "nut_supply", ["strict supply"]))
     return labelled.unionByName(
         gaps.select(F.lit("column").alias("label"), F.col("column_name").alias("label_value"), "n_rows", "n_missing")
     )

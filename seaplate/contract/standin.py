@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seaplate.functions.nulls import sum_skipna
 from seaplate.functions.text import lookup, sentence_case, word
+from seaplate.operators.flows import aliases_from_key
 from seaplate.operators.shape import wide_sum
 from seaplate.vocab import AGE_CODES, ASSAY_NUTRIENTS, MEAT_OUTCOMES
 
@@ -46,6 +47,7 @@ BALANCE_YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 BALANCE_CODES = ["CA", "FE", "MFAT", "O3", "PFAT", "SFAT", "TFAT", "VitA1", "VitB", "ZN", "PROT", "DES"]
 CATCH_YEAR = 1998
 SUPPLY_YEAR = 1997
+SURVEY_AGES = [*[a for a in AGE_CODES if a != "95-99"], "100+"]
 INTAKE_NUTRIENTS = ["Calcium", "Iron", "Zinc", "Vitamin A", "Vitamin B-12", "Omega-3 fatty acids"]
 
 
@@ -150,11 +152,8 @@ def countries_iso_rows(t: Tables) -> DataFrame:
 
 
 def zone_aliases(t: Tables) -> DataFrame:
-    """Written zone country names; nation 12 is left to a pattern, nation 22 unknown."""
-    known = nations(t).filter(~F.col("n_nationkey").isin(12, 22))
-    return known.select(
-        F.upper(F.replace("n_name", F.lit("_"), F.lit(" - "))).alias("alias"), "iso3c", F.col("r_name").alias("continent")
-    )
+    """Written country names from the country key; nation 12 is left to a pattern, nation 22 unknown."""
+    return aliases_from_key(country_key(t).filter(~F.col("iso3").isin("N12", "N22")))
 
 
 def _people(t: Tables) -> DataFrame:
@@ -341,9 +340,9 @@ def _orders_by_nation(t: Tables) -> DataFrame:
 
 
 def intake_scalars(t: Tables) -> DataFrame:
-    """Mean order price over nation, sex, age and three nutrients."""
+    """Mean order price over nation, sex, age and three nutrients; the ages lack a known group and have an unknown one."""
     nutrients = F.array(F.lit("Omega-3 fatty acids"), F.lit("Vitamin B-12"), F.lit("Vitamin A"))
-    ages = F.array(*[F.lit(a) for a in AGE_CODES])
+    ages = F.array(*[F.lit(a) for a in SURVEY_AGES])
     return (
         _orders_by_nation(t)
         .groupBy(

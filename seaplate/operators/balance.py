@@ -59,22 +59,18 @@ def bloc_members(country_key: DataFrame, bloc: str = BLOC, without: str = DISSOL
 def bloc_expand(
     df: DataFrame, members: DataFrame, code: str = "iso3c", name: str = "country", bloc: str = BLOC, world: str = WORLD
 ) -> DataFrame:
-    """One copy of each bloc row per member, without the bloc and the world.
+    """One copy of each bloc row per member, without the bloc and the world, from one pass over the rows.
 
-    The members travel as one list per bloc (its length is the number of
-    countries in the bloc), so rows are joined one to one and copied in place.
+    The left join itself makes the copies; a row of a bloc without members goes.
     """
-    lists = members.groupBy(F.col("group_code").alias("_bloc")).agg(
-        F.collect_list(F.struct("iso3_use", "country_use")).alias("_members")
+    listed = members.filter(F.col("group_code") == bloc).select(
+        F.col("group_code").alias("_bloc"), F.col("iso3_use").alias("_code"), F.col("country_use").alias("_name")
     )
-    stay = df.filter(not_in(code, [bloc, world]))
-    rows = df.filter(F.col(code) == bloc).join(lists, F.col(code) == F.col("_bloc"))
-    copies = (
-        rows.withColumn("_member", F.explode("_members"))
-        .withColumn(code, F.col("_member.iso3_use"))
-        .withColumn(name, F.col("_member.country_use"))
-    )
-    return stay.unionByName(copies.select(*df.columns))
+    rows = df.filter(not_in(code, [world])).join(listed, F.col(code) == F.col("_bloc"), "left")
+    copy = F.col("_bloc").isNotNull()
+    rows = rows.filter(not_in(code, [bloc]) | copy)
+    changed = {code: F.when(copy, F.col("_code")).otherwise(F.col(code)), name: F.when(copy, F.col("_name")).otherwise(F.col(name))}
+    return rows.withColumns(changed).select(*df.columns)
 
 
 def production_sector(df: DataFrame) -> DataFrame:

@@ -100,9 +100,29 @@ def species_list_for_year(catch: DataFrame, year: int) -> DataFrame:
     )
 
 
+def catch_cells(catch: DataFrame) -> DataFrame:
+    """The studied catch by year, zone, fleet, sector, reporting, end use and species: sum and number of known tonnes.
+
+    Mean biomass, rows per species and sums by zone and fleet all follow from these, so one pass over the catch
+    serves all three.
+    """
+    known = [F.sum("tonnes").alias("sum_tonnes"), F.count("tonnes").alias("n_known")]
+    return gear_sector_filter(catch).groupBy(*BIOMASS_KEYS).agg(*known)
+
+
+def mean_biomass(cells: DataFrame) -> DataFrame:
+    """Mean known tonnes of each cell; NULL where none is known."""
+    return cells.select(*BIOMASS_KEYS, F.try_divide("sum_tonnes", "n_known").alias("tonnes"))
+
+
 def mean_biomass_by_key(catch: DataFrame) -> DataFrame:
     """Mean known tonnes of the rows that share year, zone, fleet, sector, reporting, end use and species."""
-    return gear_sector_filter(catch).groupBy(*BIOMASS_KEYS).agg(F.avg("tonnes").alias("tonnes"))
+    return mean_biomass(catch_cells(catch))
+
+
+def zone_species_tonnes(cells: DataFrame) -> DataFrame:
+    """Known tonnes by zone, fleet and species."""
+    return cells.groupBy("eez", "fishing_entity", "scientific_name").agg(sum_skipna("sum_tonnes").alias("tonnes"))
 
 
 def _ranked_total(catch: DataFrame, keys: list[str]) -> DataFrame:

@@ -62,6 +62,19 @@ def country_resolve(
     return df.withColumn(code, by_code).withColumn("continent", by_continent).drop("_plain", "_code", "_cont")
 
 
+def unresolved_names(catch: DataFrame, countries_iso: DataFrame, aliases: DataFrame, patterns=()) -> DataFrame:
+    """Zone and fleet names of the studied catch that resolve to no country, with their tonnes, most first."""
+    raw = gear_sector_filter(catch).groupBy("eez", "fishing_entity").agg(sum_skipna("tonnes").alias("tonnes"))
+    pairs = attach_countries(raw, countries_iso, aliases, patterns)
+    sides = F.array(
+        F.struct(F.lit("zone").alias("side"), F.col("eez_country").alias("name"), F.col("eez_iso").alias("iso")),
+        F.struct(F.lit("fleet").alias("side"), F.col("fishing_entity").alias("name"), F.col("fishing_entity_ISO").alias("iso")),
+    )
+    open_ = pairs.select("tonnes", F.inline(sides)).filter("iso is null")
+    totals = open_.groupBy("side", "name").agg(F.sum("tonnes").alias("tonnes"))
+    return totals.orderBy(F.desc("tonnes"), "side", F.asc_nulls_last("name"))
+
+
 def country_name(df: DataFrame, code: str, names: DataFrame, name: str = "country") -> DataFrame:
     """Add the display name of a country code; grouped codes have fixed names, others show the code."""
     known = dim_first(names.select(F.col("iso3c").alias("_c"), F.col("country").alias("_name")), "_c", "_name")
@@ -146,18 +159,13 @@ def critical_zones(scores: DataFrame) -> DataFrame:
 
 
 def zone_fleet_nutrients(
-    catch: DataFrame, values: DataFrame, countries_iso: DataFrame, aliases: DataFrame, patterns=()
+    tonnes: DataFrame, values: DataFrame, countries_iso: DataFrame, aliases: DataFrame, patterns=()
 ) -> DataFrame:
     """Nutrient supply by zone country, fleet and nutrient, with the own/foreign flag.
 
-    ``values`` holds (scientific_name, nutrient, value). Tonnes are summed per
-    zone, fleet and species before they meet the composition.
+    ``tonnes`` holds sums by zone, fleet and species (``zone_species_tonnes``), ``values``
+    (scientific_name, nutrient, value).
     """
-    tonnes = (
-        gear_sector_filter(catch)
-        .groupBy("eez", "fishing_entity", "scientific_name")
-        .agg(sum_skipna("tonnes").alias("tonnes"))
-    )
     supply = F.col("value") * F.col("tonnes") * PORTIONS_PER_TONNE
     raw = (
         tonnes.join(values, "scientific_name", "left")

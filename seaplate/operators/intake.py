@@ -10,11 +10,15 @@ from seaplate.functions.text import lookup, recode
 from seaplate.operators.balance import bloc_expand
 from seaplate.operators.flows import country_name
 from seaplate.operators.shape import left_lookup
-from seaplate.vocab import AGE_CODES, AGES_OVER_80, SEX_CODES, SURVEY_SCALAR_NUTRIENTS
-
-SCENARIO_NAMES = {"base": "Base", "high": "High road"}
-INTAKE_NUTRIENTS = {"Vitamin A": "Vitamin A, RAE", "Vitamin B12": "Vitamin B-12"}
-SCALAR_NUTRIENTS = {"Energy": "Calories", "Total lipids": "Fat", "Vitamin A, RAE": "Vitamin A"}
+from seaplate.vocab import (
+    AGE_CODES,
+    AGES_OVER_80,
+    INTAKE_NUTRIENTS,
+    SCALAR_NUTRIENTS,
+    SCENARIO_NAMES,
+    SEX_CODES,
+    SURVEY_SCALAR_NUTRIENTS,
+)
 
 
 def _literals(values) -> Column:
@@ -30,23 +34,27 @@ def other_food_supply(long: DataFrame, year: int) -> DataFrame:
 
 
 def fish_scenarios(long: DataFrame, net_flow: DataFrame, year: int) -> DataFrame:
-    """Total supply with today's fish (base) and with the net flow added (high), from one pass over the fish rows.
+    """Total supply with today's fish (base) and with the net flow added (high).
 
-    A country without other food has no total.
+    One aggregate per country and nutrient sums the other foods and keeps the fish rows (a balance has one per unit), so
+    the balance is read once. A country without other food has no total.
     """
     per_capita = net_flow.select(
         "iso3c",
         recode("nutrient", {"DHA+EPA": "Omega-3 fatty acids", "Vitamin A, RAE": "Vitamin A"}).alias("nutrient"),
         "per_capita",
     )
-    other = other_food_supply(long, year).select(
-        F.col("iso3c").alias("_iso"), F.col("nutrient").alias("_nutrient"), "supply"
-    )
-    fish = long.filter((F.col("products") == "Fish") & (F.col("year") == year) & (F.col("scenario") == "base"))
-    fish = fish.select("iso3c", "nutrient", "units", "value").join(per_capita, ["iso3c", "nutrient"], "left")
-    fish = fish.join(
-        other, fish["iso3c"].eqNullSafe(other["_iso"]) & fish["nutrient"].eqNullSafe(other["_nutrient"]), "left"
+    is_fish = (F.col("products") == "Fish") & (F.col("scenario") == "base")
+    is_other = (F.col("products") != "Fish") & (F.col("products") != "Total food")
+    sums = (
+        long.filter(F.col("year") == year)
+        .groupBy("iso3c", "nutrient")
+        .agg(
+            F.collect_list(F.when(is_fish, F.struct("units", "value"))).alias("fish"),
+            F.when(F.count(F.when(is_other, 1)) > 0, F.coalesce(F.sum(F.when(is_other, F.col("value"))), F.lit(0.0))).alias("supply"),
+        )
     )
+    fish = sums.select("iso3c", "nutrient", "supply", F.inline("fish")).join(per_capita, ["iso3c", "nutrient"], "left")
     with_flow = F.when(F.col("per_capita").isNull(), F.col("value")).otherwise(F.col("value") + F.col("per_capita"))
     return fish.withColumn("scenario", F.explode(_literals(["base", "high"]))).select(
         "iso3c",
@@ -99,8 +107,14 @@ def group_scalar(supply: DataFrame) -> DataFrame:
     )
 
 
-def demographic_grid(countries: DataFrame, code: str = "iso3", ages=tuple(AGE_CODES), sexes=tuple(SEX_CODES)) -> DataFrame:
-    """Every known country with every sex and age group."""
+def survey_ages(survey_scalars: DataFrame) -> list[str]:
+    """The age groups of the survey scalars, in order of their names; a survey has a few dozen at most."""
+    found = survey_scalars.select("age_group").filter("age_group is not null").distinct().collect()
+    return sorted(r["age_group"] for r in found)
+
+
+def demographic_grid(countries: DataFrame, ages: list[str], code: str = "iso3", sexes=tuple(SEX_CODES)) -> DataFrame:
+    """Every known country with every sex and every age group of the survey (``survey_ages``)."""
     known = countries.select(F.col(code).alias("iso3")).filter("iso3 is not null").distinct()
     return known.withColumn("sex", F.explode(_literals(sexes))).withColumn("age_group", F.explode(_literals(ages)))
 
@@ -110,20 +124,22 @@ def intake_by_group(
     crosswalk: DataFrame,
     group_scalars: DataFrame,
     survey_scalars: DataFrame,
-    ages=tuple(AGE_CODES),
+    ages: list[str] | None = None,
     sexes=tuple(SEX_CODES),
 ) -> DataFrame:
-    """Mean intake of each sex and age group.
+    """Mean intake of each sex and age group; by default the age groups are those the survey scalars hold.
 
     The survey scalar serves omega-3 and B-12, and wherever the supply-based one
     is missing. Rows without a country code keep one row without sex and age.
     """
+    ages = survey_ages(survey_scalars) if ages is None else ages
     coded = scenarios.withColumn("nutrient_genus", recode("nutrient", SCALAR_NUTRIENTS))
     coded = left_lookup(coded, crosswalk, {"iso3": "iso3_cosimo"}, ["iso3_genus"])
     coded = coded.withColumn("iso3_genus", F.coalesce("iso3_genus", "iso3"))
     for column, values in (("sex", sexes), ("age_group", ages)):
+        listed = _literals(values).cast("array<string>")
         coded = coded.withColumn(
-            column, F.explode(F.when(F.col("iso3").isNotNull(), _literals(values)).otherwise(_literals([None])))
+            column, F.explode(F.when(F.col("iso3").isNotNull(), listed).otherwise(_literals([None]).cast("array<string>")))
         )
     on_supply = {"iso3_genus": "iso3", "nutrient_genus": "nutrient", "sex": "sex", "age_group": "age_group"}
     by_supply = group_scalars.withColumnRenamed("scalar", "scalar_genus")
@@ -191,7 +207,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def completeness_report(df: DataFrame, required: str, labels: list[str]) -> DataFrame:
     """Per label column, how many rows each value has and how many of them lack ``required``."""
-    values = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("label_value")) for c in labels])
+    values = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"`{c}`").alias("label_value")) for c in labels])
     return (
         df.select(F.col(required).isNull().alias("_gap"), F.inline(values))
         .groupBy("label", "label_value")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seaplate.functions.nulls import cap_at, mean_strict, sum_skipna
 from seaplate.functions.text import recode
 from seaplate.operators.shape import left_lookup, wide_sum
-from seaplate.vocab import METRIC_CAPS, REPORT_NUTRIENTS, SMALL_AREA_SQKM, TINY_AREA_SQKM
+from seaplate.sources.sinks import stage_table
+from seaplate.vocab import METRIC_CAPS, REPORT_NAMES, REPORT_NUTRIENTS, SMALL_AREA_SQKM, TINY_AREA_SQKM
 
-REPORT_NAMES = {"Omega-3 fatty acids": "DHA+EPA", "Vitamin A, RAE": "Vitamin A", "Vitamin B-12": "Vitamin B12"}
 COUNTRY_KEYS = ["iso3", "country", "nutrient"]
 
 
@@ -55,44 +55,28 @@ def metric_cap(df: DataFrame, metric: str, caps: dict[str, float] | None = None)
     return df.withColumn(metric, value)
 
 
-def exact_quantiles(counts: DataFrame, group: str, value: str, probabilities: list[float], slices: int = 256) -> DataFrame:
-    """Linear-interpolated quantiles per group from (group, value, n) with distinct values.
+def ranked_counts(counts: DataFrame, group: str, value: str) -> DataFrame:
+    """Adds the ranks ``_begin``..``_end`` that each distinct value of a group covers, its group's size ``_n`` and its ``_part``.
 
-    Each group is cut at approximate quantiles into slices of similar size, so
-    ranks are counted within slices that run in parallel. The slice offsets come
-    from the slice totals, which makes the ranks, and the quantiles, exact.
+    ``counts`` holds (group, value, n). Rows are dealt by ranges of (group, value) to as many parts as their size asks
+    for, so a large group is spread over many. Running sums are taken within a part, and the sums of the parts
+    before, at most one row per group and part, make them exact.
     """
-    cuts = [i / slices for i in range(1, slices)]
-    bounds = counts.groupBy(group).agg(F.percentile_approx(value, cuts, 10000).alias("_cuts"))
-    sliced = counts.join(bounds, group).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    dealt = counts.repartitionByRange(group, value).sortWithinPartitions(group, value)
+    parts = stage_table(dealt.withColumn("_part", F.spark_partition_id()), "value-counts")
+    totals = parts.groupBy(group, "_part").agg(F.sum("n").alias("_sum"))
+    whole = Window.partitionBy(group)
+    before = F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(
+        F.col(group).alias("_group"), F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(whole).alias("_n")
     )
-    totals = sliced.groupBy(group, "_slice").agg(F.sum("n").alias("n"))
-    # At most `slices` entries per group.
-    offsets = (
-        totals.groupBy(group)
-        .agg(F.sort_array(F.collect_list(F.struct("_slice", "n"))).alias("_t"), F.sum("n").alias("_n"))
-        .select(
-            group,
-            "_n",
-            F.explode(
-                F.transform(
-                    "_t",
-                    lambda t: F.struct(
-                        t["_slice"].alias("_slice"),
-                        F.aggregate(
-                            F.filter("_t", lambda o: o["_slice"] < t["_slice"]), F.lit(0).cast("long"), lambda s, o: s + o["n"]
-                        ).alias("_before"),
-                    ),
-                )
-            ).alias("o"),
-        )
-        .select(group, "_n", "o.*")
-    )
-    ranked = sliced.join(offsets, [group, "_slice"])
-    inside = F.sum("n").over(_slice_order(group, value))
-    ranked = ranked.withColumn("_end", F.col("_before") + inside).withColumn("_begin", F.col("_end") - F.col("n"))
+    ranked = parts.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at"))).drop("_group", "_at")
+    inside = F.sum("n").over(Window.partitionBy(group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumn("_end", F.col("_before") + inside)
+    return ranked.withColumn("_begin", F.col("_end") - F.col("n")).drop("_before")
 
+
+def _quantiles(ranked: DataFrame, group: str, value: str, probabilities: list[float]) -> DataFrame:
     def at(rank):
         return F.max(F.when((F.col("_begin") <= rank) & (rank < F.col("_end")), F.col(value)))
 
@@ -106,27 +90,34 @@ def exact_quantiles(counts: DataFrame, group: str, value: str, probabilities: li
     return ranked.groupBy(group).agg(F.max("_n").alias("n"), *columns)
 
 
-def _slice_order(group: str, value: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(group, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+def exact_quantiles(counts: DataFrame, group: str, value: str, probabilities: list[float]) -> DataFrame:
+    """Linear-interpolated quantiles per group from (group, value, n) with distinct values."""
+    return _quantiles(ranked_counts(counts, group, value), group, value, probabilities)
 
 
 def metric_box_stats(df: DataFrame, metric: str, group: str = "nutrient") -> DataFrame:
-    """Quartiles, whiskers within 1.5 interquartile ranges, and outlier count; only finite values count."""
+    """Quartiles, whiskers within 1.5 interquartile ranges, and outlier count; only finite values count.
+
+    The quartiles meet the values by group and part, so a large group stays spread.
+    """
     finite = F.col(metric).isNotNull() & ~F.isnan(metric) & (F.abs(F.col(metric)) < float("inf"))
     counts = df.filter(finite).groupBy(group, F.col(metric).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
-    quartiles = exact_quantiles(counts, group, "_v", [0.25, 0.5, 0.75]).select(
-        group,
+    ranked = stage_table(ranked_counts(counts, group, "_v"), "value-ranks")
+    quartiles = _quantiles(ranked, group, "_v", [0.25, 0.5, 0.75]).select(
+        F.col(group).alias("_group"),
         F.col("n").alias("n_values"),
         F.col("q0").alias("q1"),
         F.col("q1").alias("median"),
         F.col("q2").alias("q3"),
     )
+    parts = ranked.select(group, "_part").distinct()
+    by_part = parts.join(quartiles, F.col(group).eqNullSafe(F.col("_group"))).select(
+        F.col(group).alias("_group"), F.col("_part").alias("_at"), "n_values", "q1", "median", "q3"
+    )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     within = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
     return (
-        counts.join(quartiles, group)
+        ranked.join(by_part, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")))
         .groupBy(group, "n_values", "q1", "median", "q3")
         .agg(
             F.min(F.when(within, F.col("_v"))).alias("whisker_low"),

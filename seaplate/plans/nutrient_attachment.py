@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from seaplate.operators import composition as comp
-from seaplate.operators.catch import mean_biomass_by_key
 from seaplate.sources.sinks import stage_table
 from seaplate.vocab import ASSAY_NUTRIENTS, ASSAY_PARTS, ASSAY_PREPARATIONS
 
@@ -29,7 +28,7 @@ def species_composition(
 
 
 def filled_composition(
-    catch: DataFrame,
+    cells: DataFrame,
     assays: DataFrame,
     taxonomy: DataFrame,
     species_groups: DataFrame,
@@ -41,10 +40,10 @@ def filled_composition(
 ) -> DataFrame:
     """Composition of the caught species, gaps filled from functional groups.
 
-    The catch is passed over once: its species and their row counts are staged,
-    since the lookup and the group means both start from them.
+    ``cells`` is the staged catch by cell (``catch_cells``). The fallback is staged too, since
+    the group means and the result both start from it.
     """
-    species_rows = stage_table(comp.catch_rows(mean_biomass_by_key(catch)), "species-rows")
+    species_rows = comp.catch_rows(cells)
     nearest = species_composition(
         species_rows.withColumnRenamed("species", "scientific_name"),
         assays,
@@ -53,4 +52,5 @@ def filled_composition(
         taxonomy_order=taxonomy_order,
         **selection,
     )
+    nearest = stage_table(nearest.drop("lower_ci", "upper_ci"), "nearest")
     return comp.functional_group_fill(nearest, species_rows, species_groups, group_order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ JOB_CONF = {
 }
 
 _local_folders: dict[str, str] = {}
+_to_remove: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -52,6 +54,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_folder(spark)}/seaplate/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one staged table below the shared folder."""
-    return f"{shared_folder(spark)}/seaplate/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one staged table in the application's folder, which is removed when the process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _to_remove:
+        _to_remove.add(app)
+        atexit.register(_remove_at_exit, spark)
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_staged(spark: SparkSession) -> bool:
+    """Delete everything this application has staged; frames that read it cannot be used any more.
+
+    The folder in ``spark.checkpoint.dir`` belongs to the cluster's operator; below it an application
+    writes to, and removes, nothing but its own folder.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has been stopped, and the operator's clean-up is left
+        remove_staged(spark)

@@ -125,6 +125,12 @@ AGES_OVER_80 = ["80-84", "85-89", "90-94", "95-99"]
 SEX_CODES = {"Males": 1, "Females": 2}
 RISK_FREE_AGES = [5, 6, 7, 8, 9]
 
+# Names of scenarios and nutrients from table to table.
+SCENARIO_NAMES = {"base": "Base", "high": "High road"}
+INTAKE_NUTRIENTS = {"Vitamin A": "Vitamin A, RAE", "Vitamin B12": "Vitamin B-12"}
+SCALAR_NUTRIENTS = {"Energy": "Calories", "Total lipids": "Fat", "Vitamin A, RAE": "Vitamin A"}
+REPORT_NAMES = {"Omega-3 fatty acids": "DHA+EPA", "Vitamin A, RAE": "Vitamin A", "Vitamin B-12": "Vitamin B12"}
+
 # Exposure.
 SEV_NUTRIENTS = ["Zinc", "Iron", "Calcium", "Vitamin A, RAE", "Vitamin B-12"]
 OMEGA3 = "Omega-3 fatty acids"

@@ -7,13 +7,14 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from seaplate.session import local_session  # noqa: E402
+from seaplate.session import local_session, remove_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, shuffle_partitions=4, memory="4g")
     yield session
+    remove_staged(session)
     session.stop()
 
 

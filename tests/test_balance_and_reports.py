@@ -119,3 +119,20 @@ def test_territory_layers(frame):
     layer = reports.small_territory_layer(regions, tiny, metric, ["m"], "m").collect()
     assert [(r["country"], r["area_sqkm"]) for r in layer] == [("a2", 10.0), ("a", 100.0)]
     assert reports.region_metric_layer(regions, metric, ["m"]).filter(F.col("m").isNull()).count() == 1
+
+
+def test_ages_come_from_the_survey(frame):
+    survey = frame([("AAA", "Iron", "women", "5-9", 0.5), ("AAA", "Iron", "men", "100+", 2.0), ("BBB", "Iron", "men", None, 2.0)], "country_iso3 string, nutrient string, sex string, age_group string, scalar double")
+    scenarios = frame([("AAA", "A", "Iron", "mg", "Base", 2.0)], "iso3 string, country string, nutrient string, nutrient_units string, scenario string, intake double")
+    scalars = frame([], "iso3 string, nutrient string, sex string, age_group string, scalar double")
+    rows = intake.intake_by_group(scenarios, frame([], "iso3_cosimo string, iso3_genus string"), scalars, survey).collect()
+    got = {(r["sex"], r["age_group"]): r["mean_group"] for r in rows}
+    assert got == {("Females", "5-9"): 1.0, ("Males", "5-9"): None, ("Females", "100+"): None, ("Males", "100+"): 4.0}
+    grid = intake.demographic_grid(scenarios, intake.survey_ages(survey)).collect()
+    assert {(r["sex"], r["age_group"]) for r in grid} == set(got)
+
+
+def test_a_bloc_is_expanded_in_one_pass(frame):
+    rows = frame([("EUN", "EU", 1.0)], "iso3c string, country string, v double")
+    none = frame([], "group_code string, iso3_use string, country_use string")
+    assert balance.bloc_expand(rows, none).count() == 0

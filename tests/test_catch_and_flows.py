@@ -93,7 +93,7 @@ def test_net_flow_is_gain_minus_loss(frame):
     values = frame([("X y", "Iron", 2.0), ("X y", "Zinc", None)], "scientific_name string, nutrient string, value double")
     pop = frame([("AAA", 10.0), ("BBB", 20.0)], "iso3c string, pop double")
     nutrient_pairs = flows.zone_fleet_nutrients(
-        fact(frame, ROWS),
+        catch.zone_species_tonnes(catch.catch_cells(fact(frame, ROWS))),
         values,
         frame(ISO, "missing_countries string, iso3c string"),
         frame(ALIASES, "alias string, iso3c string, continent string"),
@@ -109,8 +109,25 @@ def test_net_flow_is_gain_minus_loss(frame):
 def test_unmatched_species_keep_a_row_without_nutrient(frame):
     values = frame([], "scientific_name string, nutrient string, value double")
     nutrient_pairs = flows.zone_fleet_nutrients(
-        fact(frame, ROWS), values, frame(ISO, "missing_countries string, iso3c string"),
+        catch.zone_species_tonnes(catch.catch_cells(fact(frame, ROWS))), values, frame(ISO, "missing_countries string, iso3c string"),
         frame(ALIASES, "alias string, iso3c string, continent string"), PATTERNS,
     )
     assert {r["nutrient"] for r in nutrient_pairs.collect()} == {None}
     assert nutrient_pairs.agg(F.sum("nut_supply")).first()[0] == 0.0
+
+
+def test_unresolved_names_keep_their_tonnes(frame):
+    rows = flows.unresolved_names(
+        fact(frame, ROWS), frame(ISO, "missing_countries string, iso3c string"), frame(ALIASES, "alias string, iso3c string, continent string"), PATTERNS
+    ).collect()
+    pairs_open = pairs(frame).filter("eez_iso is null").agg(F.sum("tonnes")).first()[0] or 0.0
+    assert sum(r["tonnes"] for r in rows if r["side"] == "zone") == pairs_open
+    assert [r["tonnes"] for r in rows] == sorted((r["tonnes"] for r in rows), reverse=True)
+
+
+def test_both_names_of_a_country_are_aliases(frame):
+    key = frame([("AAA", "Aland Islands", "Aland", "EU"), ("BBB", "Bland", "Bland", "AF")], "iso3_use string, country string, country_use string, continent_region string")
+    aliases = flows.aliases_from_key(key)
+    names = frame([("aland",), ("ALAND ISLANDS",), ("Bland",), ("Nowhere",)], "name string")
+    got = {r["name"]: r["iso3c"] for r in flows.country_resolve(names, "name", aliases).collect()}
+    assert got == {"aland": "AAA", "ALAND ISLANDS": "AAA", "Bland": "BBB", "Nowhere": None}

@@ -45,7 +45,7 @@ def test_year_slice_reads_one_folder(folder_of, frame):
     assert [r["fishing_entity"] for r in one.collect()] == ["Ghana"]
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
-    assert list(folder_of.glob("seaplate/catch-*/year=2017"))
+    assert list(folder_of.glob("seaplate/*/catch-*/year=2017"))
 
 
 def test_gear_filter_and_columns_reach_the_scan(folder_of, frame):
@@ -57,7 +57,7 @@ def test_gear_filter_and_columns_reach_the_scan(folder_of, frame):
 
 def test_staging_uses_the_named_folder_and_cuts_lineage(folder_of, frame):
     staged = sinks.stage_table(frame(CATCH_ROWS, CATCH).groupBy("year").count(), "counts")
-    assert list(folder_of.glob("seaplate/counts-*/*.parquet"))
+    assert list(folder_of.glob("seaplate/*/counts-*/*.parquet"))
     assert "Aggregate" not in staged._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -83,3 +83,10 @@ def test_dimension_and_population(frame):
     dim = frame([("code", "name"), ("AAA", "a"), (None, "b")], "c string, n string")
     got = readers.read_dimension(dim, ["c"], {"c": "iso3"}, drop_first=("c", "code"))
     assert got.columns == ["iso3"] and sorted(map(str, (r[0] for r in got.collect()))) == ["AAA", "None"]
+
+
+def test_staged_tables_are_removed_together(spark, folder_of, frame):
+    sinks.stage_table(frame(CATCH_ROWS, CATCH), "fact")
+    (folder_of / "other").mkdir()
+    assert session.remove_staged(spark)
+    assert not list(folder_of.glob("seaplate/*/fact-*")) and (folder_of / "other").exists()
