@@ -32,7 +32,7 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BLOCK = 256
 LEAST_BLOCKS = 64
-SPAN_DOCS = 4096
+SPAN_DOCS = 1024
 SPAN_SLOTS = 1 << 16
 # The golden ratio's fraction as a 32-bit multiplier; points repeat after 2**31 slots.
 GOLDEN, CYCLE, UNIT = 2654435769, 1 << 31, 1 << 32
