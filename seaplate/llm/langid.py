@@ -156,6 +156,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     entries = words.select("lang", "n", F.explode(F.concat(*lists)).alias("e")).groupBy("lang", "e.order", "e.gram").agg(F.sum("n").alias("n"))
     totals = entries.groupBy("lang", "order").agg(F.sum("n").alias("all"))
     share = F.col("n") / F.col("all")
+    totals = F.broadcast(totals)  # a row per language and order, so at most LANGUAGES * 6
     kept_entries = entries.join(totals, ["lang", "order"]).filter(share * ENTRIES >= 1).select("order", "gram", "lang", share.alias("share"))
     return LanguageModel(languages, kept_entries.orderBy("order", "gram", "lang").toPandas())
 
