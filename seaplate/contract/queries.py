@@ -243,7 +243,8 @@ def q_coastal_population_dim(t: Tables) -> DataFrame:
 
 @query
 def q_stage_table(t: Tables) -> DataFrame:
-    staged = sinks.stage_table(catch.total_by_species_entity(s.catch(t)), "species-fleet")
+    sums = catch.gear_sector_filter(s.catch(t)).groupBy("scientific_name", "fishing_entity").agg(F.sum("tonnes").alias("tonnes"))
+    staged = sinks.stage_table(sums, "species-fleet")
     return staged.groupBy("fishing_entity").agg(F.sum("tonnes").alias("tonnes"), F.count(F.lit(1)).alias("n_species"))
 
 
