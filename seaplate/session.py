@@ -74,8 +74,13 @@ def remove_staged(spark: SparkSession) -> bool:
     The folder in ``spark.checkpoint.dir`` belongs to the cluster's operator; below it an application
     writes to, and removes, nothing but its own folder.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return remove_path(spark, run_folder(spark))
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete one staged path, wherever Spark can write."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def _remove_at_exit(spark: SparkSession) -> None:
