@@ -44,6 +44,7 @@ THRESHOLD = 0.3
 SUMS = 6
 SHAPES = 10
 CACHE = 150_000
+BATCH = 1 << 18
 CAPS = "<caps>"
 
 
@@ -79,6 +80,7 @@ class QualityModel:
         seen = order[len(aside) :] if len(y) >= 10 else order
         self._fit((x - self.mean) / self.scale, y, seen, seed)
         self._calibrate(self._logits((x[aside] - self.mean) / self.scale), y[aside])
+        self._forget()  # so that a broadcast model holds no cache
 
     def _learn_vectors(self, texts) -> None:
         lists = lambda: ([x for w in words_of(t) for x in ((w.lower(), CAPS) if is_caps(w) else (w.lower(),))] for t in texts)
@@ -126,7 +128,7 @@ class QualityModel:
     def features(self, texts: list[str | None]) -> np.ndarray:
         """One row per text."""
         out = np.zeros((len(texts), SIZE + SHAPES))
-        for cut in slices(list(texts)):
+        for cut in slices(list(texts), BATCH):
             self._features(texts[cut], out[cut])
         return out
 
