@@ -5,18 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seaplate.session import remove_path, staging_path
 from seaplate.sources.sinks import stage_table
 
 GROUP_BYTES = 4 << 20
 GROUPS_PER_TASK = 4
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage in a way that outlives executors."""
-    return stage_table(df, name)
+    path = staging_path(df.sparkSession, name)
+    _staged.append(path)
+    return stage_table(df, name, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what ``stage`` has written so far, once the results that read it have been written themselves."""
+    while _staged:
+        remove_path(spark, _staged.pop())
 
 
 def document_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:

@@ -12,13 +12,13 @@ from tokenizers import Tokenizer
 import brute
 import corpus_pipeline
 from seaplate.llm import quality
-from seaplate.llm.tables import stage
+from seaplate.sources.sinks import stage_table
 
 
 def run_stages(spark, docs, sf_dir):
     out = [docs]
     for name, step in corpus_pipeline.STAGES:
-        out.append(stage(step(spark, out[-1], sf_dir), name))
+        out.append(stage_table(step(spark, out[-1], sf_dir), name))
     return out
 
 
