@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seaplate.llm import decontam, mixing, neardup, quality, tokens
-from seaplate.llm.tables import release
+from seaplate.llm.tables import staging_scope
 from seaplate.session import remove_path, staging_path
 from seaplate.sources.sinks import stage_table
 
@@ -29,31 +29,31 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep_good(docs, model)
+    with staging_scope(spark):
+        model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return quality.keep_good(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    return neardup.keep_one(docs)
+    with staging_scope(spark):
+        return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with staging_scope(spark):
+        return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    return mixing.mixed_documents(docs)
+    with staging_scope(spark):
+        return mixing.mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    folder = staging_path(spark, "tokens")
-    tokens.write_tokens(docs, folder, public_tokenizers.path(TOKENIZER))
-    return tokens.read_tokens(spark, folder).drop("ids")
+    with staging_scope(spark):
+        folder = staging_path(spark, "tokens")
+        tokens.write_tokens(docs, folder, public_tokenizers.path(TOKENIZER))
+        return tokens.read_tokens(spark, folder).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

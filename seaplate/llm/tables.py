@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +16,31 @@ GROUP_BYTES = 4 << 20
 GROUPS_PER_TASK = 4
 
 
-_staged: list[str] = []
+_scope: list[str] | None = None
+_ended: list[str] = []
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage in a way that outlives executors."""
     path = staging_path(df.sparkSession, name)
-    _staged.append(path)
+    if _scope is not None:
+        _scope.append(path)
     return stage_table(df, name, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove what ``stage`` has written so far, once the results that read it have been written themselves."""
-    while _staged:
-        remove_path(spark, _staged.pop())
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes what the scope before it has staged, whose results must have been written by then; tables staged
+    outside of scopes stay."""
+    global _scope
+    while _ended:
+        remove_path(spark, _ended.pop())
+    _scope = []
+    try:
+        yield
+    finally:
+        _ended.extend(_scope)
+        _scope = None
 
 
 def document_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
