@@ -43,7 +43,7 @@ STEPS = 400
 THRESHOLD = 0.3
 SUMS = 6
 SHAPES = 10
-CACHE = 150_000
+CACHE = 60_000
 BATCH = 1 << 18
 CAPS = "<caps>"
 

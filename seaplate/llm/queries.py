@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from seaplate.llm import decontam, langid, lines, mixing, neardup, quality, substrings, tokens, vectors, warc
 from seaplate.llm.langid import held_out
+from seaplate.llm.tables import small_batches
 from seaplate.session import JOB_CONF, staging_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +78,7 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run(query, spark: SparkSession, sf_dir: str) -> DataFrame:
     for key, value in JOB_CONF.items():
         spark.conf.set(key, value)
+    small_batches(spark)
     return query(spark, sf_dir)
 
 

@@ -14,6 +14,7 @@ from seaplate.sources.sinks import stage_table
 
 GROUP_BYTES = 4 << 20
 GROUPS_PER_TASK = 4
+BATCH_ROWS = 1000
 
 
 _scope: list[str] | None = None
@@ -28,11 +29,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return stage_table(df, name, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of ``BATCH_ROWS`` rows, which bounds what a worker holds at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Removes what the scope before it has staged, whose results must have been written by then; tables staged
     outside of scopes stay."""
     global _scope
+    small_batches(spark)
     while _ended:
         remove_path(spark, _ended.pop())
     _scope = []

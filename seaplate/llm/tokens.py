@@ -38,7 +38,7 @@ from seaplate.llm import kernels as k
 END_ID = 1
 BLOCK_IDS = 8192
 CHUNK_IDS = 1 << 17
-CACHE = 1_000_000
+CACHE = 400_000
 LEVEL = 3
 DATA = "shard int, chunk int, kind string, n_ids long, crc32 long, doc_ids array<long>, lengths array<int>, planes array<binary>"
 JOINED = 512
