@@ -443,16 +443,16 @@ view("v_reporting", f"SELECT {_cells(_FLEET, 'reporting_status', ['Reported', 'U
 _DHC, _FM = '"Direct human consumption"', 'coalesce("Fishmeal and fish oil", 0)'
 oracle(
     "supply_enduse_fmfo",
-    f"""SELECT {_FLEET}, {rs(_END_USES[:2], 4)}, {r(_FM, 4, 'Fishmeal and fish oil')},
+    f"""SELECT {_FLEET}, {rs(_END_USES[:2], 2)}, {r(_FM, 2, 'Fishmeal and fish oil')},
       {r(ratio(_DHC, _FM), 7, 'fmfo_dhc_ratio')}, {r(ratio(_FM, _DHC), 7, 'dhc_fmfo_ratio')} FROM v_fmfo""",
 )
 oracle(
     "supply_discard_ratio",
-    f"SELECT {_FLEET}, {rs(_END_USES, 4)}, {r(ratio('Discards', _DHC), 7, 'discard_ratio')} FROM v_discards",
+    f"SELECT {_FLEET}, {rs(_END_USES, 2)}, {r(ratio('Discards', _DHC), 7, 'discard_ratio')} FROM v_discards",
 )
 oracle(
     "supply_reporting_ratio",
-    f"""SELECT {_FLEET}, {rs(['Reported', 'Unreported'], 4)}, {r(ratio('Unreported', 'Reported'), 7, 'reporting_ratio')}
+    f"""SELECT {_FLEET}, {rs(['Reported', 'Unreported'], 2)}, {r(ratio('Unreported', 'Reported'), 7, 'reporting_ratio')}
     FROM v_reporting""",
 )
 oracle(

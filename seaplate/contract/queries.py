@@ -392,19 +392,19 @@ def q_species_composition_distinct(t: Tables) -> DataFrame:
 @query
 def q_supply_enduse_fmfo(t: Tables) -> DataFrame:
     df = ratios.supply_enduse_fmfo(_biomass(t), _filled(t))
-    return rounded(rounded_all(df, ratios.END_USES, 4), fmfo_dhc_ratio=7, dhc_fmfo_ratio=7)
+    return rounded(rounded_all(df, ratios.END_USES, 2), fmfo_dhc_ratio=7, dhc_fmfo_ratio=7)
 
 
 @query
 def q_supply_discard_ratio(t: Tables) -> DataFrame:
     df = ratios.supply_discard_ratio(_biomass(t), _filled(t))
-    return rounded(rounded_all(df, ratios.END_USES, 4), discard_ratio=7)
+    return rounded(rounded_all(df, ratios.END_USES, 2), discard_ratio=7)
 
 
 @query
 def q_supply_reporting_ratio(t: Tables) -> DataFrame:
     df = ratios.supply_reporting_ratio(_biomass(t), _filled(t))
-    return rounded(df, Reported=4, Unreported=4, reporting_ratio=7)
+    return rounded(df, Reported=2, Unreported=2, reporting_ratio=7)
 
 
 @query
