@@ -45,7 +45,7 @@ HOT = 4096
 NO_ID = np.iinfo(np.int64).min
 LOW = np.uint64(127)
 
-ANCHOR = np.dtype([("g", "<u8"), ("f", "<u2"), ("n", "<u2"), ("many", "u1")])
+ANCHOR = np.dtype([("g", "<u8"), ("key", "<u8"), ("n", "<u2"), ("many", "u1")])
 KNOWN = np.dtype([("g", "<u8"), ("mixed", "u1"), ("hot", "u1")])
 PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sub", "<u4"), ("pos", "<u4")])
 HEAD = np.dtype([("g", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("sub", "<u4"), ("pos", "<u4"), ("left", "u1"), ("n", "u1")])
@@ -188,7 +188,7 @@ def send_anchors(table: pa.Table, shards: int) -> pa.Table:
     new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
     out = np.empty(len(first), ANCHOR)
     if len(first):
-        out["g"], out["f"] = g[first], (key[first] & np.uint64(0xFFFF)).astype(np.uint16)
+        out["g"], out["key"] = g[first], key[first]  # one key tells: with several in a group, n does
         out["n"] = np.minimum(np.add.reduceat(new, first), 65535)
         out["many"] = np.diff(np.append(first, len(g))) > 1
     return _sent(_messages(_bucket(table), [("anchors", out, out["g"] >> np.uint64(7))], shards))
@@ -202,7 +202,7 @@ def answer_anchors(table: pa.Table) -> pa.Table:
     count = np.diff(np.append(first, len(g)))
     per = lambda f, name: f.reduceat(rows[name][order].astype(np.int64), first)
     repeated = (count > 1) | (per(np.maximum, "many") > 0)
-    mixed = (per(np.maximum, "n") > 1) | (per(np.maximum, "f") != per(np.minimum, "f"))
+    mixed = (per(np.maximum, "n") > 1) | (per(np.maximum, "key") != per(np.minimum, "key"))
     hot = per(np.add, "n") > HOT
     back = np.empty(len(g), np.int64)
     back[order] = np.repeat(np.arange(len(first)), count)

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from brute import DOCS, odd_documents
 from compare import connect, differences
@@ -129,6 +131,33 @@ def test_repeated_strings(docs, rows, none, monkeypatch, hot):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_segments_whose_keys_agree_in_their_low_bits(monkeypatch):
+    """Each document is a group, and the low 16 bits of all segments' keys are equal."""
+    segments = substrings.Group._segments
+
+    def coarse(self):
+        segments(self)
+        self.key &= ~np.uint64(0xFFFF)
+
+    monkeypatch.setattr(substrings.Group, "_segments", coarse)
+    draw = np.random.default_rng(12)
+    prose = lambda n: "".join(map(chr, draw.integers(97, 123, n)))
+    passage = prose(700)
+    rows = [(i, prose(300) + passage + prose(300)) for i in range(2)]
+    tables = [pa.table({"doc_id": [d], "text": [t.encode()], "bucket": pa.array([d], pa.int32())}) for d, t in rows]
+    replies = substrings._replies([])
+    own = lambda i: replies.filter(pc.equal(replies["bucket"], i))
+    for send, answer in (
+        (lambda t, r: substrings.send_anchors(t, 1), substrings.answer_anchors),
+        (lambda t, r: substrings.send_classes(t, r, 1), substrings.answer_classes),
+        (lambda t, r: substrings.send_strings(t, r, 1), substrings.answer_strings),
+    ):
+        sent = pa.concat_tables([send(t, own(i)) for i, t in enumerate(tables)])
+        replies = pa.concat_tables([replies, answer(sent)])
+    found = [substrings.remove(t, own(i)).to_pylist()[0] for i, t in enumerate(tables)]
+    assert [r["spans"] for r in found] == [[], [{"start": 300, "end": 1000}]]
+
+
 def test_repeated_strings_of_the_given_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
