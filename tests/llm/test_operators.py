@@ -286,6 +286,25 @@ def test_language_backs_off_to_shorter_grams(spark):
     assert model.predict("123 --")[0] == "und" and model.predict("漢")[1] == pytest.approx(0.5)
 
 
+def test_a_language_of_a_thousandth_of_the_rows(spark):
+    rows = [(i, "the quick street and house", "en") if i % 2 else (i, "die schnelle strasse und haus", "de") for i in range(4995)]
+    rows += [(5000 + i, f"talo katu nopea yksi{i}", "fi") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(frame)
+    assert model.languages == ["de", "en", "fi"]
+    found = langid.predict(frame, model).join(frame.select("doc_id", "lang"), "doc_id")
+    assert found.filter("lang != lang_pred").count() == 0
+    assert model.predict("katulla")[0] == "fi"
+
+
+def test_more_languages_than_share_the_entries(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "VALUES", 16)
+    rows = [(i, f"{chr(97 + i % 20) * 4} common", f"x{i % 20:02}") for i in range(60)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [lang for lang, _ in model.predict_all([t for _, t, _ in rows])] == [lang for *_, lang in rows]
+
+
 def test_language_and_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
