@@ -2,9 +2,11 @@
 
 A document's set holds its distinct ``width``-word shingles as 64-bit hashes. One
 hash per shingle fills ``BINS`` bins with the smallest value each; an empty bin
-copies the filled bin that its own fixed random sequence of bins meets first
+copies the filled bin that its own fixed random order of all bins meets first
 (optimal densification). ``ROWS`` bins make a band, and a bucket holds documents
-that agree on a band.
+that agree on a band. Sets of 3 to ``SMALL`` shingles have few values to choose from, so they get further buckets:
+one for the whole set and, from 4 on, one for each set that leaves out one shingle. Two such sets with a similarity
+of 0.75 or more differ by at most one shingle on either side, so they surely share one.
 
 1. Documents with equal sets become one class, whose smallest doc_id represents it.
 2. Each bucket links its smallest representative to the others: a star, not all pairs.
@@ -15,7 +17,7 @@ that agree on a band.
    hashes, a fixed share of each set, and give every pair that comes within ``MARGIN`` of it (5 to 8 standard
    errors). What is given is confirmed on the full sets.
 
-At similarity 0.75 a pair shares none of the 32 bands with probability 5e-6.
+At similarity 0.75 a pair of larger sets shares none of the 32 bands with probability 5e-6.
 
 Defined cases: null, empty and word-free texts have an empty set, stay alone and are
 kept; with fewer than ``width`` words the whole sequence is the one shingle; repeated rows
@@ -44,7 +46,7 @@ SAMPLE = 512
 MARGIN = 0.15
 BLOCK = 512
 COLUMNS = 4096
-_TRIES = 64
+SMALL = 7
 NOT_WHITE = ~k.WHITE
 
 
@@ -62,7 +64,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
             at += n
 
 
-_draws = np.random.default_rng(77).integers(0, BINS, size=(BINS, _TRIES))
+_draws = np.random.default_rng(77).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -75,23 +77,34 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     filled[bins] = True
     empty = np.flatnonzero(~filled)
     if len(empty):
-        hits = filled[_draws[empty]]
-        pick = np.where(hits.any(1), _draws[empty, hits.argmax(1)], bins[0] if len(bins) else 0)
-        out[empty] = out[pick]
+        out[empty] = out[_draws[empty, filled[_draws[empty]].argmax(1)]]
     return out
 
 
+def small_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of a small set and of the sets without one of its shingles."""
+    if not 3 <= len(shingles) <= SMALL:
+        return np.empty(0, np.uint64)
+    h = k.mix(shingles + np.uint64(0x2F0B43))
+    whole = h.sum(keepdims=True)
+    return k.mix(np.concatenate([whole, whole - h] if len(h) > 3 else [whole]))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The buckets of a set that is not empty."""
+    sign = signature(shingles)
+    bands = np.zeros(BINS // ROWS, np.uint64)
+    for i in range(ROWS):
+        bands = bands * np.uint64(k.STEP) + sign[i::ROWS]
+    return np.concatenate([k.mix(bands + np.arange(len(bands), dtype=np.uint64)), small_keys(shingles)]).view(np.int64)
+
+
 def _describe(pdf: pd.DataFrame, width: int) -> Iterator[tuple]:
     for doc, own in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), width), strict=True):
         if not len(own):
             yield doc, 0, None, None
             continue
-        sign = signature(own)
-        bands = np.zeros(BINS // ROWS, np.uint64)
-        for i in range(ROWS):
-            bands = bands * np.uint64(k.STEP) + sign[i::ROWS]
-        bands = k.mix(bands + np.arange(len(bands), dtype=np.uint64)).view(np.int64)
-        yield doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), bands
+        yield doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), band_keys(own)
 
 
 def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:

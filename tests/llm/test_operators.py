@@ -77,6 +77,23 @@ def test_a_star_whose_centre_hides_a_link(spark):
     same(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), brute.near_duplicates(rows))
 
 
+def test_small_sets_share_a_bucket():
+    """All pairs of small sets at the limit: one shingle more, or one changed in sets of seven."""
+    draw = np.random.default_rng(21)
+    for small, large, times in ((3, 4, 6000), (4, 5, 2000), (6, 7, 2000), (7, 7, 2000)):
+        for _ in range(times):
+            values = np.unique(draw.integers(0, 1 << 63, 8, dtype=np.uint64))
+            a, b = values[:large], values[1 : 1 + small] if small == large else values[:small]
+            assert len(np.intersect1d(neardup.band_keys(a), neardup.band_keys(b)))
+
+
+def test_empty_bins_do_not_fall_back_together():
+    """Two filled bins are copied about equally often, into all other bins."""
+    two = np.array([1, 2], np.uint64)
+    counts = np.unique(neardup.signature(two), return_counts=True)[1]
+    assert len(counts) == 2 and counts.min() > 48
+
+
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     """Blocks of a few rows, so that a bucket's members are dealt into many."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
