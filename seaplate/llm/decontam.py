@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm import kernels as k
+from seaplate.llm.tables import long_ids, text_ids
 
 MEMBER = np.zeros(256, bool)
 MEMBER[48:58] = MEMBER[97:123] = MEMBER[128:] = True
 WIDTH = 13
 PIECE = 200_000
 LANE = 256
-SCHEMA = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+SCHEMA = "doc_id string, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
 @dataclass
@@ -168,14 +169,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, pi
                 found = search_texts(texts[cut], [p.value for p in pieces])
                 yield pd.DataFrame(
                     {
-                        "doc_id": pdf["doc_id"].iloc[cut].astype("Int64"),
+                        "doc_id": pdf["doc_id"].iloc[cut],
                         "n_words": [n for n, _, _ in found],
                         "spans": [[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found],
                         "items": [ids for _, _, ids in found],
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(task, SCHEMA)
+    return long_ids(text_ids(docs, "text").mapInPandas(task, SCHEMA))
 
 
 def contaminated(n_hit, n_words):

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm.kernels import slices
+from seaplate.llm.tables import long_ids, text_ids
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -205,4 +206,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = [x for cut in slices(texts, limit) for x in shared.value.predict_all(texts[cut])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(task, "doc_id long, lang_pred string, score double")
+    return long_ids(text_ids(docs, "text").mapInPandas(task, "doc_id string, lang_pred string, score double"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm import kernels as k
-from seaplate.llm.tables import by_shard, document_groups, split_by_shard, unpack
+from seaplate.llm.tables import by_shard, document_groups, long_ids, split_by_shard, text_ids, unpack
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -34,7 +34,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 LINE = np.dtype([("h", "<u8"), ("print", "<u4"), ("n", "<u4"), ("last", "<i8")])
 REPLY = np.dtype([("h", "<u8"), ("print", "<u4"), ("last", "<i8")])
 NO_ID = np.iinfo(np.int64).min
-SCHEMA = "doc_id long, n_lines long, n_dropped long, kept string"
+SCHEMA = "doc_id string, n_lines long, n_dropped long, kept string"
 SPREAD = 2
 
 
@@ -113,12 +113,12 @@ def line_key(line: str, min_chars: int) -> int | None:
 
 
 def _ids(pdf: pd.DataFrame) -> list[int]:
-    return pdf["doc_id"].astype("Int64").fillna(NO_ID).tolist()
+    return [NO_ID if null else int(x) for x, null in zip(pdf["doc_id"], pdf["doc_id"].isna(), strict=True)]
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: doc_id, n_lines before dropping, n_dropped, and the kept text."""
-    grouped, tasks = document_groups(docs)
+    grouped, tasks = document_groups(text_ids(docs, "text"))
 
     def send(pdf, shards):
         found: dict[int, list] = {}
@@ -149,11 +149,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 key = line_key(line, min_chars)
                 if key is None or last.get((key >> 64, key & 0xFFFFFFFF), doc) == doc:
                     kept.append(line)
-            out.append((None if null else doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
-        return pd.DataFrame(out, columns=["doc_id", "n_lines", "n_dropped", "kept"]).astype({"doc_id": "Int64"})
+            out.append((None if null else str(doc), len(lines), len(lines) - len(kept), "\n".join(kept)))
+        return pd.DataFrame(out, columns=["doc_id", "n_lines", "n_dropped", "kept"])
 
     replies = by_shard(grouped, tasks, send, answer).repartition(tasks, "bucket")
-    return grouped.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(drop, SCHEMA)
+    return long_ids(grouped.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(drop, SCHEMA))
 
 
 def summary(result: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from seaplate.llm import kernels as k
 from seaplate.llm.graph import components, pair_blocks
-from seaplate.llm.tables import stage
+from seaplate.llm.tables import long_ids, stage, text_ids
 
 WIDTH = 5
 PERCENT = 75
@@ -113,10 +113,10 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def task(batches):
         for pdf in batches:
             rows = list(_describe(pdf, width))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "bands"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "bands"])
 
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(task, schema)
+    schema = "doc_id string, n_shingles long, digest binary, bands array<long>"
+    return long_ids(text_ids(docs, "text").mapInPandas(task, schema))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:

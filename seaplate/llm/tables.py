@@ -29,6 +29,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return stage_table(df, name, path)
 
 
+def text_ids(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id as text, for pandas, which turns whole numbers beside a null into floats and so rounds those above 2**53."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *others)
+
+
+def long_ids(rows: DataFrame) -> DataFrame:
+    """doc_id as a number again."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of ``BATCH_ROWS`` rows, which bounds what a worker holds at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

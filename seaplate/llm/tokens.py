@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seaplate.llm import kernels as k
+from seaplate.llm.tables import long_ids, text_ids
 
 END_ID = 1
 BLOCK_IDS = 8192
@@ -199,7 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    data = rows.select("doc_id", "text").mapInPandas(lambda batches: _chunks(batches, tokenizer, kind), DATA)
+    data = text_ids(rows, "text").mapInPandas(lambda batches: _chunks(batches, tokenizer, kind), DATA)
     data.write.option("compression", "uncompressed").parquet(f"{folder}/data")
     chunks = spark.read.parquet(f"{folder}/data").select(
         "shard", "chunk", "n_ids", F.size("doc_ids").alias("n_docs"),
@@ -227,7 +228,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 own = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([None if pd.isna(x) else int(x) for x in chunk.doc_ids], dtype="Int64"),
+                        "doc_id": list(chunk.doc_ids),
                         "start": ends - lengths + chunk.start,
                         "n_tokens": lengths,
                         "ids_crc32": [zlib.crc32(x) for x in own],
@@ -235,6 +236,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     }
                 )
 
-    data = spark.read.schema(DATA).parquet(f"{folder}/data")
+    data = spark.read.schema(DATA).parquet(f"{folder}/data").withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
     index = spark.read.parquet(f"{folder}/index").select("shard", "chunk", "start")
-    return data.join(index, ["shard", "chunk"]).mapInPandas(task, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return long_ids(data.join(index, ["shard", "chunk"]).mapInPandas(task, "doc_id string, start long, n_tokens long, ids_crc32 long, ids binary"))

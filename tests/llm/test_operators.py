@@ -345,6 +345,27 @@ def test_quality(spark, docs, none):
     assert {r["score"] for r in quality.classify(docs, quality.learn(none, labels)).collect()} == {0.5}
 
 
+def test_large_ids_beside_a_null(spark):
+    big = (1 << 53) + 1
+    line = "a line that is long enough to be looked up in the index"
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, line, "en"), (big, line, "en"), (big + 2, line, "en"), (big + 4, line, "en"), (big + 6, f"{line}\nmore", "en")]
+    rows += [(big + 100, words, "en"), (big + 101, words + " more", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    ids = Counter(r[0] for r in rows)
+    of = lambda df: Counter(r["doc_id"] for r in df.collect())
+    assert of(langid.predict(docs, langid.learn(docs))) == ids
+    same(neardup.near_duplicates(docs), brute.near_duplicates(texts_of(rows)))
+    assert of(neardup.keep_one(docs)) == Counter([None, big, big + 100])
+    found = lines.dedup_lines(docs)
+    same(lines.summary(found), brute.lines(texts_of(rows)))
+    benchmark = spark.createDataFrame([(1, words)], "item_id long, text string")
+    assert of(decontam.find_benchmark(docs, benchmark)) == ids
+    folder = staging_path(spark, "tokens")
+    tokens.write_tokens(docs, folder, TOKENIZER)
+    assert of(tokens.read_tokens(spark, folder)) == ids
+
+
 PAGES = "page_id long, url string, html string, file string"
 
 
