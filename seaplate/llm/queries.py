@@ -65,13 +65,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC records, audited against a copy in which every 97th page's record has one byte changed."""
-    folder = staging_path(spark, "warc")
+    """All pages as WARC records, audited against a stored copy in which every 97th page's record has one byte changed."""
+    folder, second = staging_path(spark, "warc"), staging_path(spark, "warc-copy")
     warc.write_warc(read(spark, sf_dir, "pages"), folder)
     files = warc.read_files(spark, folder)
     original = warc.stage(warc.file_trees(files), "trees")
-    copy = warc.damage(files, lambda page: page is not None and page % 97 == 5)
-    found = warc.fixity(original, warc.replica_trees(copy, original))
+    warc.write_files(warc.damage(files, lambda page: page is not None and page % 97 == 5), second)
+    found = warc.fixity(original, warc.replica_trees(warc.read_files(spark, second), original))
     return found.select("page_id", F.col("length").alias("n_bytes"), F.col("digest").alias("record_sha256"), "damaged")
 
 

@@ -1,15 +1,17 @@
 """WARC files and a Merkle fixity audit of their replicas.
 
-``write_warc`` puts pages into WARC files, one ``resource`` record each, through Spark's text writer:
-the line separator is the two line ends that close a record, so files are committed as any
-Spark output is. ``records_of`` reads a file back by its Content-Length headers.
-
-The audit hashes every record, with its offset and length, into a leaf; ``FAN`` neighbouring nodes of
-a file make the next node, whose hash covers the range and hashes of its children, up to the file's
-root; the files' roots, in order of names, make a tree of their own up to one root per replica. If the
+``write_warc`` puts pages into WARC files, one ``resource`` record each and each its own gzip member, through Spark's
+text writer, so files are committed as any Spark output is: a line holds a member's bytes, and the line
+separator is an empty gzip member. Unpacked, a file is a plain sequence of records.
+
+The audit hashes the stored bytes of every record, from its member's first byte to the next member's, into a leaf;
+``FAN`` neighbouring nodes of a file make the next node, whose hash covers the range and hashes of its children, up to
+the top; a file's root hashes the top and the bytes after the last record; the files' roots, in order of names, make a
+tree of their own up to one root per replica. If the
 roots of two replicas differ, the audit descends: only children of nodes that differ are compared, level by
-level, down to the records. A replica is read at the ranges of the original's records, so a changed, cut or
-missing file shows as records that differ.
+level, down to the records. A replica is read at the stored ranges of the original's records and never unpacked, so
+any changed byte and a cut or missing file show as records that differ; bytes after the last record and files
+that only the replica has show as rows without a record. Only the original has to be readable.
 
 Defined cases: a null page_id or url is an empty value in the header, null html an empty payload; repeated pages
 are records of their own; line ends in a url are percent-encoded; an empty table gives no record and equal
@@ -21,11 +23,13 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from seaplate.llm.tables import stage
 
@@ -34,9 +38,11 @@ RECORDS = 1000
 CRLF = "\r\n"
 CLOSE = CRLF + CRLF
 DATE = "1970-01-01T00:00:00Z"
-LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n\r\n")
 PAGE = re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d*)>\r\n")
-NODE = "file string, level int, node long, offset long, length long, page_id long, digest string"
+NODE = "file string, level int, node long, offset long, length long, page_id long, digest string, at long, size long, mark binary"
+EMPTY = gzip.compress(b"", mtime=0)
+TAIL = -1
+CHUNK = 1 << 14
 
 
 def record_text() -> Column:
@@ -52,36 +58,69 @@ def record_text() -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF), html)
 
 
-def write_warc(pages: DataFrame, path: str, records: int = RECORDS) -> None:
-    """Gzipped WARC files below ``path``, in the order of the input."""
-    options = {"lineSep": CLOSE, "compression": "gzip", "maxRecordsPerFile": records}
-    pages.select(record_text().alias("value")).write.options(**options).text(path)
+@F.pandas_udf(BinaryType())
+def _member(records: pd.Series) -> pd.Series:
+    return pd.Series([gzip.compress(r.encode() + CLOSE.encode(), 6, mtime=0) for r in records], dtype=object)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content): names and unpacked bytes of the files below ``path``."""
+def _write(members: DataFrame, path: str, records: int, by: list[str]) -> None:
+    options = {"lineSep": EMPTY.decode("latin-1"), "encoding": "ISO-8859-1", "maxRecordsPerFile": records}
+    members.write.options(**options).partitionBy(*by).text(path)
 
-    def task(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"file": pdf["file"], "content": [gzip.decompress(c) for c in pdf["content"]]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInPandas(task, "file string, content binary")
+def write_warc(pages: DataFrame, path: str, records: int = RECORDS) -> None:
+    """WARC files of gzip members below ``path``, in the order of the input."""
+    _write(pages.select(_member(record_text()).cast("string").alias("value")), path, records, [])
 
 
-def records_of(content: bytes) -> Iterator[tuple[int, int, int | None]]:
-    """Offset, length and page id of each record, without the line ends that close it."""
-    at = 0
-    while at < len(content):
-        size = LENGTH.search(content, at)
-        page = PAGE.search(content, at)
-        stop = size.end() + int(size[1])
-        yield at, stop - at, int(page[1]) if page[1] else None
-        at = stop + len(CLOSE)
+def write_files(files: DataFrame, path: str) -> None:
+    """Another replica of ``files`` as they are, each in a folder of its name; they end as ``write_warc``'s do."""
+    whole = F.expr(f"substring(content, 1, length(content) - {len(EMPTY)})").cast("string")
+    _write(files.select("file", whole.alias("value")), path, 0, ["file"])
 
 
-def _hash(parts) -> str:
-    return hashlib.sha256("\n".join(map(str, parts)).encode()).hexdigest()
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content): names and stored bytes of the files below ``path``."""
+    files = spark.read.format("binaryFile").load(path)
+    folder = F.regexp_extract("path", "/file=([^/]+)/[^/]+$", 1)
+    return files.select(F.when(folder != "", folder).otherwise(F.element_at(F.split("path", "/"), -1)).alias("file"), "content")
+
+
+def members_of(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Place, stored size and unpacked bytes of each gzip member."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        unpack, out, end = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            piece = view[end : end + CHUNK]
+            if not len(piece):
+                raise EOFError("a member has no end")
+            out.append(unpack.decompress(piece))
+            end += len(piece)
+        end -= len(unpack.unused_data)
+        yield at, end - at, b"".join(out)
+        at = end
+
+
+def records_of(content: bytes) -> Iterator[tuple[bytes, int, int | None, int, int]]:
+    """Each record without the line ends that close it, its offset in the unpacked file and its page id; place and size
+    of its stored bytes, with the separator that follows."""
+    last, offset = None, 0
+    for at, size, data in members_of(content):
+        if not data and last:
+            last = (*last[:4], last[4] + size)
+        if data:
+            if last:
+                yield last
+            page = PAGE.search(data)
+            last = (data[: -len(CLOSE)], offset, int(page[1]) if page[1] else None, at, size)
+            offset += len(data)
+    if last:
+        yield last
+
+
+def _hash(parts) -> bytes:
+    return hashlib.sha256("\n".join(map(str, parts)).encode()).digest()
 
 
 def _climb(file: str, leaves: list[tuple]) -> Iterator[tuple]:
@@ -92,53 +131,69 @@ def _climb(file: str, leaves: list[tuple]) -> Iterator[tuple]:
         if len(row) <= 1:
             return
         groups = [row[i : i + FAN] for i in range(0, len(row), FAN)]
-        row = [(g[0][0], g[-1][0] + g[-1][1] - g[0][0], None, _hash(x for n in g for x in (n[0], n[1], n[3]))) for g in groups]
+        row = [
+            (g[0][0], g[-1][0] + g[-1][1] - g[0][0], None, None, g[0][4], g[-1][4] + g[-1][5] - g[0][4], _hash(x for n in g for x in (n[4], n[5], n[6].hex())))
+            for g in groups
+        ]
         level += 1
 
 
-def _nodes(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["file", "level", "node", "offset", "length", "page_id", "digest"]).astype({"page_id": "Int64"})
+def _nodes(file: str, leaves: list[tuple], content: bytes) -> pd.DataFrame:
+    """All nodes of one file, and at level ``TAIL`` the bytes after the last leaf."""
+    end = leaves[-1][4] + leaves[-1][5] if leaves else 0
+    tail = content[end:]
+    rows = [*_climb(file, leaves), (file, TAIL, 0, None, None, None, None, end, len(tail), hashlib.sha256(tail).digest())]
+    names = [c.split(" ")[0] for c in NODE.split(", ")]
+    frame = pd.DataFrame(rows, columns=names, dtype=object)
+    return frame.assign(**{c: pd.array(frame[c].tolist(), dtype="Int64") for c in ("offset", "length", "page_id")})
 
 
 def file_trees(files: DataFrame) -> DataFrame:
-    """The nodes of each file's tree, by its own records."""
+    """The nodes of each file's tree, by its own records; ``digest`` is of the record, ``mark`` of the stored bytes."""
 
     def task(batches):
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"], strict=True):
-                leaves = [(a, n, page, hashlib.sha256(content[a : a + n]).hexdigest()) for a, n, page in records_of(content)]
-                yield _nodes(list(_climb(file, leaves)))
+                leaves = [
+                    (offset, len(r), page, hashlib.sha256(r).hexdigest(), at, size, hashlib.sha256(content[at : at + size]).digest())
+                    for r, offset, page, at, size in records_of(content)
+                ]
+                yield _nodes(file, leaves, content)
 
     return files.mapInPandas(task, NODE)
 
 
 def replica_trees(files: DataFrame, original: DataFrame) -> DataFrame:
-    """The nodes of a replica's trees, at the ranges of the original's records."""
-    ranges = original.filter("level = 0").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("node", "offset", "length", "page_id"))).alias("ranges"))
+    """The nodes of a replica's trees, at the stored ranges of the original's records; a file that the original lacks is
+    all tail."""
+    fields = ("node", "offset", "length", "page_id", "at", "size")
+    held = F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct(*fields))))
+    ranges = original.filter("level <= 0").groupBy("file").agg(held.alias("ranges"))
 
     def task(batches):
         for pdf in batches:
             for file, content, own in zip(pdf["file"], pdf["content"], pdf["ranges"], strict=True):
-                content = content or b""
+                content, own = content or b"", [] if own is None else own
                 leaves = [
-                    (r["offset"], r["length"], r["page_id"], hashlib.sha256(content[r["offset"] : r["offset"] + r["length"]]).hexdigest()) for r in own
+                    (r["offset"], r["length"], r["page_id"], None, r["at"], r["size"], hashlib.sha256(content[r["at"] : r["at"] + r["size"]]).digest())
+                    for r in own
                 ]
-                yield _nodes(list(_climb(file, leaves)))
+                yield _nodes(file, leaves, content)
 
-    return ranges.join(files, "file", "left").select("file", "content", "ranges").mapInPandas(task, NODE)
+    return ranges.join(files, "file", "full").select("file", "content", "ranges").mapInPandas(task, NODE)
 
 
 def damage(files: DataFrame, hit: Callable[[int | None], bool]) -> DataFrame:
-    """A copy of the files in which the last byte of the records that ``hit`` picks by page id is changed."""
+    """A copy of the files in which a stored byte of the records that ``hit`` picks by page id is changed."""
 
     def task(batches):
         for pdf in batches:
             changed = []
             for content in pdf["content"]:
                 copy = bytearray(content)
-                for at, length, page in records_of(content):
+                for _, _, page, at, size in records_of(content):
                     if hit(page):
-                        copy[at + length - 1] ^= 1
+                        copy[at + (size - len(EMPTY)) // 2] ^= 1
                 changed.append(bytes(copy))
             yield pdf.assign(content=changed)
 
@@ -146,20 +201,20 @@ def damage(files: DataFrame, hit: Callable[[int | None], bool]) -> DataFrame:
 
 
 def _roots(nodes: DataFrame) -> DataFrame:
-    """(file, digest) of each file's root."""
-    top = Window.partitionBy("file").orderBy(F.desc("level"))
-    return nodes.withColumn("rank", F.row_number().over(top)).filter("rank = 1").select("file", "digest")
+    """(file, digest) of each file's root: its top and its tail."""
+    tail = F.max(F.when(F.col("level") == TAIL, F.col("mark")))
+    return nodes.groupBy("file").agg(F.sha2(F.concat(F.max_by("mark", "level"), tail), 256).alias("digest"))
 
 
 def _file_levels(original: DataFrame, replica: DataFrame) -> list[DataFrame]:
     """The trees over both replicas' file roots, level by level: (node, parent, file, mine, theirs)."""
     number = F.row_number().over(Window.orderBy("file")) - 1
-    both = _roots(original).withColumnRenamed("digest", "mine").join(_roots(replica).withColumnRenamed("digest", "theirs"), "file", "left")
+    both = _roots(original).withColumnRenamed("digest", "mine").join(_roots(replica).withColumnRenamed("digest", "theirs"), "file", "full")
     row = stage(both.withColumn("node", number.cast("long")), "roots")
     levels = [row]
     while row.count() > 1:
         up = row.withColumn("up", F.expr(f"node div {FAN}")).groupBy("up")
-        digest = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", c))), lambda x: x[c]), "\n"), 256)
+        digest = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", F.coalesce(c, F.lit("")).alias(c)))), lambda x: x[c]), "\n"), 256)
         row = stage(up.agg(digest("mine").alias("mine"), digest("theirs").alias("theirs")).withColumnRenamed("up", "node"), "roots")
         levels.append(row)
     return levels
@@ -170,17 +225,27 @@ def _differ(a: str = "mine", b: str = "theirs"):
 
 
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
-    """The records that differ between two replicas' trees: file, node, offset, length and page_id."""
-    original, replica = stage(original, "original"), stage(replica, "replica")
+    """The records that differ between two replicas' trees: file, node, offset, length and page_id. Bytes that only the
+    replica has, after a file's last record or in a file of its own, have a null node; their offset is in the stored file."""
+    return _audit(stage(original, "original"), stage(replica, "replica"))
+
+
+def _audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     bad = None
     for row in reversed(_file_levels(original, replica)):
         below = row.filter(_differ())
         bad = below if bad is None else below.join(bad, F.expr(f"node div {FAN}") == bad["parent"], "left_semi")
         bad = bad.withColumnRenamed("node", "parent")
-    files = bad.select("file")
+    files = stage(bad.select("file"), "files")
+    tails = replica.filter(F.col("level") == TAIL).join(files, "file", "left_semi")
+    own = original.filter(F.col("level") == TAIL).select("file", F.col("mark").alias("mine"))
+    tails = tails.join(own, "file", "left").filter(_differ("mine", "mark"))
+    none = F.lit(None).cast("long")
+    surplus = tails.select("file", none.alias("node"), F.col("at").alias("offset"), F.col("size").alias("length"), none.alias("page_id"))
+    original, replica = original.filter("level >= 0"), replica.filter("level >= 0")
     height = original.agg(F.max("level")).first()[0] or 0
-    theirs = replica.select("file", "level", "node", F.col("digest").alias("theirs"))
-    pairs = original.withColumnRenamed("digest", "mine").join(files, "file", "left_semi").join(theirs, ["file", "level", "node"], "left").filter(_differ())
+    theirs = replica.select("file", "level", "node", F.col("mark").alias("theirs"))
+    pairs = original.withColumnRenamed("mark", "mine").join(files, "file", "left_semi").join(theirs, ["file", "level", "node"], "left").filter(_differ())
     bad = None
     tops = original.groupBy("file").agg(F.max("level").alias("top"))
     for level in range(height, -1, -1):
@@ -190,13 +255,17 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
             parents = bad.select("file", F.col("node").alias("parent"))
             start = start.unionByName(row.withColumn("parent", F.expr(f"node div {FAN}")).join(parents, ["file", "parent"], "left_semi").drop("parent"))
         bad = start
-    return bad.select("file", "node", "offset", "length", "page_id")
+    return bad.select("file", "node", "offset", "length", "page_id").unionByName(surplus)
 
 
 def fixity(original: DataFrame, replica: DataFrame) -> DataFrame:
-    """Every record of the original with its length, digest, and whether the replica's differs."""
+    """Every record of the original with its length, digest, and whether the replica's differs; bytes that only the
+    replica has follow as damaged rows without a digest."""
     original = stage(original, "trees")
-    found = audit(original, replica).select("file", "node", F.lit(True).alias("damaged"))
+    found = stage(_audit(original, stage(replica, "replica")), "found")
     leaves = original.filter("level = 0")
-    rows = leaves.join(found, ["file", "node"], "left")
-    return rows.select("page_id", "file", "offset", "length", "digest", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    hits = found.select("file", "node", F.lit(True).alias("damaged"))
+    rows = leaves.join(hits, ["file", "node"], "left").withColumn("damaged", F.coalesce("damaged", F.lit(False)))
+    extra = found.filter("node is null").withColumns({"digest": F.lit(None).cast("string"), "damaged": F.lit(True)})
+    names = ("page_id", "file", "offset", "length", "digest", "damaged")
+    return rows.select(*names).unionByName(extra.select(*names))

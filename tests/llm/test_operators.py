@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections import Counter, defaultdict
 
@@ -392,6 +393,30 @@ def test_warc_audit(spark):
     assert gone == len(rows) - original.join(lost, "file", "left_semi").filter("level = 0").count()
 
 
+def test_damaged_stored_files(spark):
+    """Stored bytes of a second replica are changed, cut and appended, and a file is added."""
+    rows = [(i, f"http://x/{i}", "<p>text</p>" * (i + 1), "f") for i in range(60)]
+    first, second = staging_path(spark, "warc"), staging_path(spark, "warc-copy")
+    warc.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), first, records=20)
+    files = warc.read_files(spark, first)
+    original = warc.stage(warc.file_trees(files), "trees")
+    stored = {r["file"]: r["content"] for r in files.collect()}
+    assert sorted(int(x) for c in stored.values() for x in warc.PAGE.findall(gzip.decompress(c))) == list(range(60))
+    warc.write_files(files, second)
+    assert warc.fixity(original, warc.replica_trees(warc.read_files(spark, second), original)).filter("damaged").count() == 0
+    leaf = {r["page_id"]: r for r in original.filter("level = 0").collect()}
+    a, b, c = (leaf[i]["file"] for i in (0, 20, 40))
+    bad = {name: bytearray(content) for name, content in stored.items()}
+    bad[a][leaf[3]["at"] + 4] ^= 255  # in the header of the member
+    bad[a][leaf[7]["at"] + leaf[7]["size"] - 1] ^= 1  # between two records
+    del bad[b][leaf[37]["at"] + 9 :]
+    bad[c] += b"more"
+    replica = spark.createDataFrame([(n, bytes(x)) for n, x in [*bad.items(), ("other", bytearray(b"12345"))]], "file string, content binary")
+    found = warc.fixity(original, warc.replica_trees(replica, original)).filter("damaged").collect()
+    assert Counter(r["page_id"] for r in found if r["digest"]) == Counter([3, 7, 37, 38, 39])
+    assert sorted((r["file"], r["offset"], r["length"]) for r in found if not r["digest"]) == sorted([(c, len(stored[c]), 4), ("other", 0, 5)])
+
+
 def test_warc_of_no_pages(spark):
     folder = staging_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], PAGES), folder)
