@@ -1036,8 +1036,9 @@ oracle(
     FROM (SELECT *, CASE WHEN ear <> 0 THEN (mean_group - ear) / (cv * ear) END AS z FROM v_needed)""",
 )
 
-# Boole's rule on 0..1, far finer than the code's nodes, which are other ones: here the risk is integrated over the
-# density, uniform in z for log-normal and in log x for gamma fits, and curves piece by piece.
+# Boole's rule on 0..1 for every stretch. Other integrals than the code's: here the risk is integrated over the
+# density, in z for log-normal and in log x for gamma fits, a curve piece by piece and the risk of a requirement from
+# cut to cut around it, so that neither depends on how wide or how far shifted a fit is.
 
 
 def _boole(name: str, n: int) -> None:
@@ -1048,10 +1049,9 @@ def _boole(name: str, n: int) -> None:
     )
 
 
-_boole("v_fine", 3000)
 _boole("v_piece_nodes", 400)
+_boole("v_part_nodes", 160)
 _DENSITY_Z = "exp(-z * z / 2) / sqrt(2 * pi())"
-view("v_z", f"SELECT z, w * 2 * {TAIL_Z} * {_DENSITY_Z} AS w FROM (SELECT -{TAIL_Z} + 2 * {TAIL_Z} * u AS z, w FROM v_fine)")
 view("v_shapes", "SELECT DISTINCT g_shape AS a FROM v_fits WHERE g_shape > 0")
 view("v_terms", "SELECT CAST(n AS DOUBLE) AS n FROM generate_series(0, 700) AS g(n)")
 view(
@@ -1069,11 +1069,6 @@ view(
     """SELECT a, max((lo + hi) / 2) FILTER (WHERE p < 0.5) AS t_lo, max((lo + hi) / 2) FILTER (WHERE p > 0.5) AS t_hi
     FROM v_g_steps WHERE step = 60 GROUP BY a""",
 )
-view(
-    "v_gamma_nodes",
-    """SELECT a, exp(t) AS x, w * (t_hi - t_lo) * exp(a * t - exp(t) - lgamma(a)) AS w
-    FROM (SELECT a, t_lo, t_hi, w, t_lo + (t_hi - t_lo) * u AS t FROM v_tails CROSS JOIN v_fine)""",
-)
 _BOUND = "scenario, iso3, nutrient, CAST(sex_id AS INTEGER) AS sex_id, CAST(age_id AS INTEGER) AS age_id"
 oracle(
     "intake_bounds",
@@ -1087,18 +1082,12 @@ oracle(
     FROM v_coded LEFT JOIN v_tails ON a = g_shape""",
 )
 _ROW = "scenario, country, iso3, nutrient, sex_id, age_id"
-view("v_micro_rows", "SELECT * FROM v_needed WHERE nutrient IN ('Zinc', 'Iron', 'Calcium', 'Vitamin A, RAE', 'Vitamin B-12')")
+view(
+    "v_micro_rows",
+    """SELECT * FROM v_needed WHERE age_id >= 5
+      AND nutrient IN ('Zinc', 'Iron', 'Calcium', 'Vitamin A, RAE', 'Vitamin B-12')""",
+)
 view("v_omega_rows", "SELECT * FROM v_coded WHERE nutrient = 'Omega-3 fatty acids' AND age_id >= 10")
-_LN_X = "exp(ln_meanlog + ln_sdlog * z) + ln_mean_diff"
-_G_X = "n.x / g_rate + g_mean_diff"
-
-
-def _micro(nodes: str, x: str, guard: str) -> str:
-    return f"""SELECT {_ROW}, CASE WHEN {guard} THEN 100 * sum(w * ({tail_of('u')})) END AS sev
-    FROM (SELECT c.*, n.w, CASE WHEN ear <> 0 THEN ({x} - ear) / (cv * ear) END AS u FROM v_micro_rows c LEFT JOIN {nodes})
-    GROUP BY {_ROW}, ear, g_shape, ln_sdlog"""
-
-
 def floored(value: str) -> str:
     return f"CASE WHEN ({value}) < 0 THEN 0 ELSE {value} END"
 
@@ -1138,9 +1127,40 @@ def _omega(integrals: str, guard: str) -> str:
     FROM v_omega_rows c LEFT JOIN ({integrals}) g USING ({_ROW})"""
 
 
-_LN_NODES, _G_NODES = "v_z n ON true", "v_gamma_nodes n ON n.a = g_shape"
-view("v_sev_micro", _micro(_LN_NODES, _LN_X, "ln_sdlog > 0"))
-view("v_sev_micro_gamma", _micro(_G_NODES, _G_X, "g_shape > 0"))
+_CUTS = (-9, -6, -4.5, -3, -2, -1, 0, 1, 2, 3, 4.5, 6, 9)
+
+
+def _micro(rows: str, place: str, low: str, high: str, x: str, density: str, guard: str) -> str:
+    """Exposure per row: the risk over the density, from cut to cut. ``place`` turns an intake ``v`` into the variable ``p``
+    that is integrated over from ``low`` to ``high``, and ``x`` turns ``p`` into the intake."""
+    cuts = [place.replace("{v}", f"(ear + {k} * cv * ear)") for k in _CUTS] + [f"{low} + ({high} - {low}) * {k / 8}" for k in range(9)]
+    return f"""SELECT {", ".join(f"c.{k}" for k in _ROW.split(", "))}, g.sev FROM v_micro_rows c LEFT JOIN (
+      SELECT {_ROW}, 100 * sum(w * (p_hi - p_lo) * {density} * ({tail_of("u")})) AS sev
+      FROM (SELECT *, ({x} - ear) / (cv * ear) AS u
+        FROM (SELECT q.*, n.w, p_lo + (p_hi - p_lo) * n.u AS p
+          FROM (SELECT * EXCLUDE (cuts, i), cuts[i] AS p_lo, cuts[i + 1] AS p_hi
+            FROM (SELECT *, unnest(range(1, len(cuts))) AS i
+              FROM (SELECT *, list_sort([{", ".join(cuts)}]) AS cuts FROM {rows} WHERE {guard} AND ear <> 0))) q
+          CROSS JOIN v_part_nodes n WHERE p_hi > p_lo))
+      GROUP BY {_ROW}) g USING ({_ROW})"""
+
+
+def _place(own: str, low: str, high: str, floor: str) -> str:
+    return f"CASE WHEN {{v}} <= {floor} THEN {low} ELSE {_clipped(own, low, high)} END"
+
+
+_LN_PLACE = _place("(ln({v} - ln_mean_diff) - ln_meanlog) / ln_sdlog", f"-{TAIL_Z}", str(TAIL_Z), "ln_mean_diff")
+_G_PLACE = _place("ln(({v} - g_mean_diff) * g_rate)", "t_lo", "t_hi", "g_mean_diff")
+view(
+    "v_sev_micro",
+    _micro("v_micro_rows", _LN_PLACE, f"-{TAIL_Z}", str(TAIL_Z), "exp(ln_meanlog + ln_sdlog * p) + ln_mean_diff",
+           "exp(-p * p / 2) / sqrt(2 * pi())", "ln_sdlog > 0"),
+)
+view(
+    "v_sev_micro_gamma",
+    _micro("v_micro_rows JOIN v_tails ON a = g_shape", _G_PLACE, "t_lo", "t_hi", "exp(p) / g_rate + g_mean_diff",
+           "exp(g_shape * p - exp(p) - lgamma(g_shape))", "g_shape > 0"),
+)
 _OMEGA_LN = _integrals("v_omega_rows", _ROW, "p.cause_id = 0", "ln_meanlog", "ln_sdlog", "ln_mean_diff")
 view("v_sev_omega", _omega(_OMEGA_LN, "ln_sdlog > 0"))
 view("v_sev_omega_gamma", _omega(_gamma_integrals("v_omega_rows", _ROW), "g_shape > 0"))
