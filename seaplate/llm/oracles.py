@@ -104,10 +104,72 @@ t AS (
 )
 SELECT page_id, strlen(record) AS n_bytes, sha256(record) AS record_sha256, coalesce(page_id % 97 = 5, false) AS damaged FROM t
 """
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR)::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+def _climb(name: str, levels: int) -> str:
+    """Levels ``{name}0`` on of (t, i, d) nodes; ``{name}p0`` on have each node's siblings, left and right."""
+    out = []
+    for k in range(levels):
+        around = "OVER (PARTITION BY t, i // 8 ORDER BY i ROWS BETWEEN"
+        out.append(f"""{name}p{k} AS (
+    SELECT t, i, d, count(*) OVER (PARTITION BY t) AS c,
+           coalesce(string_agg(d, '') {around} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(d, '') {around} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {name}{k}
+),
+{name}{k + 1} AS (
+    SELECT t, i // 8 AS i, CASE WHEN max(c) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d
+    FROM {name}p{k} GROUP BY t, i // 8
+)""")
+    return ",\n".join(out)
+
+
+def _fold(name: str, nodes: str, levels: int) -> str:
+    """Steps ``{name}0`` on of (n, t, i, o, proof): the digest folded so far, and the siblings passed."""
+    return ",\n".join(
+        f"""{name}{k + 1} AS (
+    SELECT n, t, i // 8 AS i, CASE WHEN c = 1 THEN o ELSE sha256(l || o || r) END AS o, proof || l || r AS proof
+    FROM {name}{k} JOIN {nodes}p{k} USING (t, i)
+)"""
+        for k in range(levels)
+    )
+
+
+# Trees of up to 8**7 leaves, up to 8**3 of them.
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+OP11 = f"""
+WITH rows_ AS (
+    SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS t, sha256({_LEAF} || {_field("text")}) AS leaf,
+           list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda c, b: list_reduce(range(8),
+               lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295) AS crc,
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+    FROM documents
+),
+numbered AS (
+    SELECT *, row_number() OVER () AS n, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+           CASE WHEN xor(crc, 4294967295) % 3 = 0 AND text IS NOT NULL THEN sha256({_LEAF} || {_field("lowered")}) ELSE leaf END AS changed
+    FROM rows_
+),
+a0 AS (SELECT t, i, leaf AS d FROM numbered),
+{_climb("a", 7)},
+b0 AS (SELECT '' AS t, row_number() OVER (ORDER BY t) - 1 AS i, d, t AS tree FROM a7),
+{_climb("b", 3)},
+s0 AS (SELECT n, t, i, changed AS o, '' AS proof FROM numbered),
+{_fold("s", "a", 7)},
+u0 AS (SELECT n, b0.t, b0.i, o, proof FROM s7 JOIN b0 ON s7.t = b0.tree),
+{_fold("u", "b", 3)}
+SELECT doc_id, leaf, a7.d AS subroot, b3.d AS root, sha256(proof) AS proof_sha256, o AS folded_root, o = b3.d AS verified
+FROM numbered JOIN u3 USING (n) JOIN a7 ON a7.t = numbered.t JOIN b3 ON true
+"""
+
 ORACLES: dict[str, str] = {
     "op4_embedding_neardup": OP4,
     "op7_minhash": OP7,
     "op8_line_dedup": OP8,
     "op9_decontaminate": OP9,
     "op10_warc_audit": OP10,
+    "op11_merkle_manifest": OP11,
 }

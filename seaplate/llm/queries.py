@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seaplate.llm import decontam, langid, lines, mixing, neardup, quality, substrings, tokens, vectors, warc
+from seaplate.llm import decontam, langid, lines, manifest, mixing, neardup, quality, substrings, tokens, vectors, warc
 from seaplate.llm.langid import held_out
 from seaplate.llm.tables import small_batches
 from seaplate.session import JOB_CONF, staging_path
@@ -75,6 +75,13 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("length").alias("n_bytes"), F.col("digest").alias("record_sha256"), "damaged")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a third of them, by crc32 of the id, are checked with their text in lower case."""
+    docs = read(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return manifest.summary(manifest.manifest(docs, F.when(chosen, manifest.lower_case(F.col("text")))))
+
+
 def _run(query, spark: SparkSession, sf_dir: str) -> DataFrame:
     for key, value in JOB_CONF.items():
         spark.conf.set(key, value)
@@ -85,5 +92,6 @@ def _run(query, spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_language_id, op2_token_planes, op3_source_mix, op4_embedding_neardup, op5_suffix_dedup,
     op6_quality, op7_minhash, op8_line_dedup, op9_decontaminate, op10_warc_audit,
+    op11_merkle_manifest,
 )
 QUERIES = {q.__name__: partial(_run, q) for q in (*OPERATORS,)} | {"pipeline": partial(_run, corpus_pipeline.run)}
