@@ -165,6 +165,27 @@ SELECT doc_id, leaf, a7.d AS subroot, b3.d AS root, sha256(proof) AS proof_sha25
 FROM numbered JOIN u3 USING (n) JOIN a7 ON a7.t = numbered.t JOIN b3 ON true
 """
 
+OP13 = r"""
+WITH w AS (
+    SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+windows AS (
+    SELECT n, doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS h
+    FROM (SELECT n, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+),
+firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+gone AS (
+    SELECT DISTINCT n, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (h) WHERE doc_id > least
+),
+words AS (SELECT n, doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+    SELECT words.n, string_agg(ws[words.p], ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS kept, count(gone.p) AS n_removed
+    FROM words LEFT JOIN gone ON gone.n = words.n AND gone.p = words.p GROUP BY words.n
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (n)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_embedding_neardup": OP4,
     "op7_minhash": OP7,
@@ -172,4 +193,5 @@ ORACLES: dict[str, str] = {
     "op9_decontaminate": OP9,
     "op10_warc_audit": OP10,
     "op11_merkle_manifest": OP11,
+    "op13_passage_dedup": OP13,
 }
