@@ -165,6 +165,38 @@ SELECT doc_id, leaf, a7.d AS subroot, b3.d AS root, sha256(proof) AS proof_sha25
 FROM numbered JOIN u3 USING (n) JOIN a7 ON a7.t = numbered.t JOIN b3 ON true
 """
 
+OP12 = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+    SELECT lang, ws[i:i + m - 1] AS g FROM (
+        SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS t(m) WHERE len(ws) >= m)
+),
+f AS (SELECT lang, g, count(*) AS a FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+candidates AS (SELECT * FROM f WHERE len(g) >= 2),
+cuts AS (
+    SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidates) c
+    JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]
+),
+weakest AS (SELECT lang, g, a, min((score, k, l, r)) AS cut FROM cuts GROUP BY lang, g, a),
+inside AS (
+    SELECT lang, a, g[i:i + m - 1] AS g FROM (
+        SELECT lang, a, g, m, unnest(range(1, len(g) - m + 2)) AS i FROM candidates CROSS JOIN (VALUES (2), (3)) AS t(m) WHERE len(g) > m)
+),
+longer AS (SELECT lang, g, max(a) AS most FROM inside GROUP BY lang, g),
+kept AS (
+    SELECT c.lang, array_to_string(c.g, ' ') AS phrase, a, cut[3]::BIGINT AS l, cut[4]::BIGINT AS r, cut[1]::BIGINT AS score
+    FROM weakest c LEFT JOIN longer ON longer.lang = c.lang AND longer.g = c.g WHERE most IS NULL OR 100 * most < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
+
 OP13 = r"""
 WITH w AS (
     SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -193,5 +225,6 @@ ORACLES: dict[str, str] = {
     "op9_decontaminate": OP9,
     "op10_warc_audit": OP10,
     "op11_merkle_manifest": OP11,
+    "op12_collocations": OP12,
     "op13_passage_dedup": OP13,
 }

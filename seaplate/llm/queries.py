@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seaplate.llm import decontam, langid, lines, manifest, mixing, neardup, passages, quality, substrings, tokens, vectors, warc
+from seaplate.llm import collocations, decontam, langid, lines, manifest, mixing, neardup, passages, quality, substrings, tokens, vectors, warc
 from seaplate.llm.langid import held_out
 from seaplate.llm.tables import small_batches
 from seaplate.session import JOB_CONF, staging_path
@@ -82,6 +82,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.summary(manifest.manifest(docs, F.when(chosen, manifest.lower_case(F.col("text")))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best 2000 phrases of all documents."""
+    return collocations.top_phrases(collocations.scored_phrases(read(spark, sf_dir, "documents")))
+
+
 def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.summary(passages.remove_passages(read(spark, sf_dir, "documents")))
 
@@ -96,6 +101,6 @@ def _run(query, spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_language_id, op2_token_planes, op3_source_mix, op4_embedding_neardup, op5_suffix_dedup,
     op6_quality, op7_minhash, op8_line_dedup, op9_decontaminate, op10_warc_audit,
-    op11_merkle_manifest, op13_passage_dedup,
+    op11_merkle_manifest, op12_collocations, op13_passage_dedup,
 )
 QUERIES = {q.__name__: partial(_run, q) for q in (*OPERATORS,)} | {"pipeline": partial(_run, corpus_pipeline.run)}
