@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from seaplate.contract.queries import run
 from seaplate.functions.quadrature import fit_struct, shortfall_integral
+from seaplate.operators.risk import with_tails
 from seaplate.session import local_session, remove_staged
 
 HEADLINES = [
@@ -52,7 +53,7 @@ def distinct_gamma(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("gamma").alias("best_dist"), shape.alias("g_shape"), (shape / 10).alias("g_rate"), F.lit(0.0).alias("g_mean_diff"),
         *[F.lit(None).cast("double").alias(c) for c in ("ln_meanlog", "ln_sdlog", "ln_mean_diff")],
     )
-    return fits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select(shortfall_integral(fit_struct(), F.lit(10.0), F.lit(0.1)))
+    return with_tails(fits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))).select(shortfall_integral(fit_struct(), F.lit(10.0), F.lit(0.1)))
 
 
 def main() -> None:

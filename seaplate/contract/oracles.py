@@ -64,6 +64,11 @@ def strict(value: str, fn: str = "sum", where: str | None = None) -> str:
     return f"CASE WHEN count({value}){f} = count(*){f} THEN {fn}({value}){f} END"
 
 
+def fixed(value: str, digits: int) -> str:
+    """Sum in whole units of 10**-digits, which no order of the rows changes."""
+    return f"CAST(sum(CAST(round_even(({value}) * 1e{digits}, 0) AS HUGEINT)) AS DOUBLE) / 1e{digits}"
+
+
 def r(column: str, digits: int, name: str | None = None) -> str:
     """Rounded column; adding 0.0 turns -0.0 into 0.0."""
     return f'round({column}, {digits}) + 0.0 AS "{name or column}"'
@@ -182,7 +187,7 @@ _LEVELS = {"species": "sciname", "genus": "genus", "family": "family", "order":
 view(
     "v_stats",
     " UNION ALL ".join(
-        f"""SELECT '{level}' AS level, {column} AS taxon, nutrient, {strict('value', 'avg')} AS value,
+        f"""SELECT '{level}' AS level, {column} AS taxon, nutrient, CASE WHEN count(value) = count(*) THEN {fixed('value', 12)} / count(*) END AS value,
         {strict('value', 'stddev_samp')} AS ssd, count(*) AS count,
         {strict('value', 'stddev_samp')} / sqrt(count(*)) AS se
         FROM v_kept WHERE {column} IS NOT NULL GROUP BY {column}, nutrient"""
@@ -243,11 +248,16 @@ view(
     "v_full_biomass",
     f"SELECT {_BIOMASS}, min(species) AS species, avg(full_tonnes) AS tonnes FROM v_sel GROUP BY {_BIOMASS}",
 )
+view("v_species_rows", "SELECT species, count(*) AS n_rows FROM v_biomass GROUP BY species")
 view(
     "v_group_means",
-    """SELECT g.functional_group, n.nutrient, avg(n.value) AS value, stddev_samp(n.value) AS ssd, count(*) AS count
-    FROM v_biomass b JOIN v_nearest n ON b.species = n.species JOIN v_groups g ON g.genus = n.genus
-    WHERE n.value IS NOT NULL GROUP BY g.functional_group, n.nutrient""",
+    f"""SELECT functional_group, nutrient, value, ssd, count FROM (
+      SELECT g.functional_group, n.nutrient, {fixed('n.value * b.n_rows', 12)} / sum(b.n_rows) AS value
+      FROM v_species_rows b JOIN v_nearest n ON b.species = n.species JOIN v_groups g ON g.genus = n.genus
+      WHERE n.value IS NOT NULL GROUP BY g.functional_group, n.nutrient)
+    JOIN (SELECT g.functional_group, n.nutrient, stddev_samp(n.value) AS ssd, count(*) AS count
+      FROM v_biomass b JOIN v_nearest n ON b.species = n.species JOIN v_groups g ON g.genus = n.genus
+      WHERE n.value IS NOT NULL GROUP BY g.functional_group, n.nutrient) USING (functional_group, nutrient)""",
 )
 _SHORT = {
     "Iron, total": "Iron",
@@ -437,22 +447,36 @@ def _cells(keys: str, column: str, names, value: str = "nut_supply", skip: bool
 
 _END_USES = ["Direct human consumption", "Discards", "Fishmeal and fish oil"]
 _FLEET = "year, fishing_entity, nutrient"
-view("v_fmfo", f"SELECT {_cells(_FLEET, 'end_use', _END_USES, skip=True)} FROM v_supply GROUP BY {_FLEET}")
-view("v_discards", f"SELECT {_cells(_FLEET, 'end_use', _END_USES)} FROM v_supply GROUP BY {_FLEET}")
-view("v_reporting", f"SELECT {_cells(_FLEET, 'reporting_status', ['Reported', 'Unreported'])} FROM v_supply GROUP BY {_FLEET}")
+
+
+def _fleet_supply(by: str, missing: bool) -> str:
+    """Supply by year, fleet and ``by`` in fixed units; with ``missing`` an unknown amount makes a sum unknown."""
+    total = (lambda x, d: f"CASE WHEN count({x}) = count(*) THEN {fixed(x, d)} END") if missing else (lambda x, d: f"coalesce({fixed(x, d)}, 0)")
+    return f"""SELECT year, fishing_entity, {by}, f.short_nutrient AS nutrient, {total("f.value * t.tonnes * 10000.0", 6)} AS nut_supply
+    FROM (SELECT year, fishing_entity, {by}, species, {total("tonnes", 12)} AS tonnes FROM v_biomass GROUP BY ALL) t
+    LEFT JOIN v_filled f ON t.species = f.species GROUP BY ALL"""
+
+
+def _fleet_cells(by: str, names, missing: bool) -> str:
+    return f"SELECT {_cells(_FLEET, by, names, skip=not missing)} FROM ({_fleet_supply(by, missing)}) GROUP BY {_FLEET}"
+
+
+view("v_fmfo", _fleet_cells("end_use", _END_USES, False))
+view("v_discards", _fleet_cells("end_use", _END_USES, True))
+view("v_reporting", _fleet_cells("reporting_status", ["Reported", "Unreported"], True))
 _DHC, _FM = '"Direct human consumption"', 'coalesce("Fishmeal and fish oil", 0)'
 oracle(
     "supply_enduse_fmfo",
-    f"""SELECT {_FLEET}, {rs(_END_USES[:2], 2)}, {r(_FM, 2, 'Fishmeal and fish oil')},
+    f"""SELECT {_FLEET}, {rs(_END_USES[:2], 6)}, {r(_FM, 6, 'Fishmeal and fish oil')},
       {r(ratio(_DHC, _FM), 7, 'fmfo_dhc_ratio')}, {r(ratio(_FM, _DHC), 7, 'dhc_fmfo_ratio')} FROM v_fmfo""",
 )
 oracle(
     "supply_discard_ratio",
-    f"SELECT {_FLEET}, {rs(_END_USES, 2)}, {r(ratio('Discards', _DHC), 7, 'discard_ratio')} FROM v_discards",
+    f"SELECT {_FLEET}, {rs(_END_USES, 6)}, {r(ratio('Discards', _DHC), 7, 'discard_ratio')} FROM v_discards",
 )
 oracle(
     "supply_reporting_ratio",
-    f"""SELECT {_FLEET}, {rs(['Reported', 'Unreported'], 2)}, {r(ratio('Unreported', 'Reported'), 7, 'reporting_ratio')}
+    f"""SELECT {_FLEET}, {rs(['Reported', 'Unreported'], 6)}, {r(ratio('Unreported', 'Reported'), 7, 'reporting_ratio')}
     FROM v_reporting""",
 )
 oracle(

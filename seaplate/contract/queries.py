@@ -39,9 +39,7 @@ def rounded_all(df: DataFrame, columns: list[str], n: int) -> DataFrame:
 
 def staged(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """An intermediate table of one query run, written once where several steps read it."""
-    if name not in t.staged:
-        t.staged[name] = sinks.stage_table(build(), name)
-    return t.staged[name]
+    return t.staging.table(name, build)
 
 
 # Shared intermediate inputs.
@@ -73,18 +71,25 @@ def _nearest(t: Tables, species: DataFrame) -> DataFrame:
 
 
 def _filled(t: Tables, gaps: bool = True) -> DataFrame:
-    return staged(t, "composition", lambda: _filled_plan(t, gaps))
+    def build() -> DataFrame:
+        cells, stats = t.staging.together(
+            lambda: _cells(t, gaps), lambda: staged(t, "taxon-stats", lambda: composition.taxon_stats(_kept_assays(t)))
+        )
+        return _filled_plan(t, cells, stats)
 
+    return staged(t, "composition", build)
 
-def _filled_plan(t: Tables, gaps: bool) -> DataFrame:
+
+def _filled_plan(t: Tables, cells: DataFrame, stats: DataFrame) -> DataFrame:
     return nutrient_attachment.filled_composition(
-        _cells(t, gaps),
+        cells,
         s.assays(t),
         s.taxonomy(t),
         s.species_groups(t),
         assay_order="p_partkey",
         taxonomy_order="line",
         group_order="line",
+        stats=stats,
         preparations=s.KEPT_PREPARATIONS,
         parts=s.KEPT_PARTS,
     )
@@ -116,8 +121,11 @@ def _values(t: Tables) -> DataFrame:
 
 def _nutrient_pairs(t: Tables) -> DataFrame:
     tonnes = catch.zone_species_tonnes(_cells(t).filter(F.col("year") == s.SUPPLY_YEAR))
-    pairs = flows.zone_fleet_nutrients(tonnes, _values(t), _iso(t), s.zone_aliases(t), s.ZONE_PATTERNS)
-    return staged(t, "zone-fleet-nutrients", lambda: pairs)
+    return staged(
+        t,
+        "zone-fleet-nutrients",
+        lambda: flows.zone_fleet_nutrients(tonnes, _values(t), _iso(t), s.zone_aliases(t), s.ZONE_PATTERNS),
+    )
 
 
 def _net(t: Tables) -> DataFrame:
@@ -148,8 +156,13 @@ def _shares(t: Tables, population: DataFrame) -> DataFrame:
     )
 
 
+def _food(t: Tables) -> DataFrame:
+    return staged(t, "balance", lambda: _balance(t))
+
+
 def _scenarios(t: Tables) -> DataFrame:
-    return staged(t, "scenarios", lambda: intake.fish_scenarios(_balance(t), _net(t), s.SUPPLY_YEAR))
+    food, _ = t.staging.together(lambda: _food(t), lambda: _nutrient_pairs(t))
+    return intake.fish_scenarios(food, _net(t), s.SUPPLY_YEAR)
 
 
 def _scalars(t: Tables) -> DataFrame:
@@ -157,19 +170,25 @@ def _scalars(t: Tables) -> DataFrame:
 
 
 def _intakes(t: Tables) -> DataFrame:
-    return exposure.intake_rows(
-        _scenarios(t), s.country_names(t), _members(t), s.crosswalk(t), s.supply_by_age_sex(t), s.intake_scalars(t)
+    """The survey is staged while the catch, and the balance, become scenarios."""
+    scenarios, by_age_sex, survey = t.staging.together(
+        lambda: _scenarios(t),
+        lambda: staged(t, "supply-by-age-sex", lambda: s.supply_by_age_sex(t)),
+        lambda: staged(t, "survey", lambda: s.intake_scalars(t)),
     )
+    return exposure.intake_rows(scenarios, s.country_names(t), _members(t), s.crosswalk(t), by_age_sex, survey)
 
 
 def _coded(t: Tables, best: str | None) -> DataFrame:
-    return staged(
-        t, f"intake-{best}", lambda: exposure.coded_distributions(_intakes(t), s.distributions(t, best))
-    )
+    def build() -> DataFrame:
+        intakes, fits = t.staging.together(lambda: _intakes(t), lambda: staged(t, f"fits-{best}", lambda: s.distributions(t, best)))
+        return exposure.coded_distributions(intakes, fits)
+
+    return staged(t, f"intake-{best}", build)
 
 
 def _omega(t: Tables) -> DataFrame:
-    return risk.omega_curves(risk.age_points(s.omega_matrix(t), []))
+    return exposure.omega_curves(s.omega_matrix(t))
 
 
 def _meat(t: Tables) -> DataFrame:
@@ -190,9 +209,12 @@ def _meat_intake(t: Tables, best: str) -> DataFrame:
 
 
 def _deltas(t: Tables, best: str | None = "log-normal") -> DataFrame:
-    return exposure.exposure_deltas(
-        _coded(t, best), s.requirements(t), s.sdi(t), s.omega_matrix(t)
+    coded, omega, needs = t.staging.together(
+        lambda: _coded(t, best),
+        lambda: staged(t, "omega-curves", lambda: _omega(t)),
+        lambda: staged(t, "requirements", lambda: s.requirements(t)),
     )
+    return exposure.exposure_deltas(coded, needs, s.sdi(t), omega)
 
 
 def _affected(t: Tables) -> DataFrame:
@@ -392,19 +414,19 @@ def q_species_composition_distinct(t: Tables) -> DataFrame:
 @query
 def q_supply_enduse_fmfo(t: Tables) -> DataFrame:
     df = ratios.supply_enduse_fmfo(_biomass(t), _filled(t))
-    return rounded(rounded_all(df, ratios.END_USES, 2), fmfo_dhc_ratio=7, dhc_fmfo_ratio=7)
+    return rounded(rounded_all(df, ratios.END_USES, 6), fmfo_dhc_ratio=7, dhc_fmfo_ratio=7)
 
 
 @query
 def q_supply_discard_ratio(t: Tables) -> DataFrame:
     df = ratios.supply_discard_ratio(_biomass(t), _filled(t))
-    return rounded(rounded_all(df, ratios.END_USES, 2), discard_ratio=7)
+    return rounded(rounded_all(df, ratios.END_USES, 6), discard_ratio=7)
 
 
 @query
 def q_supply_reporting_ratio(t: Tables) -> DataFrame:
     df = ratios.supply_reporting_ratio(_biomass(t), _filled(t))
-    return rounded(df, Reported=2, Unreported=2, reporting_ratio=7)
+    return rounded(df, Reported=6, Unreported=6, reporting_ratio=7)
 
 
 @query

@@ -15,6 +15,7 @@ from seaplate.functions.nulls import sum_skipna
 from seaplate.functions.text import lookup, sentence_case, word
 from seaplate.operators.flows import aliases_from_key
 from seaplate.operators.shape import wide_sum
+from seaplate.sources.sinks import Staging
 from seaplate.vocab import AGE_CODES, ASSAY_NUTRIENTS, MEAT_OUTCOMES
 
 # Fixed values of the stand-in.
@@ -71,7 +72,7 @@ class Tables:
 
     spark: SparkSession
     folder: str
-    staged: dict[str, DataFrame] = field(default_factory=dict)
+    staging: Staging = field(default_factory=Staging)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:

@@ -33,6 +33,23 @@ def mean_strict(value: ColumnLike) -> Column:
     return _when_complete(value, F.avg(value))
 
 
+def sum_fixed(value: ColumnLike, digits: int, strict: bool = False) -> Column:
+    """Sum in whole units of 10**-digits, so that it does not depend on the order of the rows.
+
+    Sums of up to 38 digits are exact; with a value that has no such number of units, as infinity, the
+    values are summed as they are. A missing value makes a strict sum NULL and is skipped otherwise.
+    """
+    value = as_col(value)
+    units = F.rint(value * F.lit(10.0**digits)).try_cast("decimal(38,0)")
+    total = F.when(F.count(units) == F.count(value), F.sum(units).cast("double") / F.lit(10.0**digits)).otherwise(F.sum(value))
+    return _when_complete(value, total) if strict else F.coalesce(total, F.lit(0.0))
+
+
+def mean_fixed(value: ColumnLike, digits: int) -> Column:
+    """Mean from a sum in fixed units; NULL with a missing value."""
+    return sum_fixed(value, digits, strict=True) / F.count(F.lit(1))
+
+
 def sd_strict(value: ColumnLike) -> Column:
     """Sample standard deviation; NULL for one row or with a missing value."""
     value = as_col(value)

@@ -6,8 +6,7 @@ a requirement, or a polynomial on each piece of a curve, and F has no peak or po
 shape or spread of the fit. The range is cut where R' changes (around the requirement, at the curve's
 knots) and at quantiles of the distribution, and each part gets ``NODES`` Gauss-Legendre nodes.
 
-A row is worked out by itself, so there is no shuffle. Measured per row: 45 microseconds for log-normal fits,
-0.2 to 0.8 milliseconds for gamma fits of distinct shapes.
+A row is worked out by itself, so there is no shuffle. Where the risk does not change, F is not asked for.
 """
 
 from __future__ import annotations
@@ -17,12 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from seaplate.functions.numeric import upper_normal_array
-from seaplate.functions.quantiles import gamma_log_quantile, gamma_mass, usable
+from seaplate.functions.quantiles import gamma_mass, usable
 from seaplate.vocab import HIGH_TAIL, LOW_TAIL, TAIL_Z
 
 NODES = 12
@@ -31,11 +31,11 @@ GAUSS_X, GAUSS_W = np.polynomial.legendre.leggauss(NODES)
 QUANTILE_Z = np.linspace(-TAIL_Z, TAIL_Z, 17)
 BELOW_HIGH = np.geomspace(1e-7, 0.5, 15)
 REQUIREMENT_Z = np.array([-9.0, -6.5, -5.0, -4.0, -3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.5, 9.0])
-FIT_COLUMNS = ["best_dist", "g_shape", "g_rate", "g_mean_diff", "ln_meanlog", "ln_sdlog", "ln_mean_diff"]
+FIT_COLUMNS = ["best_dist", "g_shape", "g_rate", "g_mean_diff", "g_low", "g_high", "ln_meanlog", "ln_sdlog", "ln_mean_diff"]
 
 
 def fit_struct() -> Column:
-    """The fitted distribution of a row, as one argument."""
+    """The fitted distribution of a row, with the unit-rate tails of its gamma shape, as one argument."""
     return F.struct(*FIT_COLUMNS)
 
 
@@ -47,32 +47,31 @@ class Lognormal:
         self.cuts = np.exp(self.mu + self.sd * QUANTILE_Z) + self.shift
         self.low, self.high = self.cuts[:, :1], self.cuts[:, -1:]
 
-    def below(self, x: np.ndarray) -> np.ndarray:
-        """P(X <= x), rows by nodes."""
+    def below(self, x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """P(X <= x), rows by nodes, where it is ``wanted``."""
         with np.errstate(divide="ignore", invalid="ignore"):
             z = (np.log(np.maximum(x - self.shift, 0.0)) - self.mu) / self.sd
         return upper_normal_array(-z)
 
 
 class Gamma:
-    """Shifted gamma distributions, one per row; tails are solved once per distinct shape."""
+    """Shifted gamma distributions, one per row, with given unit-rate tails."""
 
     def __init__(self, fit: pd.DataFrame):
-        self.shape, self.rate, self.shift = (fit[c].to_numpy(dtype="float64")[:, None] for c in ("g_shape", "g_rate", "g_mean_diff"))
-        distinct, where = np.unique(self.shape[:, 0], return_inverse=True)
-        low, high = (np.exp(gamma_log_quantile(p, distinct))[where][:, None] for p in (LOW_TAIL, HIGH_TAIL))
+        columns = ("g_shape", "g_rate", "g_mean_diff", "g_low", "g_high")
+        self.shape, self.rate, self.shift, low, high = (fit[c].to_numpy(dtype="float64")[:, None] for c in columns)
         # Wilson and Hilferty's quantiles for large shapes, and steps by a factor for small ones; only places to cut.
         near = 1 - 1 / (9 * self.shape) + QUANTILE_Z / (3 * np.sqrt(self.shape))
         cuts = np.concatenate([self.shape * np.maximum(near, 0) ** 3, high * BELOW_HIGH], axis=1)
         self.cuts = np.clip(cuts, low, high) / self.rate + self.shift
         self.low, self.high = low / self.rate + self.shift, high / self.rate + self.shift
 
-    def below(self, x: np.ndarray) -> np.ndarray:
+    def below(self, x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         unit = np.maximum((x - self.shift) * self.rate, 0.0)
         with np.errstate(divide="ignore"):
             log_x = np.log(unit)
         out = np.zeros(x.shape)
-        some = unit > 0
+        some = wanted & (unit > 0)
         out[some] = gamma_mass(np.broadcast_to(self.shape, x.shape)[some], log_x[some])
         return out
 
@@ -100,7 +99,8 @@ def by_parts(fits: Fits, cuts: np.ndarray, risk: Callable, slope: Callable) -> n
     middle = (places[:, 1:] + places[:, :-1]) / 2
     x = (middle[:, :, None] + half[:, :, None] * GAUSS_X).reshape(len(places), -1)
     weights = (half[:, :, None] * GAUSS_W).reshape(len(places), -1)
-    inner = (weights * slope(x) * fits.below(x)).sum(axis=1)
+    change = weights * slope(x)  # 0 where parts are empty or the risk is flat
+    inner = (change * fits.below(x, change != 0)).sum(axis=1)
     return (risk(fits.high) * HIGH_TAIL - risk(fits.low) * LOW_TAIL)[:, 0] - inner
 
 
@@ -140,15 +140,30 @@ def hermite_array(x: np.ndarray, xs: np.ndarray, ys: np.ndarray, ms: np.ndarray,
     return np.where(x < xs[0], below, np.where(x > xs[-1], above, inside))
 
 
-@F.pandas_udf(DoubleType())
-def curve_integral(fit: pd.DataFrame, curve: pd.Series, xs: pd.Series, ys: pd.Series, ms: pd.Series) -> pd.Series:
-    """Mean relative risk of the intake distribution on the row's curve; ``curve`` tells curves apart."""
+def _curve_integrals(fit: pd.DataFrame, curve: pd.Series, knots_of: Callable) -> pd.Series:
+    """Mean risks of rows on their curves; ``knots_of`` gives a curve's knots, values and slopes by its name and a row of it."""
     result = np.full(len(fit), np.nan)
-    for _, positions in curve.groupby(curve, dropna=True).indices.items():
-        knots = [np.asarray(a.iloc[positions[0]], dtype="float64") for a in (xs, ys, ms)]
+    for name, positions in curve.groupby(curve, dropna=True).indices.items():
+        knots = [np.asarray(a, dtype="float64") for a in knots_of(name, positions[0])]
         for rows, fits in fits_of(fit.iloc[positions]):
             cuts = np.broadcast_to(knots[0], (len(rows), len(knots[0])))
             result[positions[rows]] = by_parts(
                 fits, cuts, lambda x, k=knots: hermite_array(x, *k), lambda x, k=knots: hermite_array(x, *k, slope=True)
             )
     return pd.Series(result)
+
+
+@F.pandas_udf(DoubleType())
+def curve_integral(fit: pd.DataFrame, curve: pd.Series, xs: pd.Series, ys: pd.Series, ms: pd.Series) -> pd.Series:
+    """Mean relative risk of the intake distribution on the row's own curve; ``curve`` tells curves apart."""
+    return _curve_integrals(fit, curve, lambda _, row: (xs.iloc[row], ys.iloc[row], ms.iloc[row]))
+
+
+def numbered_curve_integral(curves: Broadcast):
+    """Column function: the same on the curve with the row's number, from a broadcast list of (knots, values, slopes)."""
+
+    @F.pandas_udf(DoubleType())
+    def integral(fit: pd.DataFrame, number: pd.Series) -> pd.Series:
+        return _curve_integrals(fit, number, lambda name, _: curves.value[int(name)])
+
+    return integral

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaplate.functions.nulls import dim_first, mean_strict, sd_strict, sum_skipna, sum_strict
+from seaplate.functions.nulls import dim_first, mean_fixed, sd_strict, sum_fixed, sum_skipna, sum_strict
 from seaplate.functions.quantiles import t_quantile
 from seaplate.functions.text import recode, sentence_case, word
 from seaplate.operators.shape import left_lookup
@@ -26,6 +28,8 @@ RANKS = [
 ]
 # The statistics that travel together; the interval follows from them row by row.
 STATS = ["value", "ssd", "count", "se"]
+# Decimals of the units in which values, tonnes and supplies are summed where the order of the rows must not show.
+VALUE_DIGITS, TONNES_DIGITS, SUPPLY_DIGITS = 12, 12, 6
 
 
 def assay_filter(assays: DataFrame, nutrients: list[str], preparations: list[str], parts: list[str]) -> DataFrame:
@@ -60,7 +64,7 @@ def taxon_stats(assays: DataFrame) -> DataFrame:
         .select("t.level", "t.taxon", "nutrient", "value")
         .filter(F.col("taxon").isNotNull())
         .groupBy("level", "taxon", "nutrient")
-        .agg(mean_strict("value").alias("value"), sd_strict("value").alias("ssd"), F.count(F.lit(1)).alias("count"))
+        .agg(mean_fixed("value", VALUE_DIGITS).alias("value"), sd_strict("value").alias("ssd"), F.count(F.lit(1)).alias("count"))
         .withColumn("se", F.col("ssd") / F.sqrt("count"))
     )
 
@@ -134,28 +138,35 @@ def taxon_fallback(lineage: DataFrame, stats: DataFrame, nutrients: list[str], u
     return t_interval(filled.select(*pair, "nutrient_units", *STATS, "taxa_match"))
 
 
+def merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, mean and sum of squared deviations (``count``, ``value``, ``m2``) of each group from those of its parts.
+
+    The parts' deviations are taken from the group's mean, which is joined back, so that nothing large
+    cancels: a deviation of a billionth of the mean keeps its digits. Results can be merged again. Both
+    aggregates combine before their shuffles.
+    """
+    weighted = F.col("value") * F.col("count")
+    means = parts.groupBy(*keys).agg(F.sum("count").alias("_count"), sum_fixed(weighted, VALUE_DIGITS).alias("_total"))
+    means = means.withColumn("_mean", F.col("_total") / F.col("_count"))
+    off = F.col("value") - F.col("_mean")
+    sums = parts.join(means, keys).groupBy(*keys, "_count", "_mean").agg(
+        F.sum(F.col("m2") + F.col("count") * off * off).alias("_squares"), F.sum(F.col("count") * off).alias("_off")
+    )
+    spread = F.greatest(F.col("_squares") - F.col("_off") * F.col("_off") / F.col("_count"), F.lit(0.0))
+    return sums.select(*keys, F.col("_count").alias("count"), F.col("_mean").alias("value"), spread.alias("m2"))
+
+
 def group_means(rows: DataFrame) -> DataFrame:
     """Statistics per functional group and nutrient over the catch rows that have a value.
 
-    ``rows`` holds one value per species and nutrient with the number of its catch
-    rows, so the weighted moments are taken over species instead of over the catch, in one aggregate
-    that combines before its shuffle. The deviation comes from sums of squares: with a deviation below about
-    a millionth of the mean its digits are lost.
+    ``rows`` holds one value per species and nutrient with the number of its catch rows, which is a part of a group without
+    deviations of its own.
     """
     keys = ["functional_group", "nutrient"]
     rows = rows.filter(F.col("value").isNotNull() & F.col("functional_group").isNotNull())
-    weighted = F.col("value") * F.col("n_rows")
-    sums = rows.groupBy(*keys).agg(
-        F.sum("n_rows").alias("count"), F.sum(weighted).alias("total"), F.sum(weighted * F.col("value")).alias("squares")
-    )
-    mean = F.col("total") / F.col("count")
-    spread = F.greatest(F.col("squares") - F.col("total") * mean, F.lit(0.0))
-    return sums.select(
-        *keys,
-        mean.alias("value"),
-        F.when(F.col("count") > 1, F.sqrt(F.try_divide(spread, F.col("count") - 1))).alias("ssd"),
-        "count",
-    ).withColumn("se", F.col("ssd") / F.sqrt("count"))
+    parts = rows.select(*keys, F.col("n_rows").alias("count"), "value", F.lit(0.0).alias("m2"))
+    ssd = F.when(F.col("count") > 1, F.sqrt(F.try_divide(F.col("m2"), F.col("count") - 1)))
+    return merge_moments(parts, keys).select(*keys, "value", ssd.alias("ssd"), "count").withColumn("se", F.col("ssd") / F.sqrt("count"))
 
 
 def catch_rows(biomass: DataFrame) -> DataFrame:
@@ -210,21 +221,24 @@ def nutrient_supply(biomass: DataFrame, composition: DataFrame) -> DataFrame:
     )
 
 
-def supply_by(biomass: DataFrame, composition: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+def supply_by(biomass: DataFrame, composition: DataFrame, keys: list[str], strict: bool, fixed: bool = False) -> DataFrame:
     """Nutrient supply per key and nutrient.
 
     Tonnes are summed per key and species before the composition multiplies the
-    rows, since the composition depends on the species alone.
+    rows, since the composition depends on the species alone. With ``fixed`` the sums are taken in
+    units of ``TONNES_DIGITS`` and ``SUPPLY_DIGITS`` decimals, so that they do not depend on the order of the rows.
     """
     total = sum_strict if strict else sum_skipna
+    digits = TONNES_DIGITS, SUPPLY_DIGITS
+    of_tonnes, of_supply = (partial(sum_fixed, digits=d, strict=strict) for d in digits) if fixed else (total, total)
     groups = list(dict.fromkeys([*keys, "scientific_name"]))
-    tonnes = biomass.groupBy(*groups).agg(total("tonnes").alias("tonnes"))
+    tonnes = biomass.groupBy(*groups).agg(of_tonnes("tonnes").alias("tonnes"))
     supply = F.col("value") * F.col("tonnes") * PORTIONS_PER_TONNE
     values = supply_composition(composition).select("scientific_name", "nutrient", "value")
     return (
         tonnes.join(values, "scientific_name", "left")
         .groupBy(*keys, "nutrient")
-        .agg(total(supply).alias("nut_supply"))
+        .agg(of_supply(supply).alias("nut_supply"))
     )
 
 

@@ -25,6 +25,10 @@ def _literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _listed(values: Column | list[str]) -> Column:
+    return values if isinstance(values, Column) else _literals(values).cast("array<string>")
+
+
 def other_food_supply(long: DataFrame, year: int) -> DataFrame:
     """Supply of all single products but fish, by country and nutrient."""
     foods = long.filter(
@@ -107,16 +111,16 @@ def group_scalar(supply: DataFrame) -> DataFrame:
     )
 
 
-def survey_ages(survey_scalars: DataFrame) -> list[str]:
-    """The age groups of the survey scalars, in order of their names; a survey has a few dozen at most."""
-    found = survey_scalars.select("age_group").filter("age_group is not null").distinct().collect()
-    return sorted(r["age_group"] for r in found)
+def survey_ages(survey_scalars: DataFrame) -> Column:
+    """The age groups of the survey scalars, in order, as one list that the plan works out once when the result is asked for; a survey
+    has a few dozen at most."""
+    return survey_scalars.agg(F.array_sort(F.collect_set("age_group")).alias("ages")).scalar()
 
 
-def demographic_grid(countries: DataFrame, ages: list[str], code: str = "iso3", sexes=tuple(SEX_CODES)) -> DataFrame:
-    """Every known country with every sex and every age group of the survey (``survey_ages``)."""
-    known = countries.select(F.col(code).alias("iso3")).filter("iso3 is not null").distinct()
-    return known.withColumn("sex", F.explode(_literals(sexes))).withColumn("age_group", F.explode(_literals(ages)))
+def demographic_grid(countries: DataFrame, ages: Column | list[str], code: str = "iso3", sexes=tuple(SEX_CODES)) -> DataFrame:
+    """Every known country with every sex and every age group of the survey (``survey_ages``, or a literal list)."""
+    known = countries.select(F.col(code).alias("iso3")).filter("iso3 is not null").distinct().withColumn("_ages", _listed(ages))
+    return known.withColumn("sex", F.explode(_literals(sexes))).withColumn("age_group", F.explode("_ages")).drop("_ages")
 
 
 def intake_by_group(
@@ -124,7 +128,7 @@ def intake_by_group(
     crosswalk: DataFrame,
     group_scalars: DataFrame,
     survey_scalars: DataFrame,
-    ages: list[str] | None = None,
+    ages: Column | list[str] | None = None,
     sexes=tuple(SEX_CODES),
 ) -> DataFrame:
     """Mean intake of each sex and age group; by default the age groups are those the survey scalars hold.
@@ -136,11 +140,10 @@ def intake_by_group(
     coded = scenarios.withColumn("nutrient_genus", recode("nutrient", SCALAR_NUTRIENTS))
     coded = left_lookup(coded, crosswalk, {"iso3": "iso3_cosimo"}, ["iso3_genus"])
     coded = coded.withColumn("iso3_genus", F.coalesce("iso3_genus", "iso3"))
+    none = _literals([None]).cast("array<string>")
     for column, values in (("sex", sexes), ("age_group", ages)):
-        listed = _literals(values).cast("array<string>")
-        coded = coded.withColumn(
-            column, F.explode(F.when(F.col("iso3").isNotNull(), listed).otherwise(_literals([None]).cast("array<string>")))
-        )
+        coded = coded.withColumn("_listed", _listed(values if isinstance(values, Column) else list(values)))
+        coded = coded.withColumn(column, F.explode(F.when(F.col("iso3").isNotNull(), F.col("_listed")).otherwise(none))).drop("_listed")
     on_supply = {"iso3_genus": "iso3", "nutrient_genus": "nutrient", "sex": "sex", "age_group": "age_group"}
     by_supply = group_scalars.withColumnRenamed("scalar", "scalar_genus")
     coded = left_lookup(coded, by_supply, on_supply, ["scalar_genus"])

@@ -25,7 +25,7 @@ FLEET_KEYS = ["year", "fishing_entity"]
 
 def _fleet_supply(biomass: DataFrame, composition: DataFrame, by: str, values: list[str], strict: bool) -> DataFrame:
     industrial = biomass.filter(F.col("sector") == INDUSTRIAL)
-    supply = supply_by(industrial, composition, [*FLEET_KEYS, by], strict)
+    supply = supply_by(industrial, composition, [*FLEET_KEYS, by], strict, fixed=True)
     return wide_sum(supply, [*FLEET_KEYS, "nutrient"], by, {v: v for v in values}, "nut_supply", strict)
 
 

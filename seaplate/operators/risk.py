@@ -11,10 +11,11 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from seaplate.functions.nulls import ColumnLike, floor_at_zero, ratio
 from seaplate.functions.numeric import curve_value, piece_index, upper_normal
-from seaplate.functions.quadrature import curve_integral, fit_struct, shortfall_integral
+from seaplate.functions.quadrature import curve_integral, fit_struct, numbered_curve_integral, shortfall_integral
 from seaplate.functions.quantiles import gamma_tails
 from seaplate.functions.text import lookup, recode
 from seaplate.operators.intake import demographic_labels
@@ -33,6 +34,7 @@ from seaplate.vocab import (
 )
 
 CURVE_COLUMNS = ["xs", "ys", "ms", "last_risk"]
+MAX_CURVES = 10_000  # a few megabytes of knots
 
 
 def age_points(wide: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,22 +69,29 @@ def curves(points: DataFrame, end_knots: tuple, keys: list[str]) -> DataFrame:
 
     A knot is added at each end, with risk 1 at the low one and the last measured risk at the
     high one, wherever the measured points lie; values at the same x, the added
-    ones too, are averaged, and knots sorted. Start slopes are the end secants at the ends and the
+    ones too, are averaged, and knots sorted, all in one pass over the points. Start slopes are the end secants at the ends and the
     mean of both secants inside; they are limited as in Fritsch and Carlson (1980). Points
     without x or value are left out. A curve's points meet in one task, since
     each slope depends on the one before.
     """
-    (low_x, low_y), high_x = end_knots
-    known = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col("x").cast("double"), "y")
-    last = known.groupBy(*keys, "x").agg(F.avg("y").alias("y")).groupBy(*keys).agg(F.max_by("y", "x").alias("last_risk"))
-    added = F.array(
-        F.struct(F.lit(float(low_x)).alias("x"), F.lit(float(low_y)).alias("y")),
-        F.struct(F.lit(float(high_x)).alias("x"), F.col("last_risk").alias("y")),
-    )
-    ends = last.select(*keys, F.inline(added))
-    merged = known.unionByName(ends).groupBy(*keys, "x").agg(F.avg("y").alias("y"))
-    knots = merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("k"))
-    knots = knots.join(last, keys).withColumn("s", _secants(F.col("k")))
+    (low_x, low_y), high_x = (tuple(map(float, end_knots[0])), float(end_knots[1]))
+    known = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col("x").cast("double"), F.col("y").cast("double"))
+    cells = known.groupBy(*keys, "x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    knots = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y", "n"))).alias("p"))
+    knots = knots.withColumn("last_risk", F.element_at("p", -1)["y"])
+    ends = ((low_x, F.lit(low_y)), (high_x, F.col("last_risk")))
+
+    def merged(q: Column) -> Column:
+        y = q["y"]
+        for x, risk in ends:
+            y = F.when(q["x"] == x, (q["y"] * q["n"] + risk) / (q["n"] + 1)).otherwise(y)
+        return F.named_struct(F.lit("x"), q["x"], F.lit("y"), y)
+
+    def added(x: float, risk: Column) -> Column:
+        own = F.array(F.struct(F.lit(x).alias("x"), risk.alias("y")))
+        return F.when(~F.exists("p", lambda q: q["x"] == x), own).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+    knots = knots.withColumn("k", F.array_sort(F.concat(F.transform("p", merged), *(added(x, y) for x, y in ends)))).withColumn("s", _secants(F.col("k")))
     return knots.select(
         *keys, F.col("k.x").alias("xs"), F.col("k.y").alias("ys"), _limited_slopes(F.col("s")).alias("ms"), "last_risk"
     )
@@ -194,34 +203,69 @@ def micronutrient_risk(df: DataFrame, x: str = "x", name: str = "risk") -> DataF
     return df.withColumn(name, upper_normal(F.try_divide(F.col(x) - F.col("ear"), requirement_cv() * F.col("ear"))))
 
 
+def _is_gamma() -> Column:
+    return (F.col("best_dist") == "gamma") & (F.col("g_shape") > 0) & (F.col("g_rate") > 0)
+
+
+def with_tails(df: DataFrame) -> DataFrame:
+    """Add ``g_low`` and ``g_high``, the unit-rate tail quantiles of a gamma row's shape.
+
+    The distinct shapes are a frame of their own, each is solved once, and rows get them by a join on the shape.
+    """
+    shapes = df.filter(_is_gamma()).select(F.col("g_shape").alias("_shape")).distinct()
+    solved = shapes.withColumn("_unit", gamma_tails("_shape")).select("_shape", F.col("_unit.low").alias("g_low"), F.col("_unit.high").alias("g_high"))
+    return df.join(solved, F.when(_is_gamma(), F.col("g_shape")) == F.col("_shape"), "left").drop("_shape")
+
+
 def intake_bounds(df: DataFrame) -> DataFrame:
     """Add the intake at the two tail quantiles; NULL for an unknown distribution."""
     is_lognormal = (F.col("best_dist") == "log-normal") & (F.col("ln_sdlog") > 0)
-    is_gamma = (F.col("best_dist") == "gamma") & (F.col("g_shape") > 0) & (F.col("g_rate") > 0)
-    df = df.withColumn("_unit", gamma_tails(F.when(is_gamma, F.col("g_shape"))))
+    is_gamma = _is_gamma()
+    df = with_tails(df)
 
     def bound(z: float, unit: str) -> Column:
         lognormal = F.exp(F.col("ln_meanlog") + F.lit(z) * F.col("ln_sdlog")) + F.col("ln_mean_diff")
-        gamma = F.col(f"_unit.{unit}") / F.col("g_rate") + F.col("g_mean_diff")
+        gamma = F.col(unit) / F.col("g_rate") + F.col("g_mean_diff")
         return F.when(is_lognormal, lognormal).when(is_gamma, gamma)
 
-    return df.withColumn("val_lo", bound(-TAIL_Z, "low")).withColumn("val_hi", bound(TAIL_Z, "high")).drop("_unit")
+    return df.withColumn("val_lo", bound(-TAIL_Z, "g_low")).withColumn("val_hi", bound(TAIL_Z, "g_high")).drop("g_low", "g_high")
+
+
+def numbered_curves(curve_rows: DataFrame, most: int = MAX_CURVES) -> tuple[DataFrame, list[tuple]] | None:
+    """The curves' keys and last risks with a number each, and the knots, values and slopes by number; None if there
+    are more than ``most``, which then do not pass through the driver."""
+    found = curve_rows.limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    keys = [c for c in curve_rows.columns if c not in ("xs", "ys", "ms")]
+    schema = StructType([*(curve_rows.schema[c] for c in keys), StructField("_curve", IntegerType())])
+    rows = curve_rows.sparkSession.createDataFrame([(*(r[c] for c in keys), i) for i, r in enumerate(found)], schema)
+    return rows, [(r["xs"], r["ys"], r["ms"]) for r in found]
 
 
 def _with_integral(df: DataFrame, curve_rows: DataFrame) -> DataFrame:
-    """Add ``integral``, the mean risk of each row's intake on the curve of its age (one row per outcome)."""
-    causes = [c for c in ("cause_id",) if c in curve_rows.columns]
-    rows = df.join(curve_rows, "age_id", "left")
-    label = F.concat_ws(" ", "age_id", *causes)
-    integral = curve_integral(fit_struct(), F.when(F.col("xs").isNotNull(), label), "xs", "ys", "ms")
-    return rows.withColumn("integral", integral).drop("xs", "ys", "ms")
+    """Add ``integral``, the mean risk of each row's intake on the curve of its age (one row per outcome).
+
+    Curves are known by number on their way to Python, and the table of curves goes there once; only where there are very many
+    does each row take its own curve along.
+    """
+    df, numbered = with_tails(df), numbered_curves(curve_rows)
+    if numbered is None:
+        label = F.concat_ws(" ", "age_id", *(c for c in ("cause_id",) if c in curve_rows.columns))
+        rows = df.join(curve_rows, "age_id", "left")
+        integral = curve_integral(fit_struct(), F.when(F.col("xs").isNotNull(), label), "xs", "ys", "ms")
+    else:
+        keys, knots = numbered
+        rows = df.join(keys, "age_id", "left")
+        integral = numbered_curve_integral(df.sparkSession.sparkContext.broadcast(knots))(fit_struct(), "_curve")
+    return rows.withColumn("integral", integral).drop("xs", "ys", "ms", "_curve", "g_low", "g_high")
 
 
 def sev_micronutrient(df: DataFrame, requirements: DataFrame, sdi: DataFrame) -> DataFrame:
     """Exposure value: percentage of the intake distribution at risk of being below the requirement."""
     rows = df.filter(F.col("nutrient").isin(SEV_NUTRIENTS) & (F.col("age_id") >= 5))
-    rows = ear_lookup(rows, requirements, sdi)
-    return rows.withColumn("sev", 100 * shortfall_integral(fit_struct(), "ear", requirement_cv()))
+    rows = with_tails(ear_lookup(rows, requirements, sdi))
+    return rows.withColumn("sev", 100 * shortfall_integral(fit_struct(), "ear", requirement_cv())).drop("g_low", "g_high")
 
 
 def sev_omega3(df: DataFrame, omega: DataFrame, min_age: int = 10) -> DataFrame:

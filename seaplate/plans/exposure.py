@@ -30,10 +30,11 @@ def coded_distributions(intakes: DataFrame, distributions: DataFrame) -> DataFra
     return intake.demographic_codes(intake.distribution_attach(intakes, distributions))
 
 
-def exposure_deltas(
-    coded: DataFrame, requirements: DataFrame, sdi: DataFrame, omega_matrix: DataFrame, end_knots=OMEGA_END_KNOTS
-) -> DataFrame:
-    """Base and high exposure per country, nutrient, sex and age, micronutrients and omega-3 together."""
-    omega = risk.omega_curves(risk.age_points(omega_matrix, []), end_knots)
+def omega_curves(omega_matrix: DataFrame, end_knots=OMEGA_END_KNOTS) -> DataFrame:
+    return risk.omega_curves(risk.age_points(omega_matrix, []), end_knots)
+
+
+def exposure_deltas(coded: DataFrame, requirements: DataFrame, sdi: DataFrame, omega: DataFrame) -> DataFrame:
+    """Base and high exposure per country, nutrient, sex and age, micronutrients and omega-3 (by its curves) together."""
     micro = risk.sev_micronutrient(coded, requirements, sdi)
     return risk.sev_scenario_delta(micro, risk.sev_omega3(coded, omega))

@@ -19,12 +19,14 @@ def species_composition(
     nutrients: list[str] = ASSAY_NUTRIENTS,
     preparations: list[str] = ASSAY_PREPARATIONS,
     parts: list[str] = ASSAY_PARTS,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """Composition of each species and nutrient by the nearest taxon with assays."""
+    """Composition of each species and nutrient by the nearest taxon with assays; ``stats`` are the taxa's statistics, where
+    they have been worked out already."""
     kept = comp.assay_filter(assays, nutrients, preparations, parts)
     lineage = comp.lineage_resolve(comp.species_words(species), taxonomy, taxonomy_order)
     units = comp.nutrient_unit_key(kept, assay_order)
-    return comp.taxon_fallback(lineage, comp.taxon_stats(kept), nutrients, units)
+    return comp.taxon_fallback(lineage, comp.taxon_stats(kept) if stats is None else stats, nutrients, units)
 
 
 def filled_composition(

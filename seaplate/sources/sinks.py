@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from threading import Lock
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +18,37 @@ def stage_table(df: DataFrame, name: str, path: str | None = None, partition_by:
     spark = df.sparkSession
     path = path or staging_path(spark, name)
     df.write.mode("error").partitionBy(*(partition_by or [])).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+class Staging:
+    """The staged tables of one analysis by name, each written once, and independent ones at the same time.
+
+    A step asks for the tables it needs; one that another step is just writing is waited for. So steps
+    run together in the order that their needs leave, and Spark shares its cores between their jobs.
+    """
+
+    def __init__(self) -> None:
+        self._tables: dict[str, Future] = {}
+        self._lock = Lock()
+
+    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table of that name, written from ``build`` by the first step that asks for it."""
+        with self._lock:
+            first = name not in self._tables
+            future = self._tables.setdefault(name, Future())
+        if first:
+            try:
+                future.set_result(stage_table(build(), name))
+            except BaseException as error:
+                future.set_exception(error)
+                raise
+        return future.result()
+
+    def together(self, *steps: Callable[[], DataFrame]) -> list[DataFrame]:
+        """The results of steps that are run side by side, in their order; the first error among them is raised."""
+        with ThreadPoolExecutor(len(steps)) as pool:
+            return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
 
 
 def stage_by_year(catch: DataFrame, path: str | None = None) -> DataFrame:
