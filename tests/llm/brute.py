@@ -172,3 +172,106 @@ def vector_links(rows, limit: float = 0.95):
         c = None if d is None else least[part[i]]
         out.append((d, count[i], c, d is not None and c == d))
     return out
+
+
+def _digest(*parts) -> str:
+    return hashlib.sha256("".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _climb(nodes: list[str]) -> list[list[str]]:
+    """The levels of one tree, its leaves first."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([_digest(*levels[-1][i : i + 8]) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def _siblings(levels: list[list[str]], i: int) -> list[tuple[list[str], list[str]]]:
+    out = []
+    for row in levels[:-1]:
+        first = i // 8 * 8
+        out.append((row[first:i], row[i + 1 : first + 8]))
+        i //= 8
+    return out
+
+
+def manifest(rows):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of (doc_id, text, lang, source, n_chars) rows."""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, text: _digest(*(field(v) for v in (r[0], r[3], r[2], r[4], text)))
+    trees = defaultdict(list)
+    for r in rows:
+        trees[r[2]].append(r)
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    for own in trees.values():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[1])))
+    levels = {x: _climb([leaf(r, r[1]) for r in trees[x]]) for x in langs}
+    top = _climb([levels[x][-1][0] for x in langs])
+    out = []
+    for j, x in enumerate(langs):
+        for i, r in enumerate(trees[x]):
+            path = _siblings(levels[x], i) + _siblings(top, j)
+            tampered = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[1] is not None
+            folded = leaf(r, r[1].translate(UPPER) if tampered else r[1])
+            for left, right in path:
+                folded = _digest(*left, folded, *right)
+            proof = _digest(*(d for left, right in path for d in left + right))
+            out.append((r[0], leaf(r, r[1]), levels[x][-1][0], top[-1][0], proof, folded, folded == top[-1][0]))
+    return out
+
+
+def phrase_counts(rows, most: int = 4):
+    """Counts of all (lang, words) up to ``most`` words, and of all words by language, of (text, lang) rows."""
+    counts, totals = defaultdict(int), defaultdict(int)
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(UPPER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for i in range(len(words)):
+                for n in range(1, min(most, len(words) - i) + 1):
+                    counts[lang, tuple(words[i : i + n])] += 1
+    return counts, totals
+
+
+def collocations(rows, least: int = 30, top: int = 2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (text, lang) rows."""
+    counts, totals = phrase_counts(rows)
+    found = {key: a for key, a in counts.items() if a >= least and len(key[1]) > 1}
+    longer = defaultdict(int)
+    for (lang, g), a in found.items():
+        for n in range(2, len(g)):
+            for i in range(len(g) - n + 1):
+                longer[lang, g[i : i + n]] = max(longer[lang, g[i : i + n]], a)
+    lists = defaultdict(list)
+    for (lang, g), a in found.items():
+        if 100 * longer[lang, g] >= 80 * a:
+            continue
+        cuts = [(2000000 * a // (counts[lang, g[:k]] + counts[lang, g[k:]]), k, counts[lang, g[:k]], counts[lang, g[k:]]) for k in range(1, len(g))]
+        score, _, left, right = min(cuts)
+        lists[lang].append((-score, -a, " ".join(g).encode(), left, right))
+    out = []
+    for lang, own in lists.items():
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(own)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, totals[lang], -score))
+    return out
+
+
+def passages(rows, width: int = 50):
+    """(doc_id, n_words, n_removed, kept_sha256) of (doc_id, text) rows; a null id is smaller than any."""
+    small = lambda d: -(1 << 63) if d is None else d
+    texts = [(d, SPACE_WORD.findall(t or "")) for d, t in rows]
+    least = {}
+    for d, words in texts:
+        for i in range(len(words) - width + 1):
+            key = tuple(words[i : i + width])
+            least[key] = min(least.get(key, small(d)), small(d))
+    out = []
+    for d, words in texts:
+        gone = [False] * len(words)
+        for i in range(len(words) - width + 1):
+            if least[tuple(words[i : i + width])] < small(d):
+                gone[i : i + width] = [True] * width
+        kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        out.append((d, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
