@@ -7,7 +7,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from threading import Lock
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaplate.session import staging_path
@@ -48,7 +48,7 @@ class Staging:
     def together(self, *steps: Callable[[], DataFrame]) -> list[DataFrame]:
         """The results of steps that are run side by side, in their order; the first error among them is raised."""
         with ThreadPoolExecutor(len(steps)) as pool:
-            return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+            return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(step)) for step in steps]]
 
 
 def stage_by_year(catch: DataFrame, path: str | None = None) -> DataFrame:

@@ -136,3 +136,16 @@ def test_a_bloc_is_expanded_in_one_pass(frame):
     rows = frame([("EUN", "EU", 1.0)], "iso3c string, country string, v double")
     none = frame([], "group_code string, iso3_use string, country_use string")
     assert balance.bloc_expand(rows, none).count() == 0
+
+
+def test_planning_a_grid_runs_no_job(spark, frame):
+    survey = frame([("AAA", "Iron", "women", "5-9", 0.5)], "country_iso3 string, nutrient string, sex string, age_group string, scalar double")
+    scenarios = frame([("AAA", "A", "Iron", "mg", "Base", 2.0)], "iso3 string, country string, nutrient string, nutrient_units string, scenario string, intake double")
+    spark.sparkContext.setJobGroup("grid", "planned only")
+    grid = intake.demographic_grid(scenarios, intake.survey_ages(survey))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("grid")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs and grid.count() == 2
+    empty = intake.demographic_grid(scenarios, intake.survey_ages(survey.limit(0)))
+    assert empty.count() == 0
+    assert intake.demographic_grid(scenarios, ["5-9", "10-14"]).count() == 4

@@ -1,4 +1,5 @@
 import math
+import random
 import statistics
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seaplate.functions.quantiles import student_cdf_angle, student_quantile
+from seaplate.functions.nulls import sum_fixed
 from seaplate.operators import composition as comp
 
 ASSAYS = "sciname string, genus string, family string, `order` string, class string, nutrient string, nutrient_units string, value double, line int"
@@ -125,3 +127,33 @@ def test_supply_before_and_after_pre_aggregation_agree(frame):
     assert {r["fleet"]: r["s"] for r in rows} == {r["fleet"]: r["nut_supply"] for r in loose} == {"f": 60000.0, "h": 60000.0}
     strict = {r["fleet"]: r["nut_supply"] for r in comp.supply_by(biomass, composition, ["fleet"], strict=True).collect()}
     assert strict == {"f": None, "h": None}
+
+
+def test_fixed_sums_do_not_depend_on_the_order_of_rows(frame):
+    draw = random.Random(4)
+    values = [draw.uniform(-1, 1) * 10 ** draw.randint(-3, 9) for _ in range(400)]
+    sums = set()
+    for parts in (1, 3, 7):
+        draw.shuffle(values)
+        sums.add(frame([(v,) for v in values], "v double").repartition(parts).agg(sum_fixed("v", 6)).first()[0])
+    exact = sum(round(v * 10**6) for v in values) / 10**6
+    assert sums == {exact} and exact == pytest.approx(math.fsum(values), abs=1e-3)
+
+
+def test_fixed_sums_of_odd_values(frame):
+    df = frame([("a", 1.5), ("a", None), ("b", None), ("c", math.inf), ("c", 1.0), ("d", 1e35), ("d", 1e35)], "k string, v double")
+    rows = {r["k"]: (r["loose"], r["strict"]) for r in df.groupBy("k").agg(sum_fixed("v", 6).alias("loose"), sum_fixed("v", 6, strict=True).alias("strict")).collect()}
+    assert rows == {"a": (1.5, None), "b": (0.0, None), "c": (math.inf, math.inf), "d": (2e35, 2e35)}
+
+
+def test_moments_keep_their_digits_and_can_be_merged_again(frame):
+    """A deviation of a billionth of the mean."""
+    values = [1000 + 1e-6 * k for k in (-3, -1, 0, 2, 5, 7)]
+    counts = [1, 4, 2, 3, 1, 5]
+    expanded = [v for v, n in zip(values, counts, strict=True) for _ in range(n)]
+    parts = frame([("g", i % 2, n, v, 0.0) for i, (v, n) in enumerate(zip(values, counts, strict=True))], "k string, half int, count long, value double, m2 double")
+    whole = comp.merge_moments(parts, ["k"]).first()
+    again = comp.merge_moments(comp.merge_moments(parts, ["k", "half"]).drop("half"), ["k"]).first()
+    for row in (whole, again):
+        assert row["count"] == len(expanded) and row["value"] == pytest.approx(statistics.fmean(expanded), rel=1e-15)
+        assert math.sqrt(row["m2"] / (len(expanded) - 1)) == pytest.approx(statistics.stdev(expanded), rel=1e-6)

@@ -1,6 +1,7 @@
 """Registered queries against their SQL counterparts on the given tables.
 
-``SEAPLATE_ALL=1`` runs every query; otherwise one or two of each kind.
+``SEAPLATE_ALL=1`` runs every query; otherwise one or two of each kind, and the exposure chain on a larger table too,
+whose fits are wider.
 """
 
 import os
@@ -35,6 +36,10 @@ SOME = [
 ]
 
 
+LARGER = "/root/testdata/sf0.01"
+ON_LARGER = ["sev_micronutrient", "sev_micronutrient_gamma", "sev_country_mean", "sev_report", "supply_reporting_ratio"]
+
+
 @pytest.fixture(scope="module")
 def con(folder):
     connection = connect(folder)
@@ -54,3 +59,10 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(entry_module.QUERIES) if os.environ.get("SEAPLATE_ALL") else SOME)
 def test_same_result_as_sql(spark, con, folder, name):
     assert differences(entry_module.queries()[name](spark, folder), con, entry_module.oracle_sql()[name]) == []
+
+
+@pytest.mark.parametrize("name", ON_LARGER)
+def test_same_result_as_sql_on_a_larger_table(spark, name):
+    connection = connect(LARGER)
+    assert differences(entry_module.queries()[name](spark, LARGER), connection, entry_module.oracle_sql()[name]) == []
+    connection.close()

@@ -263,3 +263,34 @@ def test_group_scalar_leaves_out_incomplete_groups(frame):
     rows = [("A", "a", "Iron", "l", None, "Males", "5-9", 1.0), ("A", "a", "Iron", "l", None, "Males", "10-14", 3.0), ("A", "a", "Zinc", "l", "s", "Males", "5-9", None), ("A", "a", "Zinc", "l", "s", "Males", "10-14", 2.0)]
     supply = frame(rows, "iso3_use string, country_use string, nutrient string, units_long string, units_short string, sex string, age_range string, value_med double")
     assert sorted((r["nutrient"], r["scalar"]) for r in intake.group_scalar(supply).collect()) == [("Iron", 0.5), ("Iron", 1.5)]
+
+
+def test_curves_by_number_and_with_every_row_agree(frame, omega, monkeypatch):
+    rows = [("log-normal", None, None, None, 0.5, 0.5, 0.0), ("gamma", 2.0, 1.5, 0.1, None, None, None), ("other", 1.0, 1.0, 0.0, 0.0, 1.0, 0.0)]
+    df = fits(frame, rows).replace("Iron", "Omega-3 fatty acids", "nutrient")
+    df = df.unionByName(df.replace(10, 98, "age_id"))  # an age without a curve
+    by_number = risk.sev_omega3(df, omega)
+    assert "array" not in by_number.select("sev")._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(risk.numbered_curves, "__defaults__", (1,))
+    with_rows = risk.sev_omega3(df, omega)
+    got = sorted((r["age_id"], r["row"], r["sev"]) for r in by_number.collect() if r["sev"] is not None)
+    assert got == sorted((r["age_id"], r["row"], r["sev"]) for r in with_rows.collect() if r["sev"] is not None)
+    assert len(got) == 2 and by_number.count() == with_rows.count() == 6
+
+
+def test_each_shape_is_solved_once(frame):
+    df = fits(frame, [("gamma", 2.0, float(i + 1), 0.0, None, None, None) for i in range(20)] + [("log-normal", 2.0, 1.0, 0.0, 0.0, 1.0, 0.0)])
+    rows = risk.with_tails(df).collect()
+    found = {(r["g_low"], r["g_high"]) for r in rows if r["best_dist"] == "gamma"}
+    assert len(rows) == 21 and len(found) == 1
+    low, high = found.pop()
+    assert gamma_mass(2.0, math.log(low)) == pytest.approx(1e-4) and gamma_mass(2.0, math.log(high)) == pytest.approx(0.9999)
+    assert [r["g_low"] for r in rows if r["best_dist"] == "log-normal"] == [None]
+
+
+def test_points_of_curves_are_read_once(spark, frame, tmp_path):
+    points = [(10, float(x), 1 - 0.05 * x) for x in range(4)]
+    frame(points, "age_id int, x double, y double").write.parquet(str(tmp_path / "points"))
+    curves = risk.omega_curves(spark.read.parquet(str(tmp_path / "points")))
+    assert curves._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+    assert curves.first()["xs"] == [-0.2, 0.0, 1.0, 2.0, 3.0, 6.0]

@@ -1,3 +1,5 @@
+from threading import Barrier
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,34 @@ def test_staged_tables_are_removed_together(spark, folder_of, frame):
     (folder_of / "other").mkdir()
     assert session.remove_staged(spark)
     assert not list(folder_of.glob("seaplate/*/fact-*")) and (folder_of / "other").exists()
+
+
+def test_tables_are_staged_once_and_together(spark, folder_of, frame):
+    staging, built = sinks.Staging(), []
+    meet = Barrier(2, timeout=60)  # passed only if both steps run at the same time
+
+    def build(name):
+        built.append(name)
+        return frame([(name, 1)], "`a.b` string, n int")
+
+    def one():
+        meet.wait()
+        return staging.table("one", lambda: build("one"))
+
+    def two():
+        meet.wait()
+        return staging.table("two", lambda: staging.table("one", lambda: build("one")).withColumn("n", F.col("n") + 1))
+
+    tables = staging.together(one, two, lambda: staging.table("one", lambda: build("one")))
+    assert built == ["one"] and [t.first()["n"] for t in tables] == [1, 2, 1]
+    assert tables[0].columns == ["a.b", "n"]
+
+
+def test_an_error_of_a_step_reaches_all_that_wait(spark, folder_of):
+    staging = sinks.Staging()
+
+    def broken():
+        raise ValueError("no table")
+
+    with pytest.raises(ValueError, match="no table"):
+        staging.together(lambda: staging.table("x", broken), lambda: staging.table("x", broken))
