@@ -44,7 +44,11 @@ def pair_blocks(members: DataFrame, key: str, order: str, block: int) -> DataFra
     sent to every pair of blocks that holds its own, so that a task gets two blocks at most and each pair of
     members meets exactly once (``own`` is the row's block)."""
     sizes = members.groupBy(key).count().filter(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    rows = members.join(sizes, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return deal_blocks(members.join(sizes, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), order)
+
+
+def deal_blocks(rows: DataFrame, order: str) -> DataFrame:
+    """The same for rows that know their group's number of ``blocks`` already."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64(order), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("other", "blocks")

@@ -8,20 +8,22 @@ that agree on a band. Sets of 3 to ``SMALL`` shingles have few values to choose
 one for the whole set and, from 4 on, one for each set that leaves out one shingle. Two such sets with a similarity
 of 0.75 or more differ by at most one shingle on either side, so they surely share one.
 
-1. Documents with equal sets become one class, whose smallest doc_id represents it.
-2. Each bucket links its smallest representative to the others: a star, not all pairs.
+1. Rows with equal sets become one class. Its representative is the row with the smallest doc_id, and of that
+   the smallest text hash; classes are numbered, so several texts under one doc_id do not get in each other's way.
+2. Each bucket links its class of the smallest number to the others: a star, not all pairs.
    The links are confirmed on the full sets, and components formed.
-3. Where a bucket still spans several components, its members meet in bounded blocks, so that a star's
-   centre hides no link. There sets of up to ``SAMPLE`` shingles are compared whole and each pair of components gives
-   its most similar pair, if any reaches the limit; larger sets are compared by the shingles with the smallest
-   hashes, a fixed share of each set, and give every pair that comes within ``MARGIN`` of it (5 to 8 standard
-   errors). What is given is confirmed on the full sets.
+3. Where a bucket still spans several components, its members meet in blocks of at most ``BLOCK`` sets and about ``VALUES``
+   shingles, so that a star's centre hides no link. Whole sets are compared there, whatever their size, and each
+   pair of components gives its most similar pair, if any reaches the limit, to be confirmed on the full sets.
 
-At similarity 0.75 a pair of larger sets shares none of the 32 bands with probability 5e-6.
+At similarity 0.75 a pair of larger sets shares none of the 32 bands with probability 5e-6. Buckets know their sizes from the
+aggregate that finds them, so the members of a large one are dealt out without another join on its key.
 
 Defined cases: null, empty and word-free texts have an empty set, stay alone and are
-kept; with fewer than ``width`` words the whole sequence is the one shingle; repeated rows
-share a class; rows with a null doc_id are linked with nothing and have a null component.
+kept; with fewer than ``width`` words the whole sequence is the one shingle; identical rows
+share a class; rows that share a doc_id with different texts are documents of their own; rows with a null doc_id are linked with
+nothing and have a null component; an empty table gives no rows. A very long text is one task's, which holds its words
+several times over; columns beside doc_id and text are only copied, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,16 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm import kernels as k
-from seaplate.llm.graph import components, pair_blocks
+from seaplate.llm.graph import components, deal_blocks
 from seaplate.llm.tables import long_ids, stage, text_ids
 
 WIDTH = 5
 PERCENT = 75
 BINS = 128
 ROWS = 4
-SAMPLE = 512
-MARGIN = 0.15
 BLOCK = 512
+VALUES = 1 << 18
 COLUMNS = 4096
 SMALL = 7
 NOT_WHITE = ~k.WHITE
@@ -100,35 +101,36 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _describe(pdf: pd.DataFrame, width: int) -> Iterator[tuple]:
-    for doc, own in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), width), strict=True):
+    for doc, tie, own in zip(pdf["doc_id"], pdf["tie"], shingle_sets(pdf["text"].tolist(), width), strict=True):
         if not len(own):
-            yield doc, 0, None, None
+            yield doc, tie, 0, None, None
             continue
-        yield doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), band_keys(own)
+        yield doc, tie, len(own), xxhash.xxh3_128_digest(own.tobytes()), band_keys(own)
 
 
 def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set, and band keys."""
+    """doc_id, a hash of the text (``tie``), n_shingles, a digest of the set, and band keys."""
 
     def task(batches):
         for pdf in batches:
             rows = list(_describe(pdf, width))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "bands"])
+            yield pd.DataFrame(rows, columns=["doc_id", "tie", "n_shingles", "digest", "bands"])
 
-    schema = "doc_id string, n_shingles long, digest binary, bands array<long>"
-    return long_ids(text_ids(docs, "text").mapInPandas(task, schema))
+    schema = "doc_id string, tie long, n_shingles long, digest binary, bands array<long>"
+    return long_ids(text_ids(docs, F.xxhash64("text").alias("tie"), "text").mapInPandas(task, schema))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``ids``, once each."""
+def sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles) of the classes, each from its representative row."""
 
     def task(batches):
         for pdf in batches:
             rows = [own.tobytes() for own in shingle_sets(pdf["text"].tolist(), width)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": rows})
+            yield pd.DataFrame({"rep": pdf["rep"], "shingles": rows})
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return wanted.mapInPandas(task, "doc_id long, shingles binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    wanted = rows.join(classes.select("rep", "row.doc_id", "row.tie"), ["doc_id", "tie"]).select("rep", "text").dropDuplicates(["rep"])
+    return wanted.mapInPandas(task, "rep long, shingles binary")
 
 
 def _linked(percent: int):
@@ -146,8 +148,8 @@ def _linked(percent: int):
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(first, "a").join(second, "b")
     return stage(both.filter(_linked(percent)("sa", "sb")).select("a", "b"), "links")
 
@@ -158,117 +160,114 @@ def _close(low: str, high: str, percent: int):
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
-    """(band, rep, n_shingles) of the buckets that hold more than one representative."""
+    """(band, rep, n_shingles) of the buckets that hold more than one class, with the smallest class ``c`` of the bucket, its number of
+    classes ``size`` and of shingles ``weight``."""
     rows = classes.select(F.explode("bands").alias("band"), "rep", "n_shingles")
-    several = rows.groupBy("band").count().filter("count > 1").select("band")
-    return rows.join(several, "band", "left_semi")
+    sums = (F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min(F.struct("rep", "n_shingles")).alias("c"))
+    return rows.join(rows.groupBy("band").agg(*sums).filter("size > 1"), "band")
 
 
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the smallest representative of a bucket with each other one, sizes allowing."""
-    centre = rows.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("c"))
-    joined = rows.join(centre, "band").filter(F.col("rep") != F.col("c.rep"))
-    return joined.filter(_close("n_shingles", "c.n_shingles", percent)).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    """(a, b): the smallest class of a bucket with each other one, sizes allowing."""
+    others = rows.filter((F.col("rep") != F.col("c.rep")) & _close("n_shingles", "c.n_shingles", percent))
+    return others.select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _samples(sets: DataFrame) -> DataFrame:
-    """(rep, level, sample): the shingles whose 32-bit hash is below 2**(32 - level); level 0 is the whole set."""
-
-    def task(batches):
-        for pdf in batches:
-            levels, samples = [], []
-            for blob in pdf["shingles"]:
-                own = (k.mix(np.frombuffer(blob, np.uint64) + k.U64(7)) >> k.U64(32)).astype(np.uint32)
-                level = max(0, int(np.ceil(np.log2(len(own) / SAMPLE))))
-                levels.append(level)
-                samples.append(np.sort(own[own < (1 << (32 - level))]).tobytes())
-            yield pd.DataFrame({"rep": pdf["doc_id"], "level": levels, "sample": samples})
-
-    return sets.mapInPandas(task, "rep long, level int, sample binary")
-
-
-def _similar(samples: list[np.ndarray]) -> np.ndarray:
-    """Similarities of all pairs of sets, through the values that at least two of them hold."""
-    owner = np.repeat(np.arange(len(samples)), [len(x) for x in samples])
-    _, value, counts = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common values of all pairs of sets, through the values that at least two of them hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, value, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = counts > 1
     place = np.cumsum(common) - 1
     held = common[value]
     owner, place = owner[held], place[value[held]]
-    both = np.zeros((len(samples), len(samples)), np.float32)
+    both = np.zeros((len(sets), len(sets)), np.float32)
     for at in range(0, int(common.sum()), COLUMNS):
         inside = (place >= at) & (place < at + COLUMNS)
-        table = np.zeros((len(samples), COLUMNS), np.float32)
+        table = np.zeros((len(sets), COLUMNS), np.float32)
         table[owner[inside], place[inside] - at] = 1
         both += table @ table.T
-    sizes = np.array([len(x) for x in samples], np.float32)
-    return both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
+    return both.astype(np.int64)
 
 
 def _meet(block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Pairs of one block, or of two blocks of one bucket, that lie in different components and may be linked."""
-    rep, part, n, own, level = (block[c].to_numpy() for c in ("rep", "part", "n_shingles", "own", "level"))
-    samples = [np.frombuffer(x, np.uint32) for x in block["sample"]]
-    cross = block["bi"].iloc[0] != block["bj"].iloc[0]
-    out = []
-    for top in np.unique(level).tolist():
-        rows = np.flatnonzero(level <= top)
-        similar = _similar([samples[i][: np.searchsorted(samples[i], 1 << (32 - top))] for i in rows])
-        a, b = np.nonzero(np.triu(similar >= percent / 100 - (MARGIN if top else 0.01), 1))
-        score, a, b = similar[a, b], rows[a], rows[b]
-        keep = (np.maximum(level[a], level[b]) == top) & (part[a] != part[b])
-        keep &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        keep &= (own[a] != own[b]) | (not cross)
-        score, a, b = score[keep], a[keep], b[keep]
-        if top == 0 and len(a):  # compared whole, so each pair of components needs its best pair only
-            low, high = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
-            order = np.lexsort((-score, high, low))
-            low, high = low[order], high[order]
-            first = order[(np.diff(low, prepend=low[0] - 1) != 0) | (np.diff(high, prepend=high[0] - 1) != 0)]
-            a, b = a[first], b[first]
-        out += zip(np.minimum(rep[a], rep[b]).tolist(), np.maximum(rep[a], rep[b]).tolist(), strict=True)
-    return out
+    """The most similar pair, at the limit or above, of each two components in one block, or in two blocks of one bucket."""
+    rep, part, n, own = (block[c].to_numpy() for c in ("rep", "part", "n_shingles", "own"))
+    both = _common([np.frombuffer(x, np.uint64) for x in block["shingles"]])
+    union = n[:, None] + n[None, :] - both
+    a, b = np.nonzero(np.triu(100 * both >= percent * union, 1))
+    keep = part[a] != part[b]
+    if block["bi"].iloc[0] != block["bj"].iloc[0]:
+        keep &= own[a] != own[b]
+    a, b = a[keep], b[keep]
+    if not len(a):
+        return []
+    score = both[a, b] / union[a, b]
+    low, high = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
+    order = np.lexsort((-score, high, low))
+    low, high = low[order], high[order]
+    first = order[(np.diff(low, prepend=low[0] - 1) != 0) | (np.diff(high, prepend=high[0] - 1) != 0)]
+    a, b = rep[a[first]], rep[b[first]]
+    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
 
 
 def rest_pairs(rows: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of buckets that span several components, to be confirmed; see step 3 of the module."""
-    labelled = rows.join(parts, rows["rep"] == parts["node"], "left").withColumn("part", F.coalesce("component_id", "rep"))
-    labelled = stage(labelled.select("band", "rep", "n_shingles", "part"), "bucket-parts")
+    labelled = rows.drop("c").join(parts, rows["rep"] == parts["node"], "left").withColumn("part", F.coalesce("component_id", "rep"))
+    labelled = stage(labelled.select("band", "rep", "n_shingles", "size", "weight", "part"), "bucket-parts")
     mixed = labelled.groupBy("band").agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select("band")
-    members = stage(labelled.join(mixed, "band", "left_semi"), "mixed-buckets")
-    samples = _samples(sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    blocks = pair_blocks(members, "band", "rep", BLOCK).join(samples, "rep")
-    tasks = members.count() // (4 * BLOCK) + 1
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / VALUES)).cast("int")
+    members = stage(labelled.join(mixed, "band", "left_semi").select("band", "rep", "n_shingles", "part", blocks.alias("blocks")), "mixed-buckets")
+    sent, values = members.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum(F.col("n_shingles") * F.col("blocks")), F.lit(0))).first()
+    tasks = sent // (4 * BLOCK) + values // (4 * VALUES) + 1
 
     def meet(pdf):
         out = [pair for _, block in pdf.groupby(["band", "bi", "bj"], sort=False) for pair in _meet(block, percent)]
         return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"], dtype="int64")
 
-    dealt = blocks.withColumn("task", F.pmod(F.xxhash64("band", "bi", "bj"), F.lit(tasks)).cast("int"))
+    dealt = deal_blocks(members, "rep").join(sets, "rep")
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("band", "bi", "bj"), F.lit(tasks)).cast("long"))
     return dealt.groupBy("task").applyInPandas(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and kept."""
+def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per row: doc_id, ``tie`` (a hash of the text), n_shingles, and ``least``, the smallest (doc_id, tie) of its
+    component, which is null for rows with an empty set or a null doc_id."""
     described = stage(describe(docs, width), "signatures")
     whole = described.filter("doc_id is not null and digest is not null")
-    classes = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = stage(classes, "classes")
+    classes = whole.groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     rows = stage(shared_buckets(classes), "buckets")
-    sets = stage(sets_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), width), "shingles")
+    sets = stage(sets_of(docs, classes.join(rows.select("rep").distinct(), "rep", "left_semi"), width), "shingles")
     links = confirm(star_pairs(rows, percent), sets, percent)
     rest = confirm(rest_pairs(rows, components(links), sets, percent), sets, percent)
-    parts = components(links.union(rest))
-    groups = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    rows = described.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    parts = stage(components(links.union(rest)), "parts")
+    linked = classes.select("rep", "row").join(parts, F.col("rep") == F.col("node"))
+    least = linked.groupBy("component_id").agg(F.min("row").alias("least"))
+    found = parts.join(least, "component_id").select(F.col("node").alias("rep"), "least")
+    by_class = classes.select("digest", "rep", "row").join(found, "rep", "left").select("digest", F.coalesce("least", "row").alias("least"))
+    rows = described.select("doc_id", "tie", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return rows.join(by_class, "digest", "left").drop("digest")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and kept."""
+    component = F.coalesce("least.doc_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return groups(docs, width, percent).select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, without those whose component holds a smaller doc_id; of rows that repeat a
-    doc_id one stays, rows with a null doc_id all stay."""
-    dropped = near_duplicates(docs, width, percent).filter(~F.col("kept")).select("doc_id")
-    left = docs.join(dropped.distinct(), "doc_id", "left_anti").select(*docs.columns)
-    named = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(left.filter(F.col("doc_id").isNull()))
+    """The documents, all columns, one row for each component: its smallest doc_id, of that the smallest text hash, and of rows that
+    agree in both the one with the smallest hash of all columns. Rows with an empty set or a null doc_id all stay."""
+    marked = groups(docs, width, percent).filter("least is not null").select("doc_id", "tie", "least")
+    keepers = marked.select("least.doc_id", "least.tie").distinct()
+    grouped = marked.select("doc_id", "tie").distinct()
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.xxhash64(*plain).alias("order"), F.struct(*docs.columns).alias("row")
+    )
+    rows = rows.join(grouped, ["doc_id", "tie"], "left_anti").select("row").union(
+        rows.join(keepers, ["doc_id", "tie"], "left_semi").groupBy("doc_id", "tie").agg(F.min_by("row", "order").alias("row")).select("row")
+    )
+    return rows.select("row.*")

@@ -438,3 +438,33 @@ def test_hashes_do_not_depend_on_segments(monkeypatch):
     whole = kernels.run_hashes(data, s, e)
     monkeypatch.setattr(kernels, "SEGMENT", 64)
     assert (kernels.run_hashes(data, s, e) == whole).all()
+
+
+def test_several_texts_under_one_id(spark):
+    """Rows are documents of their own: a row linked to the second text of an id is linked to it, and no text gets lost."""
+    words = [f"w{i}" for i in range(130)]
+    a, b = " ".join(words[:60]), " ".join(words[60:120])
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b + " z", "x"), (4, " ".join(words[70:130]), "y"), (2, b, "a"), (5, "", "e"), (5, "", "e"), (None, b, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tie string")
+    found = Counter((r["doc_id"], r["component_id"], r["n_shingles"]) for r in neardup.near_duplicates(docs).collect())
+    assert found == Counter([(1, 1, 56), (2, 1, 56), (2, 2, 56), (2, 2, 56), (3, 2, 57), (4, 4, 56), (5, 5, 0), (5, 5, 0), (None, None, 56)])
+    kept = [Counter(map(tuple, neardup.keep_one(docs.repartition(n)).collect())) for n in (1, 4)]
+    assert kept[0] == kept[1]
+    texts = Counter((d, t) for d, t, _ in kept[0].elements())
+    assert texts == Counter([(1, a), (2, b), (4, rows[4][1]), (5, ""), (5, ""), (None, b)])
+
+
+@pytest.mark.parametrize("size", [600, 3000])
+def test_large_sets_are_compared_whole(spark, monkeypatch, size):
+    """Pairs of long texts at the limit and just below it, in one bucket whose centre is linked to none of them."""
+    monkeypatch.setattr(neardup, "band_keys", lambda own: np.array([7, int(own[0] >> np.uint64(1))]))
+    monkeypatch.setattr(neardup, "VALUES", 2 * size)
+    words = [f"w{i}" for i in range(3 * size)]
+    rows = [(0, " ".join(f"c{i}" for i in range(size)))]
+    for i, shared in enumerate(range(6 * size // 7 - 3, 6 * size // 7 + 4)):
+        own = [f"p{i}_{w}" for w in words[:size]]
+        rows.append((10 * i + 1, " ".join(own)))
+        rows.append((10 * i + 2, " ".join(own[:shared] + [f"x{i}_{j}" for j in range(size - shared)])))
+    expected = brute.near_duplicates(rows)
+    assert 0 < sum(not keep for *_, keep in expected) < 7
+    same(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), expected)
