@@ -172,9 +172,10 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     trees = grow(leaves(docs, tampered))
     subroots = trees.roots.select(F.lit("").alias("tree"), F.col("tree").alias("id"), "digest", F.struct(F.col("tree").alias("name")).alias("payload"))
     top = grow(subroots)
-    roots = top.roots.select(F.col("digest").alias("root"), F.lit("").alias("top"))
-    tops = proofs(top).select(F.col("payload.name").alias("tree"), F.col("digest").alias("subroot"), F.col("path").alias("upper_path"), F.col("tree").alias("top"))
-    tops = stage(tops.join(roots, "top").drop("top"), "tops")  # a row per tree
+    found = top.roots.first()  # one value
+    root = F.lit(found["digest"] if found else None).cast("string").alias("root")
+    tops = proofs(top).select(F.col("payload.name").alias("tree"), F.col("digest").alias("subroot"), F.col("path").alias("upper_path"), root)
+    tops = stage(tops, "tops")  # a row per tree
     rows = proofs(trees).join(tops, "tree")
     return rows.select(
         "payload.doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.concat("path", "upper_path").alias("path"), "payload.tampered"
