@@ -22,22 +22,24 @@ the id (all of them where there are fewer). Every labelled language is learned,
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every
 text if nothing was learned; a row with a null lang is predicted but not learned from; with a null
 id, a row is held out; repeated rows are predicted one by one. Words are
-maximal runs of letters in lower case, whatever their length.
+runs of letters with their combining marks, in lower case and whatever their length, in learning and in scoring alike: digits, number
+signs and marks without a letter are no words. An empty table has no predictions; only doc_id, text and, for learning, lang
+are read. A very long text is one task's.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm.kernels import slices
 from seaplate.llm.tables import long_ids, text_ids
 
-WORD = re.compile(r"[^\W\d_]+")
+LETTERS = r"\p{L}[\p{L}\p{M}]*"
+WORD = regex.compile(LETTERS)
 ORDERS = (5, 4, 3, 2, 1)
 SAMPLE = 4000
 ENTRIES = 50_000
@@ -178,7 +180,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     unit = F.expr("shiftrightunsigned(xxhash64(doc_id, lang), 11)") / float(1 << 53)
     rates = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("rate")))
     chosen = rows.join(rates, "lang").filter(unit < F.col("rate"))
-    grams = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("gram"))
+    grams = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("gram"))
     words = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
     marked = F.concat(F.lit("^"), F.col("gram"), F.lit("$"))
     pieces = [F.struct(F.lit(0).alias("order"), F.col("gram"))]

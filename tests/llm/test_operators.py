@@ -468,3 +468,50 @@ def test_large_sets_are_compared_whole(spark, monkeypatch, size):
     expected = brute.near_duplicates(rows)
     assert 0 < sum(not keep for *_, keep in expected) < 7
     same(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), expected)
+
+
+def test_words_are_letters_with_their_marks(spark):
+    """Number signs, digits and lone marks are no letters; learning and scoring cut the same words."""
+    rows = [(i, "der die das und नमस्ते कि" if i % 2 else "the of and to éa ½", "de" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert {"नमस्ते", "कि", "éa"} <= set(model.tables[0][0])
+    odd = ["½ ²", "①②", "Ⅷ", "12 34", "\u0301\u0301", "_ -", "", None]
+    assert model.predict_all(odd) == [("und", 0.0)] * len(odd)
+    assert [model.predict(t)[0] for t in ("नमस्ते ½", "x éa 7", "THE")] == ["de", "en", "en"]
+
+
+def back_off(model, text):
+    """The prediction of one text, word by word from the model's tables as dictionaries."""
+    tables = []
+    for slots, rows in model.tables:
+        tables.append({g: dict(zip(rows.columns[rows.ends[i] : rows.ends[i + 1]].tolist(), rows.values[rows.ends[i] : rows.ends[i + 1]].tolist(), strict=True)) for g, i in slots.items()})
+    words, totals = langid.WORD.findall((text or "").lower()), [0.0] * len(model.languages)
+    if not words:
+        return "und", 0.0
+    for word in words:
+        if word in tables[0]:
+            found = [tables[0][word]]
+        else:
+            marked = f"^{word}$"
+            for order, table in zip(langid.ORDERS, tables[1:], strict=True):
+                found = [table[g] for i in range(len(marked) - order + 1) if (g := marked[i : i + order]) in table]
+                if found:
+                    break
+        for row in found:
+            for column, value in row.items():
+                totals[column] += value / len(found)
+    best = totals.index(max(totals))
+    return model.languages[best], 1 / sum(np.exp((t - totals[best]) / np.sqrt(len(words))) for t in totals)
+
+
+def test_language_scores_against_a_plain_scorer(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "lang"))
+    texts = [r["text"] for r in docs.orderBy("doc_id").select("text").limit(60).collect()] + ["Xyzzyq quux", "a\u0301", "und zzz", None]
+    for cache, long in ((langid.CACHE, langid.LONG), (10, 20)):  # caches reset at each call, long texts taken by distinct words
+        monkeypatch.setattr(langid, "CACHE", cache)
+        monkeypatch.setattr(langid, "LONG", long)
+        for text in texts:
+            wanted, found = back_off(model, text), model.predict(text)
+            assert found[0] == wanted[0] and found[1] == pytest.approx(wanted[1], rel=1e-6)
