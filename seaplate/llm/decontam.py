@@ -8,32 +8,36 @@ word narrows these down, and the words themselves are compared in the end.
 Many places of many documents are searched in step, so each move is one array
 operation.
 
+The benchmark is taken in pieces of at most ``piece`` windows (or one item's). Each piece is compiled and broadcast
+by itself and has a pass over the documents of its own, whose result is staged before the next piece is read, so
+neither the driver nor a worker ever holds two. A benchmark of one piece needs one pass and stages nothing.
+
 Defined cases: null or empty texts have no words and no hits; items without
 words are never found; a null item id counts as the empty string; repeated items
 with the same id count once; a document row is judged by itself, so repeated
-rows and null ids need no care; an empty benchmark hits nothing. The benchmark
-reaches the tasks in pieces of at most ``piece`` windows, each compiled and
-broadcast by itself, so the driver holds one piece at a time.
+rows and null ids need no care; an empty benchmark hits nothing, and an empty table has no rows. A very long text is one
+task's; columns beside doc_id and text are only copied, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm import kernels as k
-from seaplate.llm.tables import long_ids, text_ids
+from seaplate.llm.tables import stage
 
 MEMBER = np.zeros(256, bool)
 MEMBER[48:58] = MEMBER[97:123] = MEMBER[128:] = True
 WIDTH = 13
 PIECE = 200_000
 LANE = 256
-SCHEMA = "doc_id string, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
 @dataclass
@@ -108,29 +112,32 @@ def _found(s: Search, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tup
     return at[same], window[same]
 
 
-def search_texts(texts: list[str | None], pieces: list[list[Search]]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """Per text: its number of words, the covered stretches of words, and the ids of the items found."""
+def search_texts(texts: list[str | None], searches: list[Search], before: list | None = None) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+    """Per text: its number of words, the covered stretches of words, and the ids of the items found, with those of ``before``."""
     h, _, counts, (low, s, e) = k.words(texts, MEMBER)
     ends = np.cumsum(counts)
     begins = ends - counts
     cover = np.zeros(len(h) + 1, np.int32)
     items: dict[int, set[str]] = {}
-    for piece in pieces:
-        for search in piece:
-            if not len(h):
-                continue
-            lanes = np.maximum(1, -(-(counts - search.length + 1) // LANE)) * (counts >= search.length)
-            doc = np.repeat(np.arange(len(counts)), lanes)
-            first = begins[doc] + LANE * (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
-            last = np.minimum(first + LANE + search.length - 1, ends[doc])
-            at, window = _found(search, h, first, last)
-            owner = np.searchsorted(ends, at, "right")
-            for place, w, d in zip(at.tolist(), window.tolist(), owner.tolist(), strict=True):
-                start = place - search.length + 1
-                if all(low[s[i] : e[i]].tobytes() == x for i, x in enumerate(search.words[w], start)):
-                    cover[start] += 1
-                    cover[place + 1] -= 1
-                    items.setdefault(d, set()).update(search.items[w])
+    for d, found in enumerate(before or ()):
+        for span in found["spans"]:
+            cover[begins[d] + span["start"]] += 1
+            cover[begins[d] + span["end"]] -= 1
+        if len(found["items"]):
+            items[d] = set(found["items"])
+    for search in searches if len(h) else ():
+        lanes = np.maximum(1, -(-(counts - search.length + 1) // LANE)) * (counts >= search.length)
+        doc = np.repeat(np.arange(len(counts)), lanes)
+        first = begins[doc] + LANE * (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        last = np.minimum(first + LANE + search.length - 1, ends[doc])
+        at, window = _found(search, h, first, last)
+        owner = np.searchsorted(ends, at, "right")
+        for place, w, d in zip(at.tolist(), window.tolist(), owner.tolist(), strict=True):
+            start = place - search.length + 1
+            if all(low[s[i] : e[i]].tobytes() == x for i, x in enumerate(search.words[w], start)):
+                cover[start] += 1
+                cover[place + 1] -= 1
+                items.setdefault(d, set()).update(search.items[w])
     s, e = k.runs(np.cumsum(cover)[:-1] > 0)
     spans: dict[int, list[tuple[int, int]]] = {}
     for a, b in zip(s.tolist(), e.tolist(), strict=True):
@@ -142,41 +149,58 @@ def search_texts(texts: list[str | None], pieces: list[list[Search]]) -> list[tu
     return [(int(n), spans.get(i, []), sorted(items.get(i, ()))) for i, n in enumerate(counts)]
 
 
-def broadcast_pieces(benchmark: DataFrame, width: int = WIDTH, piece: int = PIECE) -> list:
-    """The compiled benchmark as broadcasts of at most ``piece`` windows (or one item's)."""
-    context = benchmark.sparkSession.sparkContext
-    out, windows = [], {}
+def pieces(benchmark: DataFrame, width: int = WIDTH, piece: int = PIECE) -> Iterator[list[Search]]:
+    """The compiled searches of one piece of the benchmark after the other; one of nothing for a benchmark without words."""
+    windows, any_ = {}, False
     for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
         own = item_words(text)
         for i in range(max(1, len(own) - width + 1) if own else 0):
             windows.setdefault(tuple(own[i : i + width]), set()).add(item)
         if len(windows) >= piece:
-            out.append(context.broadcast(compile_searches(windows)))
-            windows = {}
-    if windows:
-        out.append(context.broadcast(compile_searches(windows)))
-    return out
+            yield compile_searches(windows)
+            windows, any_ = {}, True
+    if windows or not any_:
+        yield compile_searches(windows)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, piece: int = PIECE) -> DataFrame:
-    """One row per document: doc_id, n_words, the covered stretches of words (``spans``) and the ids found (``items``)."""
-    pieces = broadcast_pieces(benchmark, width, piece)
+def _searched(shared, text: Column, before: Column | None) -> Column:
+    """What one broadcast piece finds in the texts, and ``before``, as a struct of ``FOUND``."""
+
+    def search(texts: list[str | None], earlier: list | None) -> pd.DataFrame:
+        rows = []
+        for cut in k.slices(texts):
+            rows += search_texts(texts[cut], shared.value, earlier and earlier[cut])
+        spans = [[{"start": a, "end": b} for a, b in own] for _, own, _ in rows]
+        return pd.DataFrame({"n_words": pd.array([n for n, _, _ in rows], "int64"), "spans": spans, "items": [ids for _, _, ids in rows]})
+
+    @F.pandas_udf(FOUND)
+    def alone(texts: pd.Series) -> pd.DataFrame:
+        return search(texts.tolist(), None)
+
+    @F.pandas_udf(FOUND)
+    def and_before(texts: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
+        return search(texts.tolist(), found.to_dict("records"))
+
+    return alone(text) if before is None else and_before(text, before)
 
-    def task(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for cut in k.slices(texts):
-                found = search_texts(texts[cut], [p.value for p in pieces])
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pdf["doc_id"].iloc[cut],
-                        "n_words": [n for n, _, _ in found],
-                        "spans": [[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found],
-                        "items": [ids for _, _, ids in found],
-                    }
-                )
 
-    return long_ids(text_ids(docs, "text").mapInPandas(task, SCHEMA))
+def _with_found(docs: DataFrame, columns: list[Column], benchmark: DataFrame, width: int, piece: int) -> DataFrame:
+    """(row, found): the given columns of ``docs`` as one struct, and what the benchmark hits in the text; a pass for each piece."""
+    context = docs.sparkSession.sparkContext
+    rows, before, last = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text")), None, None
+    for searches in pieces(benchmark, width, piece):
+        if last is not None:  # there is more: write this pass and let go of its piece
+            rows, before = stage(rows, "searched"), F.col("found")
+            last.destroy()
+        last = context.broadcast(searches)
+        rows = rows.select("row", "text", _searched(last, F.col("text"), before).alias("found"))
+    return rows.select("row", "found")
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, piece: int = PIECE) -> DataFrame:
+    """One row per document: doc_id, n_words, the covered stretches of words (``spans``) and the ids found (``items``)."""
+    found = _with_found(docs, [F.col("doc_id").cast("long").alias("doc_id")], benchmark, width, piece)
+    return found.select("row.doc_id", "found.*")
 
 
 def contaminated(n_hit, n_words):
@@ -184,8 +208,12 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def _n_hit(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+
+
 def summary(found: DataFrame) -> DataFrame:
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    n_hit = _n_hit("spans")
     return found.select(
         "doc_id",
         "n_words",
@@ -198,15 +226,5 @@ def summary(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, piece: int = PIECE) -> DataFrame:
     """The documents, all columns, that are not contaminated."""
-    pieces = broadcast_pieces(benchmark, width, piece)
-
-    @F.pandas_udf("boolean")
-    def passes(texts: pd.Series) -> pd.Series:
-        out, texts = [], texts.tolist()
-        for cut in k.slices(texts):
-            for n, spans, _ in search_texts(texts[cut], [p.value for p in pieces]):
-                hit = sum(b - a for a, b in spans)
-                out.append(not (hit > 0 and 20 * hit >= n))
-        return pd.Series(out, dtype=bool)
-
-    return docs.filter(passes(docs["text"]))
+    found = _with_found(docs, [F.col(f"`{c}`") for c in docs.columns], benchmark, width, piece)
+    return found.filter(~contaminated(_n_hit("found.spans"), F.col("found.n_words"))).select("row.*")
