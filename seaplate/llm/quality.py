@@ -10,12 +10,16 @@ known, distinct, most frequent and immediately repeated words, and the mean word
 rectified units is trained in numpy by full-batch Adam; a temperature fitted on a fifth of the
 training rows that the network does not see scales its output.
 
-Bounds: the model is learned on about ``SAMPLE`` labelled rows, chosen by a hash of the id (all
-where there are fewer), with at most ``VOCABULARY`` words; it is applied to whole texts of all rows.
+Bounds: the model is learned on about ``SAMPLE`` labelled ids, chosen by a hash of the id (all
+where there are fewer), with one whole text each, and of these on a part of about ``SAMPLE_BYTES`` where they are longer in sum,
+so that much reaches the driver and no more, however often an id occurs and however long its texts are; and on
+at most ``VOCABULARY`` words. It is applied to whole texts of all rows.
 
 Defined cases: null or empty texts have zero features and get a score like any other; several labels of
-one id count by their mean, at least half meaning 1; null labels are left out; without rows of both labels every
-score is the share of label 1, or 0.5 without rows; rows with a null id are held out.
+one id count by their mean, at least half meaning 1, and of its several texts the one with the smallest hash is
+learned from; null labels are left out; without rows of both labels every
+score is the share of label 1, or 0.5 without rows; rows with a null id are held out; an empty table has no scores. A very long text
+is one task's; columns beside doc_id and text are only copied, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 
 from seaplate.llm.kernels import slices
 from seaplate.llm.langid import Slots, held_out
+from seaplate.llm.tables import stage
 
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SIZE = 64
@@ -38,6 +43,7 @@ ONES = 6
 WINDOW = 2
 HIDDEN = 24
 SAMPLE = 6000
+SAMPLE_BYTES = 128 << 20
 VOCABULARY = 30_000
 STEPS = 400
 THRESHOLD = 0.3
@@ -197,14 +203,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """A model from the rows that are not held out and have a label."""
+def _unit(purpose: str) -> Column:
+    """A value of 0 to 1 drawn from the id."""
+    return F.expr(f"shiftrightunsigned(xxhash64(doc_id, '{purpose}'), 11)") / float(1 << 53)
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> QualityModel:
+    """A model from the rows that are not held out and have a label; see the module for the bounds."""
     known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     count = known.count()
-    unit = F.expr("shiftrightunsigned(xxhash64(doc_id, 'quality'), 11)") / float(1 << 53)
-    chosen = known.filter(unit < min(1.0, sample / max(count, 1)))  # about ``sample`` rows, so small enough to broadcast
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toPandas()
+    chosen = known.filter(_unit("quality") < min(1.0, sample / max(count, 1)))  # about ``sample`` rows, so small enough to broadcast
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("row")
+    rows = stage(rows.groupBy("doc_id", "label").agg(one).select("doc_id", "label", "row.text"), "labelled")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = rows.filter(_unit("bytes") < min(1.0, most / max(size, 1))).orderBy("doc_id").toPandas()
     return QualityModel(rows["text"].tolist(), rows["label"].astype(int).tolist())
 
 

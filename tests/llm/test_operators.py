@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -515,3 +516,63 @@ def test_language_scores_against_a_plain_scorer(spark, folder, monkeypatch):
         for text in texts:
             wanted, found = back_off(model, text), model.predict(text)
             assert found[0] == wanted[0] and found[1] == pytest.approx(wanted[1], rel=1e-6)
+
+
+def test_one_piece_of_a_benchmark_at_a_time(spark, docs, rows, monkeypatch):
+    """Ten pieces: each is destroyed before the next is broadcast, and what they find is put together."""
+    words = next(r[1] for r in rows if r[1] and len(r[1]) > 40000).split(" ")
+    items = [(i, " ".join(words[30 * i : 30 * i + 16])) for i in range(10)]
+    alive, most = [], []
+    context = spark.sparkContext
+    send = type(context).broadcast
+
+    def broadcast(self, value):
+        out = send(self, value)
+        if not (isinstance(value, list) and isinstance(value[0], decontam.Search)):
+            return out
+        alive.append(out)
+        most.append(len(alive))
+        drop = out.destroy
+        out.destroy = lambda *a: (alive.remove(out), drop(*a))
+        return out
+
+    monkeypatch.setattr(type(context), "broadcast", broadcast)
+    found = decontam.find_benchmark(docs, spark.createDataFrame(items, "item_id long, text string"), piece=4)
+    assert len(most) == 10 and max(most) == 1
+    same(decontam.summary(found), brute.benchmark_hits(texts_of(rows), items))
+
+
+def test_an_id_with_many_rows_adds_one_training_row(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(quality, "QualityModel", lambda texts, labels: learned.append((texts, labels)))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"other {j}") for j in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.learn(docs, labels)
+    quality.learn(docs.repartition(3), labels)
+    assert learned[0] == learned[1] and len(learned[0][0]) == len(ids)
+    quality.learn(docs, labels, most=sum(len(t) for t in learned[0][0]) // 4)
+    assert 0 < len(learned[2][0]) < len(ids) // 2
+
+
+def test_scores_against_a_plain_forward_pass(spark, folder):
+    """Features and network of single texts, word by word."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    a, b, c, d = model.layers
+    for text in [r["text"] for r in docs.orderBy("doc_id").limit(25).collect()] + ["", None, "AB ab 12 !!"]:
+        words, x = quality.words_of(text), np.zeros(quality.SIZE + quality.SHAPES)
+        for w in words:
+            for name in [w.lower()] + ["<caps>"] * quality.is_caps(w):
+                if name in model.known:
+                    x[: quality.SIZE] += model.vectors[model.known[name]] / len(words)
+        if words:
+            kinds = [sum(len(w) for w in words if test(w[0])) for test in (str.isalpha, str.isdigit, lambda ch: not ch.isalnum())]
+            marks = [sum(quality.is_caps(w) for w in words), sum(not w[0].isalnum() for w in words), sum(w.lower() in model.known for w in words)]
+            most = max(Counter(words).values())
+            again = sum(p == q for p, q in zip(words, words[1:], strict=False))
+            x[quality.SIZE :] = [n / len(text) for n in kinds] + [n / len(words) for n in (*marks, len(set(words)), most, again)] + [kinds[0] / len(words) / 10]
+        hidden = np.maximum((x - model.mean) / model.scale @ a + b, 0)
+        wanted = 1 / (1 + np.exp(-(hidden @ c + d[0]) / model.temperature))
+        assert model.score([text])[0] == pytest.approx(wanted, abs=1e-5)
