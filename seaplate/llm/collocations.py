@@ -98,6 +98,8 @@ class Group:
 
 def _cuts(shard: np.ndarray) -> list[tuple[int, slice]]:
     """The stretches of an ascending array."""
+    if not len(shard):
+        return []
     first = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
     return [(int(shard[a]), slice(a, b)) for a, b in zip(first, [*first[1:], len(shard)], strict=True)]
 

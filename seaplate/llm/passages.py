@@ -92,15 +92,15 @@ class Group:
 
     def _cut(self) -> None:
         words = k.run_hashes(self.buffer, self.starts[:-1], self.starts[1:])
-        least = k.sequence_hashes(words, GRAM) & ~LOW
-        grams, step = least, 1
+        grams = k.sequence_hashes(words, GRAM) & ~LOW
+        least, step = grams if len(words) >= WIDTH else grams[:0], 1
         while step * 2 <= REACH:
             least = np.minimum(least[:-step], least[step:] + k.U64(step))
             step *= 2
         rest = REACH - step
-        if rest:
-            least = np.minimum(least[: len(least) - rest], least[rest:] + k.U64(rest))
-        p = np.arange(max(0, len(least)))
+        if rest and len(least):
+            least = np.minimum(least[:-rest], least[rest:] + k.U64(rest))
+        p = np.arange(len(least))
         doc = np.searchsorted(self.ends, p, "right")
         inside = p + WIDTH <= self.ends[np.minimum(doc, len(self.ends) - 1)]
         p, doc = p[inside], doc[inside]

@@ -154,3 +154,20 @@ def test_passages_are_compared_whatever_their_hashes(monkeypatch, hot):
         replies = pa.concat_tables([replies, *(passages.answer(sent.filter(pc.equal(sent["shard"], s))) for s in asked)])
     found = [r for b, t in enumerate(tables) for r in passages.remove(t, own(b), shards).to_pylist()]
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in found) == Counter(brute.passages(rows))
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 31, 38, 39, 45, 48, 49, 50, 51, 92, 93, 94])
+def test_groups_of_few_words(n):
+    """Every stretch of windows has its pieces, down to groups without any."""
+    text = " ".join(f"w{i}" for i in range(n)).encode()
+    for texts in ([text], [text, None, b"", b" \t", text]):
+        table = pa.table([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary()), pa.array([0] * len(texts), pa.int32())], ["doc_id", "text", "bucket"])
+        group = passages.Group(table)
+        windows = sorted(p for a, b in zip(group.low.tolist(), group.high.tolist(), strict=True) for p in range(a, b + 1))
+        assert windows == [at + p for at in ([0] if len(texts) == 1 else [0, n]) for p in range(max(0, n - 49))]
+
+
+def test_tables_without_words(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "b", 0, 1) for i, t in enumerate([None, "", " ", "\n"])], DOCS)
+    assert collocations.top_phrases(collocations.scored_phrases(docs)).count() == 0
+    assert {(r["n_words"], r["n_removed"], bytes(r["kept"])) for r in passages.remove_passages(docs).collect()} == {(0, 0, b"")}
