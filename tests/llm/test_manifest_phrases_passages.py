@@ -66,7 +66,7 @@ def phrase_rows(seed: int) -> list[tuple]:
     words = [f"w{i}" for i in range(25)] + ["the", "of", "É", "a\0b", "x-y"]
     weights = [1] * 25 + [60, 40, 5, 3, 3]
     line = lambda n: "".join(w + draw.choice([" "] * 12 + ["\t", ", ", ".", " \r\n"]) for w in draw.choices(words, weights, k=n))
-    rows = [(i, line(draw.randint(0, 60)), draw.choice(["en", "en", None, "und", "de\n"]), "s", 1, "b", 0, 1) for i in range(150)]
+    rows = [(i, line(draw.randint(0, 60)), draw.choice(["en", "en", None, "und", "de\n"]), "s", 1, "b", 0, 1) for i in range(700)]
     rows += [(1, "Same Old passage of the same OLD words", "en", "s", 1, "b", 0, 1)] * 50
     return rows + [(None, None, "en", None, None, None, None, None), (9, "", None, "s", 0, "b", 0, 1), (10, " \t.,;", "en", "s", 0, "b", 0, 1)]
 
