@@ -42,8 +42,10 @@ def _mark(edges: DataFrame) -> tuple:
 def pair_blocks(members: DataFrame, key: str, order: str, block: int) -> DataFrame:
     """Adds (bi, bj): the members of a group of more than ``block`` rows are dealt into blocks, and each row is
     sent to every pair of blocks that holds its own, so that a task gets two blocks at most and each pair of
-    members meets exactly once (``own`` is the row's block)."""
+    members meets exactly once (``own`` is the row's block). The sizes of large groups are staged, so that Spark sees
+    how few they are and need not deal the members for a join with them."""
     sizes = members.groupBy(key).count().filter(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    sizes = stage(sizes, "sizes")
     return deal_blocks(members.join(sizes, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), order)
 
 
