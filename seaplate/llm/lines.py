@@ -6,12 +6,14 @@ no other falls there, the rest go on to the next level, and a hash's place is
 the number of taken bits before its own. Compact arrays by place hold a
 fingerprint, the number of documents and the largest document id. Groups of
 documents send their distinct hashes, each once however often a line occurs, and
-are answered with those that reach the limit.
-
-Defined cases: a null or empty text is one empty line; repeated rows count as
-documents of their own; rows that share the largest doc_id of a line all keep
-it; a null doc_id counts as smaller than any other; a line feed at the end makes
-a last empty line; lines shorter than ``min_chars`` always stay. Lines are
+are answered with those that reach the limit. Rows of a doc_id that several rows hold may lie in
+several groups; their hashes are sent with the id, and a shard counts each id once.
+
+Defined cases: a null or empty text is one empty line; rows of one doc_id are one
+document, whatever their texts, each row with lines of its own; rows that share the largest doc_id of a line all keep
+it; a null doc_id is smaller than any other, and each row with one a document; a line feed at the end makes
+a last empty line; lines shorter than ``min_chars`` always stay; a very long text is one task's; an empty table gives
+no rows; only doc_id and text are read, whatever else the table holds. Lines are
 identified by 64 bits plus a 32-bit fingerprint of one 128-bit hash.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm import kernels as k
-from seaplate.llm.tables import by_shard, document_groups, long_ids, split_by_shard, text_ids, unpack
+from seaplate.llm.tables import by_shard, document_groups, long_ids, split_by_shard, stage, text_ids, unpack
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -87,12 +89,15 @@ class LineIndex:
 
     @classmethod
     def build(cls, rows: np.ndarray) -> LineIndex:
+        """A row counts for ``n`` documents, or with an ``n`` of 0 for document ``last``, however often that comes."""
         distinct = np.unique(rows["h"])
         places = PerfectHash.build(distinct)
         at = places.place(rows["h"])
         out = cls(places, np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64), np.full(len(distinct), NO_ID))
         out.prints[at] = rows["print"]
         np.add.at(out.counts, at, rows["n"])
+        several = np.unique(rows[rows["n"] == 0])
+        np.add.at(out.counts, places.place(several["h"]), 1)
         np.maximum.at(out.last, at, rows["last"])
         return out
 
@@ -118,16 +123,19 @@ def _ids(pdf: pd.DataFrame) -> list[int]:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: doc_id, n_lines before dropping, n_dropped, and the kept text."""
-    grouped, tasks = document_groups(text_ids(docs, "text"))
+    texts = text_ids(docs, "text")
+    again = texts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    again = stage(again.select("doc_id", F.lit(True).alias("again")), "repeated")
+    grouped, tasks = document_groups(texts)
 
     def send(pdf, shards):
-        found: dict[int, list] = {}
-        for doc, text in zip(_ids(pdf), pdf["text"], strict=True):
+        found: dict[tuple[int, int | None], list] = {}
+        for doc, text, several in zip(_ids(pdf), pdf["text"], pdf["again"].notna(), strict=True):
             for key in {line_key(x, min_chars) for x in (text or "").split("\n")} - {None}:
-                entry = found.setdefault(key, [0, NO_ID])
-                entry[0] += 1
+                entry = found.setdefault((key, doc if several else None), [0, NO_ID])
+                entry[0] += not several
                 entry[1] = max(entry[1], doc)
-        rows = np.array([(key >> 64, key & 0xFFFFFFFF, n, last) for key, (n, last) in found.items()], LINE)
+        rows = np.array([(key >> 64, key & 0xFFFFFFFF, n, last) for (key, _), (n, last) in found.items()], LINE)
         sent = split_by_shard(rows, rows["h"], shards)
         return pd.DataFrame({"shard": [s for s, _ in sent], "bucket": pdf["bucket"].iloc[0], "blob": [b for _, b in sent]})
 
@@ -152,7 +160,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             out.append((None if null else str(doc), len(lines), len(lines) - len(kept), "\n".join(kept)))
         return pd.DataFrame(out, columns=["doc_id", "n_lines", "n_dropped", "kept"])
 
-    replies = by_shard(grouped, tasks, send, answer).repartition(tasks, "bucket")
+    replies = by_shard(grouped.join(again, "doc_id", "left"), tasks, send, answer).repartition(tasks, "bucket")
     return long_ids(grouped.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(drop, SCHEMA))
 
 

@@ -75,6 +75,7 @@ def lines(rows):
     """(doc_id, n_lines, n_dropped, kept) of (doc_id, text) rows; a null id is smaller than any."""
     small = -(1 << 63)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UPPER)
+    documents = lambda ids: len(set(ids) - {small}) + ids.count(small)
     found = defaultdict(list)
     for d, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
@@ -82,7 +83,7 @@ def lines(rows):
     out = []
     for d, t in rows:
         own = (t or "").split("\n")
-        kept = [x for x in own if len(key(x)) < 40 or len(found[key(x)]) < 5 or max(found[key(x)]) == (small if d is None else d)]
+        kept = [x for x in own if len(key(x)) < 40 or documents(found[key(x)]) < 5 or max(found[key(x)]) == (small if d is None else d)]
         out.append((d, len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return out
 
