@@ -15,7 +15,10 @@ that only the replica has show as rows without a record. Only the original has t
 
 Defined cases: a null page_id or url is an empty value in the header, null html an empty payload; repeated pages
 are records of their own; line ends in a url are percent-encoded; an empty table gives no record and equal
-roots. A file holds at most ``RECORDS`` records, so one task holds one file.
+roots; other columns than page_id, url and html are left out. A file holds at most ``RECORDS`` records and pages of
+about ``FILE_BYTES``, so that one task can hold one file and Spark read it back as one value: larger pages go to files
+of their own, by powers of two of their size, with as many fewer to a file. A page of more than ``FILE_BYTES`` has a file
+for itself.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from seaplate.llm.tables import stage
 
 FAN = 16
 RECORDS = 1000
+FILE_BYTES = 1 << 29
 CRLF = "\r\n"
 CLOSE = CRLF + CRLF
 DATE = "1970-01-01T00:00:00Z"
@@ -68,9 +72,20 @@ def _write(members: DataFrame, path: str, records: int, by: list[str]) -> None:
     members.write.options(**options).partitionBy(*by).text(path)
 
 
-def write_warc(pages: DataFrame, path: str, records: int = RECORDS) -> None:
-    """WARC files of gzip members below ``path``, in the order of the input."""
-    _write(pages.select(_member(record_text()).cast("string").alias("value")), path, records, [])
+def size_step(room: int) -> Column:
+    """0 for pages of up to ``room`` bytes, 1 up to twice as many, 2 up to four times, and so on."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0))
+    times = F.floor(F.greatest(F.lit(0), size - 1) / room)
+    return F.when(times > 0, F.length(F.bin(times))).otherwise(0)
+
+
+def write_warc(pages: DataFrame, path: str, records: int = RECORDS, file_bytes: int = FILE_BYTES) -> None:
+    """WARC files of gzip members below ``path``, those of larger pages in folders of their own."""
+    step = size_step(max(1, file_bytes // records))
+    found = {r["step"] for r in pages.select(step.alias("step")).distinct().collect()}  # 32 at most
+    for own in sorted(found | {0}):
+        members = pages.filter(step == own).select(_member(record_text()).cast("string").alias("value"))
+        _write(members, f"{path}/size={own}", max(1, records >> own), [])
 
 
 def write_files(files: DataFrame, path: str) -> None:
@@ -206,11 +221,19 @@ def _roots(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file").agg(F.sha2(F.concat(F.max_by("mark", "level"), tail), 256).alias("digest"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``node``, the place in order of names: the place within a range of names, after the ranges before it."""
+    parts = stage(rows.repartitionByRange("file").withColumn("part", F.spark_partition_id()), "ranges")
+    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    before = parts.groupBy("part").count().select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("file")) - 1
+    return parts.withColumn("place", place).join(before, "part").withColumn("node", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
 def _file_levels(original: DataFrame, replica: DataFrame) -> list[DataFrame]:
     """The trees over both replicas' file roots, level by level: (node, parent, file, mine, theirs)."""
-    number = F.row_number().over(Window.orderBy("file")) - 1
     both = _roots(original).withColumnRenamed("digest", "mine").join(_roots(replica).withColumnRenamed("digest", "theirs"), "file", "full")
-    row = stage(both.withColumn("node", number.cast("long")), "roots")
+    row = stage(_numbered(both), "roots")
     levels = [row]
     while row.count() > 1:
         up = row.withColumn("up", F.expr(f"node div {FAN}")).groupBy("up")
