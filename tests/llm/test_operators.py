@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from seaplate.llm import decontam, graph, kernels, langid, lines, mixing, neardup, quality, substrings, tokens, vectors, warc
+from seaplate.llm import decontam, graph, kernels, langid, lines, mixing, neardup, quality, substrings, tables, tokens, vectors, warc
 from seaplate.llm.oracles import ORACLES
 from seaplate.llm.queries import QUERIES
 from seaplate.session import staging_path
@@ -115,6 +116,21 @@ def test_lines(docs, rows, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [100, 4 << 20])
+def test_lines_of_repeated_ids(spark, monkeypatch, group_bytes):
+    """Rows of one id are one document, in one group or in several."""
+    monkeypatch.setattr(lines, "document_groups", partial(tables.document_groups, group_bytes=group_bytes))
+    a, b, c, d = ("the same words in many documents, number " + x for x in "abcd")
+    rows = [(1, f"{a}\nrow {i}") for i in range(7)] + [(2, a), (2, a)]  # two documents
+    rows += [(i % 4, f"{b}\n{i}\n{b}") for i in range(12)]  # four
+    rows += [(i % 5, f"{i}\n{c}") for i in range(10)] + [(4, c), (4, c.upper())]  # five
+    rows += [(None, d)] * 4 + [(9, d)]  # five
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("again", F.lit(1)).repartition(5)
+    found = brute.lines(rows)
+    assert sum(n for _, _, n, _ in found) == 8 + 4
+    same(lines.summary(lines.dedup_lines(frame)), found)
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
     places = lines.PerfectHash.build(keys)
@@ -288,6 +304,24 @@ def test_recall_of_bands():
     assert (1 - (1 - np.arccos(0.95) / np.pi) ** signs) ** bands <= vectors.MISS
 
 
+@pytest.mark.parametrize("dim", [2, 5, 16, 64, 300])
+@pytest.mark.parametrize("count", [300, 50_000, 10_000_000])
+def test_planted_pairs_at_the_limit_meet(dim, count):
+    """They share a band and pass the bound on unlike signs, while hardly any unrelated pair of longer vectors passes it."""
+    draw = np.random.default_rng([dim, count])
+    a = vectors.unit(draw.normal(size=(5000, dim)))
+    side = draw.normal(size=a.shape)
+    side = vectors.unit(side - (side * a).sum(1)[:, None] * a)
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * side
+    signs, bands = vectors.plan_bands(count, 0.95)
+    x, y = (vectors.sign_bits(v, signs, bands) for v in (a, b))
+    assert (vectors.band_keys(x, dim, bands) == vectors.band_keys(y, dim, bands)).any(1).all()
+    most = vectors.most_unlike(x.shape[1], 0.95)
+    assert ((x != y).sum(1) <= most).all()
+    if dim >= 64:
+        assert ((x != np.roll(x, 1, axis=0)).sum(1) <= most).mean() < 0.01
+
+
 def test_language(spark, docs, none):
     model = langid.learn(docs.select("doc_id", "text", "lang"))
     found = {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
@@ -418,6 +452,23 @@ def test_damaged_stored_files(spark):
     assert sorted((r["file"], r["offset"], r["length"]) for r in found if not r["digest"]) == sorted([(c, len(stored[c]), 4), ("other", 0, 5)])
 
 
+def test_large_pages_have_files_of_fewer_records(spark):
+    sizes = [0, 1, 99, 100, 101, 150, 200, 201, 399, 400, 401, 900, 5000] * 9
+    rows = [(i, "", "x" * n, "f") for i, n in enumerate(sizes)]
+    folder = staging_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(3), folder, records=10, file_bytes=1000)
+    files = warc.read_files(spark, folder)
+    pages = []
+    for r in files.collect():
+        own = [int(x) for x in warc.PAGE.findall(b"".join(x for _, _, x in warc.members_of(r["content"])))]
+        assert len(own) == 1 or (len(own) <= 10 and sum(sizes[i] for i in own) <= 1000)
+        pages += own
+    assert sorted(pages) == list(range(len(rows)))
+    original = warc.stage(warc.file_trees(files), "trees")
+    found = warc.fixity(original, warc.replica_trees(warc.damage(files, lambda page: page % 7 == 3), original))
+    assert sorted(r["page_id"] for r in found.filter("damaged").collect()) == list(range(3, len(rows), 7))
+
+
 def test_warc_of_no_pages(spark):
     folder = staging_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], PAGES), folder)
