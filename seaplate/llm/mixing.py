@@ -16,7 +16,8 @@ spans. One row per source meets in one task to share out the targets.
 
 Defined cases: null texts have size 0 and are never taken; a null source is a source of its
 own; repeated rows, and rows with null ids, are taken as rows of their own; a mix of no words
-has no slots. Order, and so the result, depends on the rows' content only.
+has no slots, and an empty table no rows. Order, and so the result, depends on the rows' content only. A very long text may fill
+many blocks; its words are counted where it is read.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ spread by hash, so a passage of a third of all documents meets in no single task
 
 Defined cases: null and empty texts, and texts shorter than ``LENGTH``, lose nothing to others but count as
 documents; rows with the same doc_id are ordered by a hash of their text, identical ones arbitrarily, so one
-of them is earlier; a null doc_id counts as smaller than any other.
+of them is earlier; a null doc_id counts as smaller than any other. A very long text is one task's, hashed in
+pieces of ``PIECE`` bytes; an empty table gives no rows; only doc_id and text are read, whatever else the table holds.
 """
 
 from __future__ import annotations
