@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm import kernels as k
-from seaplate.llm.tables import document_groups, split_by_shard, unpack
+from seaplate.llm.tables import document_groups, in_order, split_by_shard, unpack
 
 LENGTH = 100
 GRAM = 32
@@ -48,18 +48,18 @@ LOW = np.uint64(127)
 
 ANCHOR = np.dtype([("g", "<u8"), ("key", "<u8"), ("n", "<u2"), ("many", "u1")])
 KNOWN = np.dtype([("g", "<u8"), ("mixed", "u1"), ("hot", "u1")])
-PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sub", "<u4"), ("pos", "<u4")])
-HEAD = np.dtype([("g", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("sub", "<u4"), ("pos", "<u4"), ("left", "u1"), ("n", "u1")])
+PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sub", "<u8"), ("pos", "<u4")])
+HEAD = np.dtype([("g", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("sub", "<u8"), ("pos", "<u4"), ("left", "u1"), ("n", "u1")])
 MASK = np.dtype([("key", "<u8"), ("bits", "u1", (9,))])
 SENT = "shard int, bucket int, kind string, blob binary"
 REPLY = "bucket int, kind string, reply binary"
 
 
 class Group:
-    """The documents of one bucket in one buffer, with their segments."""
+    """The documents of one bucket in one buffer, in the same order in every round, with their segments."""
 
     def __init__(self, table: pa.Table):
-        table = table.select(["doc_id", "text"]).combine_chunks()
+        table = in_order(table.select(["doc_id", "text"])).combine_chunks()
         self.table, text = table, table.column("text").chunk(0) if table.num_rows else pa.array([], pa.binary())
         ids = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         self.doc_ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
@@ -70,9 +70,9 @@ class Group:
         self._segments()
 
     def _subs(self) -> np.ndarray:
-        """Orders rows of one doc_id: 24 bits of the text's hash, then a running number."""
+        """Orders rows of one doc_id: 56 bits of the text's hash, then a running number."""
         seen: dict = {}
-        out = np.empty(len(self.rows), np.uint32)
+        out = np.empty(len(self.rows), np.uint64)
         for i, (doc, row) in enumerate(zip(self.doc_ids.tolist(), self.rows, strict=True)):
             mark = (doc, hash_of(row))
             seen[mark] = n = seen.get(mark, -1) + 1
@@ -117,7 +117,7 @@ class Group:
 
 
 def hash_of(row: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(row) & 0xFFFFFF
+    return xxhash.xxh3_64_intdigest(row) >> 8
 
 
 def first_of_each(places: np.ndarray) -> np.ndarray:
@@ -412,7 +412,7 @@ def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         out.append((len(row), [{"start": int(a), "end": int(b)} for a, b in zip(s, e, strict=True)], kept))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     rest = _table(out, [("n_bytes", pa.int64()), ("spans", spans), ("kept", pa.binary())])
-    return pa.table([table.column("doc_id").cast(pa.int64()), *rest.columns], ["doc_id", *rest.column_names])
+    return pa.table([group.table.column("doc_id").cast(pa.int64()), *rest.columns], ["doc_id", *rest.column_names])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,12 @@ def document_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[Da
     return docs.select("doc_id", "text", bucket.alias("bucket")).repartition(tasks, "bucket"), tasks
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A group's rows by doc_id and text. Each round reads the group anew, and Spark does not promise it the same order of
+    rows: blocks of a shuffle arrive as executors deliver them. Rows that tie are alike, so their order does not matter."""
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
+
+
 def split_by_shard(records: np.ndarray, hashes: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
     """The records as one packed blob per shard; a record's shard is its hash's remainder."""
     if not len(records):

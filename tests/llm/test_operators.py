@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 from functools import partial
@@ -13,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+import xxhash
 from brute import DOCS, odd_documents
 from compare import connect, differences
 from pyspark.sql import functions as F
@@ -193,6 +195,60 @@ def test_segments_whose_keys_agree_in_their_low_bits(monkeypatch):
     assert [r["spans"] for r in found] == [[], [{"start": 300, "end": 1000}]]
 
 
+def rounds_of_repeats(rows, groups: int, shards: int, draw: random.Random) -> Counter:
+    """The rounds without Spark, whose groups and shards get their rows in another order each time."""
+
+    def shuffled(x):
+        return draw.sample(x, len(x))
+
+    def tables():
+        for b in range(groups):
+            ids, texts = zip(*shuffled(rows[b::groups]), strict=True)
+            yield pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([(t or "").encode() for t in texts], pa.binary()), "bucket": pa.array([b] * len(ids), pa.int32())})
+
+    def answers(sent, answer):
+        for s in sorted(set(sent["shard"].to_pylist())):
+            own = sent.filter(pc.equal(sent["shard"], s))
+            yield answer(own.take(shuffled(range(own.num_rows))))
+
+    replies = substrings._replies([])
+    own = lambda b: replies.filter(pc.equal(replies["bucket"], b))
+    for send, answer in (
+        (lambda t, r: substrings.send_anchors(t, shards), substrings.answer_anchors),
+        (lambda t, r: substrings.send_classes(t, r, shards), substrings.answer_classes),
+        (lambda t, r: substrings.send_strings(t, r, shards), substrings.answer_strings),
+    ):
+        sent = pa.concat_tables([send(t, own(b)) for b, t in enumerate(tables())])
+        replies = pa.concat_tables([replies, *answers(sent, answer)])
+    found = [r for b, t in enumerate(tables()) for r in substrings.remove(t, own(b)).to_pylist()]
+    size = lambda r: sum(s["end"] - s["start"] for s in r["spans"])
+    return Counter((r["doc_id"], r["n_bytes"], size(r), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in found)
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 0])
+def test_repeated_strings_whatever_the_order_of_a_groups_rows(rows, monkeypatch, hot):
+    """Shuffle reads do not keep the order of rows, and a piece of the buffer ends within other texts in each order."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "PIECE", 1024)
+    rows = in_order(rows)
+    for seed in range(3):
+        assert rounds_of_repeats(rows, 3, 4, random.Random(seed)) == Counter(brute.repeats(rows))
+
+
+def test_repeated_strings_of_texts_under_one_id():
+    """Two texts of one id whose hashes agree in 24 bits: what both hold stays in the same one of them."""
+    draw = random.Random(4)
+    passage = "".join(draw.choices("abcdefghijklmnopqrst", k=3000))
+    seen, pair = {}, None
+    while pair is None:
+        text = f"{len(seen):06d}{passage}"
+        other = seen.setdefault(xxhash.xxh3_64_intdigest(text.encode()) & 0xFFFFFF, text)
+        pair = None if other is text else [(7, other), (7, text)]
+    for seed in range(5):
+        found = sorted(r[2] for r in rounds_of_repeats(pair, 2, 8, random.Random(seed)))
+        assert found[0] == 0 and found[1] >= 3000
+
+
 def test_repeated_strings_of_the_given_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
