@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaplate.llm import kernels as k
-from seaplate.llm.tables import split_by_shard, unpack
+from seaplate.llm.tables import in_order, split_by_shard, unpack
 
 WIDTH = 50
 GRAM = 8
@@ -79,9 +79,11 @@ def word_buffer(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Group:
-    """The words of one bucket's documents, cut into pieces: stretches of windows ``low`` to ``high`` with one anchor."""
+    """The words of one bucket's documents, cut into pieces: stretches of windows ``low`` to ``high`` with one anchor. The
+    blocks answer by position, so the pieces have the same order in every round."""
 
     def __init__(self, table: pa.Table):
+        table = in_order(table)
         self.bucket = table.column("bucket")[0].as_py()
         ids = table.column("doc_id")
         self.ids = ids

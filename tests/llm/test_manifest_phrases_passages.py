@@ -156,6 +156,30 @@ def test_passages_are_compared_whatever_their_hashes(monkeypatch, hot):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in found) == Counter(brute.passages(rows))
 
 
+@pytest.mark.parametrize("hot", [4096, 3, 0])
+def test_passages_whatever_the_order_of_a_groups_rows(monkeypatch, hot):
+    """Shuffle reads do not keep the order of rows, and blocks answer by the order of a group's pieces."""
+    monkeypatch.setattr(passages, "HOT", hot)
+    rows, groups, shards, draw = [(r[0], r[1]) for r in passage_rows()], 4, 3, random.Random(6)
+
+    def tables():
+        for b in range(groups):
+            own = rows[b::groups]
+            ids, texts = zip(*draw.sample(own, len(own)), strict=True)
+            data = [pa.array(ids, pa.int64()), pa.array([None if t is None else t.encode() for t in texts], pa.binary()), pa.array([b] * len(ids), pa.int32())]
+            yield pa.table(data, ["doc_id", "text", "bucket"])
+
+    replies = passages._table([], passages.REPLY)
+    own = lambda b: replies.filter(pc.equal(replies["bucket"], b))
+    for send in (lambda t, r: passages.send_anchors(t, shards), lambda t, r: passages.send_pieces(t, r, shards), lambda t, r: passages.send_hot(t, r, shards)):
+        sent = pa.concat_tables([send(t, own(b)) for b, t in enumerate(tables())])
+        sent = sent.take(pa.array(draw.sample(range(sent.num_rows), sent.num_rows), pa.int64()))
+        asked = sorted(set(sent["shard"].to_pylist()))
+        replies = pa.concat_tables([replies, *(passages.answer(sent.filter(pc.equal(sent["shard"], s))) for s in asked)])
+    found = [r for b, t in enumerate(tables()) for r in passages.remove(t, own(b), shards).to_pylist()]
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in found) == Counter(brute.passages(rows))
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 31, 38, 39, 45, 48, 49, 50, 51, 92, 93, 94])
 def test_groups_of_few_words(n):
     """Every stretch of windows has its pieces, down to groups without any."""
